@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, warc
+from . import packing, pieces, pii, warc
 from .common import table
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")), with_payload=False)
     return records.select(
@@ -20,5 +34,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_warc": op9_warc, "op10_packing": op10_packing}
+QUERIES = {"op1_pii": op1_pii, "op7_sentencepiece": op7_sentencepiece, "op9_warc": op9_warc, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
