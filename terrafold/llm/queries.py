@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, pii, warc
+from . import packing, pieces, pii, quality, urls, warc
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
@@ -34,5 +42,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op7_sentencepiece": op7_sentencepiece, "op9_warc": op9_warc, "op10_packing": op10_packing}
+QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op4_quality": op4_quality, "op7_sentencepiece": op7_sentencepiece, "op9_warc": op9_warc, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
