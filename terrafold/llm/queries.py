@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, pii, quality, urls, warc
+from . import ann, chat, packing, pieces, pii, quality, toxicity, urls, warc
 from .common import table
 
 
@@ -23,10 +23,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+#: A conversation whose texts look like the template's own control strings.
+TRICKY = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
+    return chat.digest(rows.unionByName(tricky))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
@@ -42,5 +60,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op4_quality": op4_quality, "op7_sentencepiece": op7_sentencepiece, "op9_warc": op9_warc, "op10_packing": op10_packing}
+QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_ann": op6_ann, "op7_sentencepiece": op7_sentencepiece, "op9_warc": op9_warc, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
