@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, packing, pieces, pii, quality, toxicity, urls, warc
+from . import ann, chat, neardup, packing, pieces, pii, quality, toxicity, urls, warc
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_bundles(warc.archive(table(spark, sf_dir, "pages")), with_payload=False)
     return records.select(
@@ -60,5 +64,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_ann": op6_ann, "op7_sentencepiece": op7_sentencepiece, "op9_warc": op9_warc, "op10_packing": op10_packing}
+QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_ann": op6_ann, "op7_sentencepiece": op7_sentencepiece, "op8_neardup": op8_neardup, "op9_warc": op9_warc, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
