@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas
+from ..sources.layers import materialized
 from . import regrid
 
 
@@ -110,11 +111,12 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
         base = base.join(near, "cell_id", "left")
         plain = F.coalesce(plain * F.col("near_ratio"), plain * F.col("mean_ratio"))
     inside = F.col("lu") == 1
+    base = materialized(base, "yield-sources")  # read by both averages and the fill
     stepped = base.withColumn("v", F.coalesce(value, F.when(inside, F.coalesce(plain, spam_value * F.col("global_ratio")))))
     zone, biome = zone_averages(stepped)
     full = stepped.join(F.broadcast(zone), "poly_id", "left").join(F.broadcast(biome), "biome_id", "left")
     full = full.withColumn("v", F.coalesce("v", "zone_mean", "biome_mean", "global_ratio"))
-    filled = regrid.nearest_valid(full.select("cell_id", "row_i", "col_i", "v"), "v")
+    filled = regrid.nearest_valid(materialized(full.select("cell_id", "row_i", "col_i", "v"), "yield-steps"), "v")
     return filled.join(cells.where("lu = 1").select("cell_id"), "cell_id").select("cell_id", F.col("value").alias("yield"))
 
 

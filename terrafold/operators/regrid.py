@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.layers import materialized
+
 
 def nearest(target: DataFrame, source: DataFrame, value: str, x0: float, y0: float, step: float) -> DataFrame:
     """(id, value): each target centre (id, x, y) takes the source cell under it; bands of the source stay apart."""
@@ -56,6 +58,8 @@ def nearest_valid(cells: DataFrame, value: str, reach: int = 8) -> DataFrame:
     holes = cells.where(F.col(value).isNull()).select("cell_id", "row_i", "col_i")
     span = cells.agg(F.max(F.greatest("row_i", "col_i"))).first()[0] or 0
     done, ring = None, 1
+    if holes.isEmpty():
+        return cells.select("cell_id", F.col(value).alias("value"))
     while True:
         steps = F.sequence(F.lit(-ring), F.lit(ring))
         wide = holes.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
@@ -65,6 +69,7 @@ def nearest_valid(cells: DataFrame, value: str, reach: int = 8) -> DataFrame:
             F.min_by("v", F.struct(d2, "r", "c")).alias("v"), F.min(d2).alias("d2")
         )
         whole = ring * reach > span
+        best = materialized(best, "nearest")
         settled = best if whole else best.where(F.col("d2") <= (ring * reach) * (ring * reach))
         done = settled if done is None else done.unionByName(settled)
         holes = holes.join(settled, "cell_id", "left_anti")

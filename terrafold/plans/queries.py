@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..operators import algebra, carbon, crop, regrid, spatial
 from ..sources import layers as io
+from ..sources.layers import scratch
 from .fixtures import Layers, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,13 +35,6 @@ def r4(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 4) for n in columns})
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; one of our own where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = conf.rstrip("/") if conf else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 # Steps that several oracles share.
 EDGES = """edges AS (SELECT v.poly_id, v.biome_id, v.x AS x1, v.y AS y1, w.x AS x2, w.y AS y2 FROM fx_vertices v
  JOIN fx_vertices w ON w.poly_id = v.poly_id AND w.seq = (v.seq + 1) % 6)"""
@@ -771,6 +763,7 @@ def prepare_crop_inputs(L):
     kc = crop.monthly_kc(L.crops, L.days)
     pet = crop.crop_pet_grid(L.cells, pet_of(L), kc, L.zones, "Maize")
     yields = crop.yield_grid(owned(L), L.spam, L.country_yield, "irr")
+    yields = io.materialized(yields, "yields")  # read twice below
     cover = crop.plant_cover_grid(L.cells, L.crops, L.zones, L.months, "Maize")
     zoned = crop.residues(yields, L.residues, "Maize").join(L.cells.join(F.broadcast(L.zones), "zone_id").select("cell_id", "zone_group"), "cell_id")
     res = crop.monthly_split(zoned.select("cell_id", "zone_group", "res"), kc.where("crop = 'Maize'"), "res")

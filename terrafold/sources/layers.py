@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,20 @@ SCENARIO = "crop string, practice string, n_years string, irr_fp string, red_til
 SUMMARY = ["region", "practice", "metric", "value", "unit", "notes"]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; one of our own where none is set."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = conf.rstrip("/") if conf else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup_csv(spark: SparkSession, path: str, schema: str, description: str, sep: str = ",") -> DataFrame:
     """A CSV lookup by position; a missing file raises FileNotFoundError that names table and path."""
     try:
