@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import whole
 
 MARK = "▁"
-#: Units whose encoding a task keeps; beyond it the memo starts afresh.
-MEMO = 400_000
+#: Units whose encoding a worker keeps; beyond it the memo starts afresh.
+MEMO = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
 
 
@@ -58,6 +60,9 @@ class Encoder:
         for p in self.id:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        self.plain = [p.replace(MARK, " ") if k == NORMAL else None for p, k in zip(self.text, self.kind, strict=True)]
+        self.letters = {p for p in self.id if len(p) == 1}
+        self.whole: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.units: dict[str, tuple[int, str, str]] = {}
 
@@ -96,41 +101,54 @@ class Encoder:
             known = self.pairs[pair] = self.merge(left + right) == [left, right]
         return known
 
+    def alone(self, piece: str) -> bool:
+        """Whether a piece comes back when its own text is merged."""
+        if (known := self.whole.get(piece)) is None:
+            known = self.whole[piece] = self.merge(piece) == [piece]
+        return known
+
     def backtrack(self, text: str) -> list[str]:
         """Pieces of a text whose characters all are in the vocabulary."""
-        if text in self.id and self.merge(text) == [text]:
+        if text in self.id and self.alone(text):
             return [text]
-        n = len(text)
-        starts: list[list[int]] = [[] for _ in range(n)]  # lengths of the matches at each start
+        n, pairs = len(text), self.pairs
+        starts: list[list[int]] = [[] for _ in range(n + 1)]  # lengths of the matches at each start, rising
         for end, size in self.automaton.iter(text):
             starts[end - size + 1].append(size)
         failed = bytearray(n // 8 + 1)  # bitfield of positions that no valid rest follows
         pieces: list[str] = []
-        choices: list[list[int]] = [sorted(starts[0])]  # lengths still open at each depth; the longest is last
         at = 0
         while at < n:
-            while choices[-1]:
-                size = choices[-1].pop()
-                to, piece = at + size, text[at : at + size]
+            left = starts[at]  # a position is entered once: what is popped here is never wanted again
+            while left:
+                to = at + left.pop()
                 if failed[to >> 3] >> (to & 7) & 1:
                     continue
-                if self.apart(pieces[-1], piece) if pieces else self.merge(piece) == [piece]:
+                piece = text[at:to]
+                if pieces:
+                    if (fits := pairs.get((pieces[-1], piece))) is None:
+                        fits = self.apart(pieces[-1], piece)
+                else:
+                    fits = self.alone(piece)
+                if fits:
                     pieces.append(piece)
                     at = to
-                    choices.append(sorted(starts[at]) if at < n else [])
                     break
             else:
                 if not pieces:
                     raise ValueError("the vocabulary does not hold what its own merges need")
                 # The valid encoding of a prefix is unique, so a position is only ever reached in one way.
                 failed[at >> 3] |= 1 << (at & 7)
-                choices.pop()
                 at -= len(pieces.pop())
         return pieces
 
     def unit(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, and the decoded text of one unit."""
-        ids: list[int] = []
+        if self.letters.issuperset(text):
+            pieces = self.merge(text) if text.startswith(MARK * 2) else self.backtrack(text)
+            ids = [self.id[p] for p in pieces]
+            return len(ids), ",".join(map(str, ids)), "".join([self.plain[i] for i in ids])
+        ids = []
         for known, chunk in self.runs(text):
             if known:
                 pieces = self.merge(chunk) if chunk.startswith(MARK * 2) else self.backtrack(chunk)
@@ -208,7 +226,12 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str
     body = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(model.value)
+        # kept by the worker process from task to task, so that a unit is encoded once a worker
+        kept = sys.modules.setdefault("_merge_type_encoders", types.ModuleType("_merge_type_encoders")).__dict__
+        key = hashlib.sha256(model.value).hexdigest()
+        if key not in kept:
+            kept[key] = Encoder(model.value)
+        encoder = kept[key]
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
