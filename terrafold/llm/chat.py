@@ -81,12 +81,11 @@ def doubled(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     while left and left != before:
         jumps.append(state.where("up is not null").select("tree_id", "id", "up"))
         above = state.select("tree_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("t2"))
-        joined = state.join(above, ["tree_id", "up"], "left")
-        state, _ = written(
-            joined.select("tree_id", "id", "parent_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"),
-                          (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")),
-            "chat-jump",
-        )
+        # only what still looks for its root is joined, so rounds after the first few touch the deep trees alone
+        moved = state.where("up is not null").join(above, ["tree_id", "up"]).select(
+            "tree_id", "id", "parent_id", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("total") + F.col("t2")).alias("total")
+        )
+        state, _ = written(state.where("up is null").unionByName(moved), "chat-jump")
         before, left = left, state.where("up is not null").count()
     nodes = state.select("tree_id", "id", "parent_id", F.col("steps").alias("depth"), "total", F.col("up").isNull().alias("rooted"))
     return nodes, jumps
