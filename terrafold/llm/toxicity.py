@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole
@@ -33,19 +33,19 @@ BAGS = 1000
 LANDMARKS, CLEAN, ROUNDS, DECAY, COST = 448, 9_000, 4, 0.6, 100_000.0
 #: Witnesses, the commonest first, that get copies with inserted characters.
 BENT = 150
-#: A witness is in so many toxic bags and so large a share of them at least, and so many times as often as in clean ones.
-WITNESS_BAGS, WITNESS_SHARE, WITNESS_RATE, NOISE = 3, 0.008, 8.0, 0.1
+#: A witness is in so large a share of the toxic bags at least, well above chance, and so many times as often as in clean ones.
+WITNESS_SHARE, WITNESS_RATE, NOISE = 0.008, 8.0, 0.1
 #: Weight of a guessed witness beside that of a told one.
 LONE = 0.05
 #: Where the border lies between the highest clean and the lowest toxic training bags, a few on each side aside.
-BORDER = 0.6
+BORDER = 0.65
 #: Clean labelled documents for each toxic one.
 CLEAN_SHARE = 4
 #: Offsets of the second and third character of a subsequence from its first, and the weight of their gaps.
 SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, 5) for j in range(1, k)]
 FEATURES, WIDTH, EDGE = 1 << 21, 32, 127
-#: Tokens whose score a task keeps.
-MEMO = 400_000
+#: Tokens whose score a task keeps, and texts that it takes at a time.
+MEMO, STRIDE = 200_000, 200
 #: Single characters parted by one or two others, as in ``i d i o t``.
 SPELT = re.compile(r"(?<!\w)(?:\w[\W_]{1,2}){3,}\w(?!\w)")
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
@@ -128,8 +128,8 @@ class Machine:
         lengths = np.array([len(w) for w in flat])
         for low, high in ((0, 6), (6, 10), (10, 16), (16, WIDTH)):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
+            for at in range(0, len(rows), 5_000):
+                part = rows[at : at + 5_000]
                 f, w = featurise([flat[i] for i in part])
                 norm = np.sqrt(np.maximum((w * w).sum(1), 1e-9))
                 np.maximum.at(out, owner[part], (self.weights[f] * w).sum(1) / norm + self.bias)
@@ -238,12 +238,14 @@ def first_guess(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarra
     return out
 
 
-def fit(bags: list[set[str]], labels: list[int], seed: int = 7) -> Machine:
-    """The machine from bags of tokens and their labels; both classes occur."""
+def fit(bags: Iterable[Iterable[str]], labels: list[int], seed: int = 7) -> Machine:
+    """The machine from bags of tokens, each read once, and their labels; both classes occur."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    members = [sorted({w for t in b for w in windows(t) if w}) for b in bags]
-    index = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in m], np.int64) for m in members]
+    index = []
+    for bag in bags:
+        held = {vocabulary.setdefault(w, len(vocabulary)) for t in bag for w in windows(t) if w}
+        index.append(np.array(sorted(held), np.int32))
     words, y = list(vocabulary), np.array(labels)
     own = without_copies(index, y, words, rng)
     toxic = [index[i] for i in own if y[i] == 1 and len(index[i])]
@@ -253,7 +255,8 @@ def fit(bags: list[set[str]], labels: list[int], seed: int = 7) -> Machine:
     clean_words = np.flatnonzero(in_clean > 0)
     # Tokens that several toxic bags hold and clean ones hardly ever are witnesses; a bag without one has its worst.
     rate = (in_toxic / len(toxic)) / ((in_clean + 0.1) / len(clean))
-    telling = (in_toxic >= max(WITNESS_BAGS, WITNESS_SHARE * len(toxic))) & (rate >= WITNESS_RATE)
+    by_chance = (in_clean + 1) / (len(clean) + 1) * len(toxic)
+    telling = (in_toxic >= np.maximum(by_chance + 3 * np.sqrt(by_chance) + 2, WITNESS_SHARE * len(toxic))) & (rate >= WITNESS_RATE)
     unexplained = [i for i in toxic if not telling[i].any()]
     if len(unexplained) < NOISE * len(toxic):  # so few are taken for wrong labels
         unexplained = []
@@ -280,7 +283,8 @@ def fit(bags: list[set[str]], labels: list[int], seed: int = 7) -> Machine:
         folded = np.zeros(FEATURES)
         np.add.at(folded, tf[marks], tw[marks] * per_mark[:, None])
         folded = folded.astype(np.float32)
-        margin = Machine(folded, float(beta[-1]), 1.0, 0.0).margins(words)
+        machine = Machine(folded, float(beta[-1]), 1.0, 0.0)
+        margin = np.concatenate([machine.margins(words[at : at + 50_000]) for at in range(0, len(words), 50_000)])
     top = np.array([margin[i].max() if len(i) else beta[-1] for i in index])
     slope, shift = calibrate(top, y)
     # The clean side has more and rarer tokens than any sample: the border lies nearer to the toxic side.
@@ -336,54 +340,47 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bags: int =
     found = set(rows["y"])
     if len(found) < 2:
         return float(next(iter(found), 0))
-    return fit([set(b.split("\n")) - {""} for b in rows["bag"]], rows["y"].tolist())
+    return fit(([t for t in b.split("\n") if t] for b in rows["bag"]), rows["y"].tolist())
 
 
-def score(docs: DataFrame, machine: Machine | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of each row's whole text."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    if isinstance(machine, float):
-        return docs.select(id_col, F.lit(machine).alias("score"))
-    state = docs.sparkSession.sparkContext.broadcast((machine.weights, machine.bias, machine.slope, machine.shift))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local, memo = Machine(*state.value), {}
-        for pdf in batches:
-            bags = [tokens(t) for t in pdf["text"]]
+def scores(texts: Iterator[pd.Series], state: tuple) -> Iterator[list[float]]:
+    """The score of each text of each batch; a few texts at a time, so that memory stays bounded by ``MEMO``."""
+    machine, memo = Machine(*state), {}
+    for batch in texts:
+        out: list[float] = []
+        for at in range(0, len(batch), STRIDE):
+            bags = [tokens(t) for t in batch.iloc[at : at + STRIDE]]
             if len(memo) > MEMO:
                 memo.clear()
             new = list(set().union(*bags).difference(memo))
-            for at in range(0, len(new), 100_000):
-                part = new[at : at + 100_000]
-                memo.update(zip(part, local.margins(part).tolist(), strict=True))
-            out = [local.score(max(map(memo.__getitem__, b))) if b else 0.0 for b in bags]
-            yield pd.DataFrame({"id": pdf["id"], "score": out})
-
-    # ids as text on the way, so that null ids do not turn longs into doubles
-    slim = docs.select(F.col(id_col).cast("string").alias("id"), whole(F.col(text_col)).alias("text"))
-    return slim.mapInPandas(run, "id string, score double").select(F.col("id").cast(kind).alias(id_col), "score")
+            for i in range(0, len(new), 20_000):
+                memo.update(zip(new[i : i + 20_000], machine.margins(new[i : i + 20_000]).tolist(), strict=True))
+            out += [machine.score(max(map(memo.__getitem__, b))) if b else 0.0 for b in bags]
+        yield out
 
 
-def keep(docs: DataFrame, machine: Machine | float, text_col: str = "text") -> DataFrame:
-    """The documents that score under 0.5, with their columns."""
+def scored(docs: DataFrame, machine: Machine | float, text_col: str = "text") -> Column:
+    """The score of each row's whole text."""
     if isinstance(machine, float):
-        return docs.where(F.lit(machine < 0.5))
+        return F.lit(machine)
     state = docs.sparkSession.sparkContext.broadcast((machine.weights, machine.bias, machine.slope, machine.shift))
 
-    @F.pandas_udf("boolean")
-    def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        local, memo = Machine(*state.value), {}
-        for batch in texts:
-            bags = [tokens(t) for t in batch]
-            if len(memo) > MEMO:
-                memo.clear()
-            new = list(set().union(*bags).difference(memo))
-            for at in range(0, len(new), 100_000):
-                part = new[at : at + 100_000]
-                memo.update(zip(part, local.margins(part).tolist(), strict=True))
-            yield pd.Series([not b or local.score(max(map(memo.__getitem__, b))) < 0.5 for b in bags])
+    @F.pandas_udf("double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for out in scores(texts, state.value):
+            yield pd.Series(out, dtype="float64")
+
+    return of(whole(F.col(f"`{text_col}`")))
+
+
+def score(docs: DataFrame, machine: Machine | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and score (0 to 1) of each row's whole text."""
+    return docs.select(id_col, scored(docs, machine, text_col).alias("score"))
+
 
-    return docs.where(passes(whole(F.col(f"`{text_col}`"))))
+def keep(docs: DataFrame, machine: Machine | float, text_col: str = "text") -> DataFrame:
+    """The documents that score under 0.5, with their columns."""
+    return docs.where(scored(docs, machine, text_col) < 0.5)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
