@@ -6,8 +6,10 @@ a second, linear fold moves the pools. States are kept by year, not by month, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,17 @@ def deficits(df: DataFrame, depth: float = 23.0) -> DataFrame:
     return df.withColumn("deficit", F.aggregate(F.sequence(F.lit(1), F.col("n_years").cast("int")), start, year, lambda s: s["out"]))
 
 
+def prepared(df: DataFrame, modifier: Modifier | None) -> DataFrame:
+    """Adds what stays the same in all months: initial pools, respired ratio, decay rates, and temperature times cover."""
+    pools = formulas.initial_pools(F.col("soc0"), F.col("clay"))
+    if "iom" in df.columns:
+        pools["iom"] = F.coalesce(F.col("iom"), pools["iom"])
+    x = formulas.respired_ratio(F.col("clay"))
+    base = F.transform("tmp", lambda t, i: formulas.temperature_modifier(t) * formulas.cover_modifier(F.col("pc")[i].cast("int")))
+    df = df.withColumns({f"_{p}": c for p, c in pools.items()} | {"_x": x, "_base": base})
+    return df.withColumns({f"_k_{p}": (modifier(F.col("sand"), p) if modifier else F.lit(1.0)) * formulas.DECAY[p] / 12 for p in POOLS})
+
+
 def annual(
     df: DataFrame, keep: list[str], *, modifier: Modifier | None = None, include_start: bool = True, depth: float = 23.0,
     fym_to_hum: bool = False, to_stable: float = formulas.TO_STABLE,
@@ -66,14 +79,7 @@ def annual(
     ``modifier`` gives the tillage factor of a pool from the sand column. A site's own inert pool replaces the derived
     one without moving the others. ``fym_to_hum`` puts the two hundredths of manure into the humified pool.
     """
-    df = deficits(df, depth)
-    pools = formulas.initial_pools(F.col("soc0"), F.col("clay"))
-    if "iom" in df.columns:
-        pools["iom"] = F.coalesce(F.col("iom"), pools["iom"])
-    x = formulas.respired_ratio(F.col("clay"))
-    base = F.transform("tmp", lambda t, i: formulas.temperature_modifier(t) * formulas.cover_modifier(F.col("pc")[i].cast("int")))
-    df = df.withColumns({f"_{p}": c for p, c in pools.items()} | {"_x": x, "_base": base})
-    df = df.withColumns({f"_k_{p}": (modifier(F.col("sand"), p) if modifier else F.lit(1.0)) * formulas.DECAY[p] / 12 for p in POOLS})
+    df = prepared(deficits(df, depth), modifier)
 
     def month(d: Column, y: Column, m: Column) -> Column:
         rate = at(F.col("_base"), y, m) * formulas.moisture_modifier(d, F.col("_most"), F.col("_one_bar"))
@@ -115,3 +121,56 @@ def annual(
 def reduced_tillage(df: DataFrame, keep: list[str], **options: object) -> DataFrame:
     """``annual`` with decay slowed or quickened by the sand band."""
     return annual(df, keep, modifier=formulas.tillage_modifier, **options)
+
+
+def annual_blocks(df: DataFrame, keep: list[str], *, modifier: Modifier | None = None, depth: float = 23.0, to_stable: float = formulas.TO_STABLE) -> DataFrame:
+    """``annual`` from year 0 with the fold run month by month over whole Arrow batches of cells: many times faster.
+
+    Same result; the set-up stays in column expressions. Missing values come out missing.
+    """
+    most, one_bar, bare = formulas.deficit_bounds(F.col("clay"), depth)
+    df = prepared(df, modifier).withColumns({"_most": most, "_one_bar": one_bar, "_bare": bare})
+    arrays, singles = ["_base", "water", "evap", "pc", "c_inp", "fym"], ["_most", "_one_bar", "_bare", "_x", "_iom", "soc0"]
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            one = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
+            lengths = batch.column("_base").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths[~np.isnan(lengths.astype(float))]).astype(int) if rows else ():
+                at = np.flatnonzero(lengths == size)
+                take = batch.take(pa.array(at))
+                grid = {a: take.column(a).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size).T for a in arrays}
+                base, water, evap, cover, plant, manure = (np.ascontiguousarray(grid[a]) for a in arrays)
+                v = {c: one(c)[at] for c in [*singles, *(f"_{p}" for p in POOLS), *(f"_k_{p}" for p in POOLS)]}
+                n = take.column("_n").to_numpy(zero_copy_only=False).astype(int)
+                pools, k = np.array([v[f"_{p}"] for p in POOLS]), np.array([v[f"_k_{p}"] for p in POOLS])
+                x1, share = v["_x"] + 1, to_stable / (to_stable + 1)
+                swc, out = np.zeros(len(at)), [(0, v["soc0"], np.zeros(len(at)))]
+                for year in range(1, n.max() + 1):
+                    co2 = np.zeros(len(at))
+                    for m in range(12):
+                        t = ((year - 1) * 12 + m) % size
+                        moved = swc + water[t] - 0.75 * evap[t]
+                        wet = np.minimum(0.0, np.maximum(v["_most"], moved))
+                        swc = np.where(cover[t] == 1, wet, np.minimum(swc, np.maximum(v["_bare"], moved)))
+                        moist = np.where(swc > v["_one_bar"], 1.0, 0.2 + 0.8 * (v["_most"] - swc) / (v["_most"] - v["_one_bar"]))
+                        left = pools * np.exp(-(base[t] * moist) * k)
+                        lost = (pools - left).sum(0)
+                        left[0] += share * plant[t] + 0.49 * manure[t]
+                        left[1] += (1 - share) * plant[t] + 0.49 * manure[t]
+                        left[2] += lost * 0.46 / x1
+                        left[3] += lost * 0.54 / x1
+                        co2 += lost * v["_x"] / x1
+                        pools = left
+                    out.append((year, pools.sum(0) + v["_iom"], co2))
+                keys = take.select(keep)
+                for year, soc, co2 in out:
+                    live = np.flatnonzero(n >= year)
+                    some = keys.take(pa.array(live))
+                    values = [pa.array(np.full(len(live), year, np.int32)), pa.array(soc[live], from_pandas=True), pa.array(co2[live], from_pandas=True)]
+                    yield pa.RecordBatch.from_arrays([*some.columns, *values], [*keep, "year", "soc", "co2"])
+
+    slim = df.select(*keep, F.col("n_years").cast("int").alias("_n"), *arrays, *dict.fromkeys([*singles, *(f"_{p}" for p in POOLS), *(f"_k_{p}" for p in POOLS)]))
+    return slim.mapInArrow(fold, f"{kinds}, year int, soc double, co2 double")

@@ -774,14 +774,15 @@ def prepare_crop_inputs(L):
 
 
 def scenario_rows(L: Layers, n_years: int) -> DataFrame:
-    """All scenarios over the land use in two jobs' worth of plan: conventional and reduced tillage."""
+    """All scenarios over the land use in one run; the tillage factor follows each scenario's flag."""
     rows = L.monthly.join(L.cells.where("lu = 1").select("cell_id"), "cell_id").crossJoin(F.broadcast(L.scenarios))
     need = crop.irrigation_need(c("evap"), c("rain"))
     rows = rows.withColumn("water", c("rain") + F.when(c("irrigated"), need).otherwise(0.0)).withColumn("c_inp", c("c_inp") * F.when(c("residues"), 1.0).otherwise(0.0))
     arrays = carbon.pack(rows, ["scenario", "red_till", "cell_id"], ["tmp", "water", "evap", "pc", "c_inp", "fym"])
     ready = arrays.join(L.cells.select("cell_id", "clay", "sand", "soc0"), "cell_id").withColumn("n_years", F.lit(n_years))
     keep = ["scenario", "cell_id"]
-    return carbon.annual(ready.where("not red_till"), keep).unionByName(carbon.reduced_tillage(ready.where("red_till"), keep))
+    band = lambda sand, pool: F.when(c("red_till"), formulas.tillage_modifier(sand, pool)).otherwise(1.0)
+    return carbon.annual_blocks(ready, keep, modifier=band)
 
 
 SCENARIO_SQL = []

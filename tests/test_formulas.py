@@ -34,6 +34,15 @@ def test_mass_balance_and_long_drivers(spark):
     assert carbon.annual(long, ["cell_id"]).where("year = 2").first().soc == pytest.approx(35.909515, abs=1e-5)
 
 
+def test_blocks_equal_the_fold(spark):
+    df = soil(spark, n=4, c_inp=[0.2] * 12, fym=[0.1] * 12, pc=[0.0, 1.0] * 6, evap=[90.0] * 12).unionByName(soil(spark, n=2, sand=36.0)).unionByName(soil(spark, n=1, clay=None))
+    for modifier in (None, formulas.tillage_modifier):
+        a, b = ([tuple(r) for r in f(df, ["cell_id", "n_years"], modifier=modifier).orderBy("n_years", "year").collect()] for f in (carbon.annual, carbon.annual_blocks))
+        assert len(a) == 10 and [x[:3] for x in a] == [x[:3] for x in b]
+        assert [v for x in a for v in x[3:5] if v is not None and x[1] > 1] == pytest.approx([v for x in b for v in x[3:5] if v is not None and x[1] > 1])
+    assert carbon.annual_blocks(df.limit(0), ["cell_id"]).count() == 0
+
+
 def test_tillage_modifiers(spark):
     rows = spark.createDataFrame([(10.0,), (36.0,), (38.0,), (20.0,), (None,)], "sand double")
     got = rows.select(*[formulas.tillage_modifier(F.col("sand"), p) for p in carbon.POOLS]).collect()
