@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, neardup, packing, pieces, pii, quality, toxicity, urls, warc
+from . import ann, chat, neardup, oracles, packing, pieces, pii, quality, toxicity, urls, warc
 from .common import table
 
 
@@ -65,4 +65,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_ann": op6_ann, "op7_sentencepiece": op7_sentencepiece, "op8_neardup": op8_neardup, "op9_warc": op9_warc, "op10_packing": op10_packing}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_quality": oracles.OP4, "op8_neardup": oracles.OP8, "op9_warc": oracles.OP9}
