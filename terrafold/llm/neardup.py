@@ -10,7 +10,8 @@ exactly the threshold, falling fast above it.
 No bucket is expanded into pairs. Round one pairs each member with its bucket's smallest id and confirms each id's
 nearest; what links merges. Round two takes buckets that still hold different components and pairs every member
 outside the bucket's first component with its nearest member of another one; round three pairs all that are still
-apart and within the distance, so that no link between components is lost. Large buckets are cut into a grid of blocks.
+apart and within the distance, so that no link between components is lost. Pairs of small sets are confirmed inside the
+bucket, each in the first bucket that it shares. Large buckets are cut into a grid of blocks.
 
 Null and blank texts have an empty set and link with nothing; repeated rows are one class; null ids take no part and
 keep themselves; ties go to the smaller id; an empty table gives an empty result; extra columns are ignored.
@@ -33,6 +34,8 @@ CHUNKS, PER_CHUNK = 13, 5
 SLOTS = CHUNKS * PER_CHUNK
 #: Members of one block of a large bucket.
 BLOCK = 1500
+#: Sets up to this size go along into the buckets and are compared there.
+SMALL = 256
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -94,21 +97,22 @@ def keys_of(sigs: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """id, number of shingles, digest of the set and signature of each document."""
+    """id, number of shingles, digest of the set, signature and, if small, the set of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for pdf in batches:
-            n, digests, sigs = [], [], []
+            n, digests, sigs, small = [], [], [], []
             for text in pdf["text"]:
                 s = shingle_set(text, size, hashes)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(signature(s).tobytes() if len(s) else b"")
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "digest": digests, "sig": sigs})
+                small.append(s.tobytes() if len(s) <= SMALL else None)
+            yield pd.DataFrame({"id": pdf["id"], "n": n, "digest": digests, "sig": sigs, "small": small})
 
     rows = docs.select(F.col("doc_id").alias("id"), whole(F.col("text")).alias("text")).where("id is not null")
-    return rows.mapInPandas(run, "id long, n long, digest binary, sig binary")
+    return rows.mapInPandas(run, "id long, n long, digest binary, sig binary, small binary")
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -200,12 +204,17 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
     return labels, files
 
 
-def apart_in_buckets(keys: DataFrame, nodes: DataFrame, labels: DataFrame, errors: int, threshold: float, nearest_only: bool) -> DataFrame:
-    """(a, b) of members of one bucket with different labels, within the distance.
+def apart_in_buckets(
+    keys: DataFrame, nodes: DataFrame, labels: DataFrame, errors: int, percent: int, nearest_only: bool
+) -> DataFrame:
+    """(a, b, sure) of members of one bucket with different labels: confirmed links, or pairs within the distance.
 
     Members outside the label of the bucket's smallest id are compared with all members of other labels: at least one
-    of any two labels is outside. ``nearest_only`` gives each of them its nearest partner in a block only.
+    of any two labels is outside. Small sets are confirmed here, and of their links only those that join something new
+    come out. Of the other pairs, ``nearest_only`` gives each member its nearest partner in a block; without it, small
+    sets are left out, as they are done.
     """
+    threshold = percent / 100
     named = keys.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     stats = named.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"),
@@ -217,27 +226,53 @@ def apart_in_buckets(keys: DataFrame, nodes: DataFrame, labels: DataFrame, error
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     left = mixed.where("label <> home").select("key", block.alias("lb"), every.alias("rb"), "id", "label", F.lit(True).alias("outside"))
     right = mixed.select("key", every.alias("lb"), block.alias("rb"), "id", "label", F.lit(False).alias("outside"))
-    rows = left.unionByName(right).join(nodes.select("id", "n", "sig"), "id")
+    rows = left.unionByName(right).join(nodes.select("id", "n", "sig", "small"), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf["outside"].to_numpy()
         ids, label, n = (pdf[c].to_numpy() for c in ("id", "label", "n"))
         sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), SLOTS)
-        found_a, found_b = [], []
+        here, each = pdf["key"].iloc[0], keys_of(sigs)
+        sets = [None if x is None else frozenset(np.frombuffer(x, np.uint64).tolist()) for x in pdf["small"]]
+        small = np.array([x is not None for x in sets])
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        found: list[tuple[int, int, bool]] = []
         inside = np.flatnonzero(~out)
         for i in np.flatnonzero(out):
             other = inside[label[inside] != label[i]]
+            if small[i] and not nearest_only:
+                other = other[~small[other]]
             other = other[np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]) - 1e-9]
             distance = (sigs[other] != sigs[i]).sum(1)
-            near = other[distance <= errors]
-            if nearest_only and len(near):
-                near = near[[np.lexsort((ids[near], distance[distance <= errors]))[0]]]
-            found_a += [ids[i]] * len(near)
-            found_b += ids[near].tolist()
-        return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
-
-    pairs = rows.groupBy("key", "lb", "rb").applyInPandas(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            other, distance = other[distance <= errors], distance[distance <= errors]
+            if not len(other):
+                continue
+            shared = each[other] == each[i]
+            first = each[i][shared.argmax(1)] == here  # a pair is looked at in the first bucket that it shares
+            both = small[other] & small[i]
+            if nearest_only:
+                for j in other[both & first].tolist():
+                    if find(label[i]) != find(label[j]):
+                        common = len(sets[i] & sets[j])
+                        if 100 * common >= percent * (n[i] + n[j] - common):
+                            root[find(label[i])] = find(label[j])
+                            found.append((ids[i], ids[j], True))
+                rest, far = other[~both], distance[~both]
+                if len(rest):
+                    found.append((ids[i], ids[rest[np.lexsort((ids[rest], far))[0]]], False))
+            else:
+                found += [(ids[i], ids[j], False) for j in other[~both & first]]
+        a, b, sure = zip(*found, strict=True) if found else ((), (), ())
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "sure": np.array(sure, bool)})
+
+    pairs = rows.groupBy("key", "lb", "rb").applyInPandas(run, "a long, b long, sure boolean")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct()
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -252,8 +287,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     docs = docs.select("doc_id", "text")
     all_rows, rows_path = written(described(docs, size), "signatures")
-    classes = all_rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = kept(classes.select("id", "n", "sig"), "nodes")
+    classes = all_rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small"))
+    nodes = kept(classes.select("id", "n", "sig", "small"), "nodes")
 
     keys = bucket_keys(nodes)
     live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot")).where("members > 1")
@@ -275,7 +310,13 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if step == "stars":
             pairs = rest
         else:
-            pairs = apart_in_buckets(crowded, nodes, labels, errors, threshold, step == "nearest")
+            pairs = kept(apart_in_buckets(crowded, nodes, labels, errors, percent, step == "nearest"), "bucket-pairs")
+            sure = pairs.where("sure").select("a", "b")
+            if not sure.isEmpty():
+                links = links.unionByName(sure)
+                labels, more = components(links)
+                files += more
+            pairs = pairs.where("not sure").select("a", "b")
         la, lb = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}")) for x in ("a", "b"))
         pairs = pairs.join(tested, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
         pairs = kept(pairs.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b"), "pairs")
@@ -291,7 +332,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             labels, more = components(links)
             files += more
 
-    named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
+    named = all_rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id")).join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     result = all_rows.join(named, "digest", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
