@@ -7,6 +7,8 @@ tiles: a polygon's edges are dealt to the tile rows that they meet, so a test re
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +98,10 @@ def split_latitude(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("poly_id").agg(((F.min("y") >= -90) & (F.max("y") <= 90)).alias("valid"))
 
 
-def zonal(cells: DataFrame, owners: DataFrame, value: str) -> DataFrame:
-    """Mean, lower median and population deviation of the valid cells of each polygon; empty ones are left out."""
-    joined = owners.join(cells.select("cell_id", F.col(value).alias("v")).where("v is not null"), "cell_id")
-    return joined.groupBy("poly_id").agg(
+def zonal(cells: DataFrame, owners: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean, lower median and population deviation of the valid cells of each polygon (and ``by``); empty ones are left out."""
+    joined = owners.join(cells.select("cell_id", *by, F.col(value).alias("v")).where("v is not null"), "cell_id")
+    return joined.groupBy("poly_id", *by).agg(
         F.avg("v").alias("cf"), F.expr("percentile_disc(0.5) within group (order by v)").alias("cf_median"), F.stddev_pop("v").alias("cf_std")
     )
 

@@ -15,6 +15,8 @@ from .fixtures import Layers, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Whole jobs that no SQL answers in a fair time, or beyond what the SQL of their namesakes in ``QUERIES`` holds.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 GRID = {"x0": -100.0, "y0": 60.0, "step": 1.0}
 c = F.col
 
@@ -31,6 +33,12 @@ def query(sql: str | None = None, *steps: str) -> Callable:
     return add
 
 
+def whole(f: Callable[[Layers], DataFrame]) -> Callable:
+    """Register a function of the layers without SQL."""
+    WHOLE[f.__name__] = lambda spark, sf_dir: f(Layers(spark, sf_dir))
+    return f
+
+
 def r4(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 4) for n in columns})
 
@@ -773,13 +781,15 @@ def prepare_crop_inputs(L):
     return r4(rows, "pet", "irrigation", "yield", "res")
 
 
-def scenario_rows(L: Layers, n_years: int) -> DataFrame:
-    """All scenarios over the land use in one run; the tillage factor follows each scenario's flag."""
+def scenario_rows(L: Layers, n_years: int | None = None) -> DataFrame:
+    """All scenarios over the land use in one run, each for its own years unless ``n_years`` is given; the tillage factor follows each scenario's flag."""
     rows = L.monthly.join(L.cells.where("lu = 1").select("cell_id"), "cell_id").crossJoin(F.broadcast(L.scenarios))
     need = crop.irrigation_need(c("evap"), c("rain"))
     rows = rows.withColumn("water", c("rain") + F.when(c("irrigated"), need).otherwise(0.0)).withColumn("c_inp", c("c_inp") * F.when(c("residues"), 1.0).otherwise(0.0))
-    arrays = carbon.pack(rows, ["scenario", "red_till", "cell_id"], ["tmp", "water", "evap", "pc", "c_inp", "fym"])
-    ready = arrays.join(L.cells.select("cell_id", "clay", "sand", "soc0"), "cell_id").withColumn("n_years", F.lit(n_years))
+    if n_years is not None:
+        rows = rows.withColumn("n_years", F.lit(n_years))
+    arrays = carbon.pack(rows, ["scenario", "red_till", "n_years", "cell_id"], ["tmp", "water", "evap", "pc", "c_inp", "fym"])
+    ready = arrays.join(L.cells.select("cell_id", "clay", "sand", "soc0"), "cell_id")
     keep = ["scenario", "cell_id"]
     band = lambda sand, pool: F.when(c("red_till"), formulas.tillage_modifier(sand, pool)).otherwise(1.0)
     return carbon.annual_blocks(ready, keep, modifier=band)
@@ -807,3 +817,38 @@ def scenario_report(L):
     change = algebra.pct_change(rows, ["scenario", "cell_id"]).groupBy("scenario", "year").agg(F.round(F.avg("pct"), 3).alias("pct"))
     series = algebra.timeseries(rows.withColumn("label", c("scenario"))).withColumnRenamed("label", "scenario")
     return series.withColumns({n: F.round(n, 3) for n in ("mean", "q1", "q3")}).join(change, ["scenario", "year"])
+
+
+@whole
+def run_carbon_scenarios_whole(L):
+    """Every scenario for all the years that its row gives."""
+    return r4(scenario_rows(L), "soc", "co2")
+
+
+@whole
+def scenario_report_whole(L):
+    """(part, scenario, other, year, cell_id, poly_id, measure, value) over all years of all scenarios.
+
+    Parts: ``series`` (mean and quartiles a year), ``change`` (mean change from the start), ``benefit`` (change of each
+    cell in the last common year from scenario to other), ``zonal`` (statistics of each polygon in the last year).
+    """
+    rows = io.materialized(scenario_rows(L).withColumnRenamed("soc", "value"), "scenarios")  # read by every part
+    last = F.broadcast(L.scenarios.select("scenario", "n_years"))
+    series = algebra.timeseries(rows.withColumn("label", c("scenario"))).withColumnRenamed("label", "scenario")
+    change = algebra.pct_change(rows, ["scenario", "cell_id"]).groupBy("scenario", "year").agg(F.avg("pct").alias("pct"))
+    pairs = last.crossJoin(last.select(c("scenario").alias("other"), c("n_years").alias("n_other"))).where("scenario <> other")
+    pairs = F.broadcast(pairs.select("scenario", "other", F.least("n_years", "n_other").alias("year")))
+    base = rows.join(pairs, ["scenario", "year"]).select("scenario", "other", "year", "cell_id", c("value").alias("v1"))
+    to = rows.select(c("scenario").alias("other"), "year", "cell_id", c("value").alias("v2"))
+    benefit = base.join(to, ["other", "year", "cell_id"]).withColumn("benefit", (F.try_divide("v2", "v1") - 1) * 100)
+    ends = rows.join(last.withColumnRenamed("n_years", "year"), ["scenario", "year"])
+    zonal = spatial.zonal(ends, polygons_of_cells(L), "value", ["scenario", "year"])
+
+    def part(name: str, df: DataFrame, *measures: str) -> DataFrame:
+        keys = [("other", "string"), ("cell_id", "long"), ("poly_id", "long")]
+        held = [(c(k) if k in df.columns else F.lit(None)).cast(t).alias(k) for k, t in keys]
+        pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 4).alias("value")) for m in measures])).alias("_m")
+        return df.select(F.lit(name).alias("part"), "scenario", "year", *held, pairs).select("part", "scenario", "other", "year", "cell_id", "poly_id", "_m.measure", "_m.value")
+
+    out = part("series", series, "mean", "q1", "q3").unionByName(part("change", change, "pct"))
+    return out.unionByName(part("benefit", benefit, "benefit")).unionByName(part("zonal", zonal, "cf", "cf_median", "cf_std"))
