@@ -34,6 +34,7 @@ class Kind:
     score: float
     context: str
     base: bool = False
+    ahead: bool = False  # the pattern is a lookahead whose group 1 is the match, so each start is tried
 
 
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -48,6 +49,18 @@ MOD97 = (
     f"length({COMPACT}) between 15 and 34 and aggregate(split(concat(substr({COMPACT}, 5), left({COMPACT}, 4)), ''), 0, "
     "(a, c) -> if(c = '', a, if(c between '0' and '9', (a * 10 + ascii(c) - 48) % 97, (a * 100 + ascii(c) - 55) % 97))) = 1"
 )
+#: Countries of each IBAN length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Known countries have their length; others end where their run does.
+IBAN = "|".join(
+    [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    + [rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"]
+)
 LOCAL = "[A-Za-z0-9._%+-]"
 
 KINDS = (
@@ -59,8 +72,8 @@ KINDS = (
          "card|visa|master|credit|pay|karte|carte|tarjeta", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", f"length({DIGITS}) between 9 and 15", 0.7,
          "phone|call|tel|mobile|fax|contact", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]",
-         MOD97, 0.9, "iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=((?:{IBAN})(?![A-Za-z0-9])))", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]",
+         MOD97, 0.9, "iban|account|bank|konto|compte|cuenta", ahead=True),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}",
          "not m rlike '^(000|666|9)|-00-|-0000$'", 0.3, "ssn|social|security"),
     Kind("local_phone", r"(?<![0-9+(.-])(?<![0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
@@ -85,15 +98,20 @@ def spans_of(kind: Kind, text: str, pieces: str, matches: str) -> Column:
         f"round({kind.score} + if({around} rlike {literal(r'\b(?:' + kind.context + ')')}, 0.3, 0) "
         f"- if({around} rlike {literal(r'\b(?:' + AGAINST + r')\b')}, 0.2, 0), 4)"
     )
+    taken = "0" if kind.ahead else f"length(element_at({matches}, i))"
+    if kind.ahead:  # a split at a lookahead has no empty piece before a match at 0
+        pieces = f"if(size({pieces}) > size({matches}), {pieces}, concat(array(''), {pieces}))"
     placed = (
         f"aggregate(sequence(1, size({matches})), "
         "named_struct('at', 0L, 'found', cast(array() as array<struct<m:string,start:bigint,stop:bigint>>)), "
-        f"(s, i) -> named_struct('at', s.at + length(element_at({pieces}, i)) + length(element_at({matches}, i)), "
+        f"(s, i) -> named_struct('at', s.at + length(element_at({pieces}, i)) + {taken}, "
         f"'found', concat(s.found, array(named_struct('m', element_at({matches}, i), "
         f"'start', s.at + length(element_at({pieces}, i)), "
         f"'stop', s.at + length(element_at({pieces}, i)) + length(element_at({matches}, i)))))), s -> s.found)"
     )
     checked = f"filter({placed}, x -> exists(array(x.m), m -> {kind.check}))"
+    if kind.ahead:  # the next span begins after the one confirmed before
+        checked = f"aggregate({checked}, filter({checked}, x -> false), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).stop, a, concat(a, array(x))))"
     scored = f"transform({checked}, x -> named_struct('kind', '{kind.name}', 'start', x.start, 'stop', x.stop, 'score', cast({score} as double)))"
     if not kind.base:
         scored = f"filter({scored}, x -> x.score >= {THRESHOLD})"
@@ -109,7 +127,7 @@ def find(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KIND
         gated = F.col(text).rlike(k.gate)
         none = F.array().cast("array<string>")
         df = df.withColumns({
-            f"__m_{k.name}": F.when(gated, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none),
+            f"__m_{k.name}": F.when(gated, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(int(k.ahead)))).otherwise(none),
         })
     df = df.withColumns({
         f"__p_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split(text, k.pattern, -1)).otherwise(none) for k in kinds

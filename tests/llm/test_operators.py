@@ -56,6 +56,15 @@ def test_pii_base_and_added_spans(spark):
     assert pii.digest(docs(spark, [])).count() == 0
 
 
+def test_iban_ends_where_its_country_says(spark):
+    de, gb, grouped = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    texts = [f"{de} BIC: X", f"{grouped} BIC COBADEFF", f"pay {de} 12 May", f"{grouped} {gb}", f"é AB12 {grouped} CODE", f"no {de}7 A", f"{de} {de}", f"QQ12 {gb} Pay"]
+    got = [r.spans for r in pii.digest(docs(spark, texts)).orderBy("doc_id").collect()]
+    spans = [",".join(x for x in s.split(",") if x.startswith("iban")) for s in got]
+    assert spans == ["iban:0:22", "iban:0:27", "iban:4:26", "iban:0:27,iban:28:55", "iban:7:34", "", "iban:0:22,iban:23:45", "iban:5:32"]
+    assert pii.redact(docs(spark, texts[1:2])).first().text == "[IBAN] BIC COBADEFF"
+
+
 # --- URL filters
 
 
