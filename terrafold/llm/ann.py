@@ -213,9 +213,11 @@ def nearest(
         x, y, ids = stacked(own["v"]), stacked(ask["v"]), own["id"].to_numpy()
         nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
         rough, out = (y @ x.T) / nx, []
-        wide = min(len(x), 3 * (k + 1))
+        best_at = len(x) - min(len(x), k + 1)
+        # Rough scores differ from exact ones by rounding only, so whatever may be in the first k + 1 is kept, ties and all.
+        margin = 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps * ny
         for i, q in enumerate(ask["q"]):
-            near = np.argpartition(-rough[i], wide - 1)[:wide]
+            near = np.flatnonzero(rough[i] >= np.partition(rough[i], best_at)[best_at] - margin[i])
             score = (x[near] * y[i]).sum(1) / (nx[near] * ny[i])  # the same sum for equal vectors, so ties are exact
             best = np.lexsort((ids[near], -score))[: k + 1]
             out.append(pd.DataFrame({"q": q, "id": ids[near][best], "score": score[best]}))

@@ -205,6 +205,21 @@ def test_ann_recall_ties_and_unusable_vectors(spark):
     assert [r.vec_id for r in ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()] and ann.nearest(df.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_ann_keeps_the_smallest_ids_of_many_parallel_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-8, 8, 12).astype(float)
+    ids = rng.permutation(600)
+    # 60 vectors of one direction, scaled by powers of two so that their scores are equal, among 540 others in one leaf
+    rows = [(int(i), (v * 2.0 ** (n - 30) if n < 60 else rng.normal(size=12)).tolist()) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    tied = sorted(ids[:60].tolist())
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id").isin(tied), sample_rows=30).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in tied:
+        assert [i for _, i in sorted(got[q])] == [i for i in tied if i != q][:5]
+
+
 # --- subword pieces
 
 
