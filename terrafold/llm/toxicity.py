@@ -15,6 +15,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,8 +34,8 @@ BAGS = 1000
 LANDMARKS, CLEAN, ROUNDS, DECAY, COST = 448, 9_000, 4, 0.6, 100_000.0
 #: Witnesses, the commonest first, that get copies with inserted characters.
 BENT = 150
-#: A witness is in so large a share of the toxic bags at least, well above chance, and so many times as often as in clean ones.
-WITNESS_SHARE, WITNESS_RATE, NOISE = 0.008, 8.0, 0.1
+#: A witness is so many times as often in toxic bags as in clean ones, and as unlikely by chance as so few tokens of its count.
+WITNESS_RATE, CHANCE = 8.0, 0.5
 #: Weight of a guessed witness beside that of a told one.
 LONE = 0.05
 #: Where the border lies between the highest clean and the lowest toxic training bags, a few on each side aside.
@@ -238,6 +239,18 @@ def first_guess(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarra
     return out
 
 
+def significant(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Whether a token is in so many toxic bags of its bags that, among all tokens of as many bags, chance gives ``CHANCE`` such at most."""
+    share, total = toxic / (toxic + clean), (in_toxic + in_clean).astype(int)
+    as_common = len(total) - np.searchsorted(np.sort(total), total)
+    pairs, of = np.unique(np.c_[in_toxic.astype(int), total], axis=0, return_inverse=True)
+    tail = [
+        1.0 if t <= n * share else sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in range(t, n + 1))
+        for t, n in pairs.tolist()
+    ]
+    return np.array(tail)[of.ravel()] * as_common <= CHANCE
+
+
 def fit(bags: Iterable[Iterable[str]], labels: list[int], seed: int = 7) -> Machine:
     """The machine from bags of tokens, each read once, and their labels; both classes occur."""
     rng = np.random.default_rng(seed)
@@ -256,10 +269,8 @@ def fit(bags: Iterable[Iterable[str]], labels: list[int], seed: int = 7) -> Mach
     # Tokens that several toxic bags hold and clean ones hardly ever are witnesses; a bag without one has its worst.
     rate = (in_toxic / len(toxic)) / ((in_clean + 0.1) / len(clean))
     by_chance = (in_clean + 1) / (len(clean) + 1) * len(toxic)
-    telling = (in_toxic >= np.maximum(by_chance + 3 * np.sqrt(by_chance) + 2, WITNESS_SHARE * len(toxic))) & (rate >= WITNESS_RATE)
+    telling = (in_toxic >= by_chance + 3 * np.sqrt(by_chance) + 2) & (rate >= WITNESS_RATE) & significant(in_toxic, in_clean, len(toxic), len(clean))
     unexplained = [i for i in toxic if not telling[i].any()]
-    if len(unexplained) < NOISE * len(toxic):  # so few are taken for wrong labels
-        unexplained = []
     frequent = clean_words[np.argsort(-in_clean[clean_words], kind="stable")[: CLEAN // 3]]
     pool = np.union1d(frequent, rng.choice(clean_words, min(len(clean_words), CLEAN // 3), replace=False))
     for _ in range(ROUNDS):

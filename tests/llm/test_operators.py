@@ -169,6 +169,21 @@ def test_toxicity_learns_and_tolerates_insertions(spark):
         assert {r.score for r in toxicity.score(df, machine).collect()} == {want}
 
 
+def test_toxicity_learns_rare_insults():
+    rng = random.Random(6)
+    syllables = "th er on an re he in ed nd ha st ou le is it ar te se".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    common = ["fuzzwit", "gloopbag", "mudskull"]
+    rare = ["vlokjar", "bwyxum", "qipplod", "zukfrump", "jomgwyk", "kruvbax", "pfyzgol", "wompkyx", "xubvlig", "yakzump", "gryffok", "cvumpaz"]
+    # 500 toxic documents, of which each rare insult marks 3 (0.6 %), together 7.2 %
+    marks = [r for r in rare for _ in range(3)] + [rng.choice(common) for _ in range(464)]
+    bags = [{m, *(word() for _ in range(30))} for m in marks] + [{word() for _ in range(30)} for _ in range(1500)]
+    machine = toxicity.fit(bags, [1] * 500 + [0] * 1500)
+    fresh = lambda m: machine.score(float(machine.margins(sorted({m, *(word() for _ in range(30))})).max()))
+    assert sum(fresh(r) >= 0.5 for r in rare) >= 11
+    assert all(fresh(x) >= 0.5 for x in common) and sum(fresh("there") >= 0.5 for _ in range(100)) <= 2
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op5_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic is not null")
