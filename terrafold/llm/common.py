@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,14 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of our own where unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or on a single machine one of our own."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark.sparkContext, "_own_shared", None)
     if own is None:
         own = spark.sparkContext._own_shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -44,9 +49,35 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Paths written inside each open ``temporary`` block.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What ``written`` writes inside is deleted on leaving; results that live on are written before and outside of it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_open.pop())
+
+
+def lasting(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` for a result: it stays when the innermost ``temporary`` block ends, and goes with the next one out."""
+    out, path = written(df, name)
+    if _open:
+        _open[-1].remove(path)
+        if len(_open) > 1:
+            _open[-2].append(path)
+    return out, path
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
