@@ -23,6 +23,8 @@ from .common import whole
 THRESHOLD = 0.5
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 40, 20
+#: Code points of a piece of text; windows and what stands between spans are cut from such pieces, not from the whole.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -88,30 +90,49 @@ def literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans_of(kind: Kind, text: str, pieces: str, matches: str) -> Column:
-    """Checked and scored spans of one kind from the split pieces and the matches of its pattern."""
-    around = (
-        f"lower(concat(substr({text}, int(greatest(x.start - {BEFORE}, 0)) + 1, int(least(x.start, {BEFORE}))), ' ', "
-        f"substr({text}, int(x.stop) + 1, {AFTER})))"
+def fold(items: str, state: str, emitted: str, step: str, emit: str) -> str:
+    """SQL of a fold over an array that emits arrays: ``step`` moves the state s.at past x, ``emit`` is what x adds.
+
+    The array is taken in blocks of about the root of its size and the blocks' results are flattened at the end, so that
+    no long array is copied for each item.
+    """
+    inner = (
+        f"aggregate(slice(xs, b * width + 1, width), named_struct('at', a.at, 'out', cast(array() as array<{emitted}>)), "
+        f"(s, x) -> named_struct('at', {step}, 'out', concat(s.out, {emit})))"
     )
+    outer = (
+        f"aggregate(sequence(0, (size(xs) - 1) div width), named_struct('at', {state}, 'out', cast(array() as array<array<{emitted}>>)), "
+        f"(a, b) -> transform(array({inner}), r -> named_struct('at', r.at, 'out', concat(a.out, array(r.out))))[0])"
+    )
+    blocks = f"transform(array(int(ceil(sqrt(size(xs))))), width -> {outer})[0]"
+    return f"transform(array({items}), xs -> if(size(xs) = 0, cast(array() as array<{emitted}>), flatten({blocks}.out)))[0]"
+
+
+def cut(start: str, stop: str) -> str:
+    """SQL of the text between two code points, from the ``CHUNK``-long pieces of the text that hold them."""
+    held = f"slice(__chunks, int(({start}) div {CHUNK}) + 1, int(greatest({stop} - 1, {start}) div {CHUNK} - ({start}) div {CHUNK}) + 1)"
+    return f"substr(array_join({held}, ''), int(({start}) % {CHUNK}) + 1, int(({stop}) - ({start})))"
+
+
+def spans_of(kind: Kind, pieces: str, matches: str) -> Column:
+    """Checked and scored spans of one kind from the split pieces and the matches of its pattern."""
+    around = f"lower(concat({cut(f'greatest(x.start - {BEFORE}, 0L)', 'x.start')}, ' ', {cut('x.stop', f'x.stop + {AFTER}')}))"
     score = (
         f"round({kind.score} + if({around} rlike {literal(r'\b(?:' + kind.context + ')')}, 0.3, 0) "
         f"- if({around} rlike {literal(r'\b(?:' + AGAINST + r')\b')}, 0.2, 0), 4)"
     )
-    taken = "0" if kind.ahead else f"length(element_at({matches}, i))"
     if kind.ahead:  # a split at a lookahead has no empty piece before a match at 0
         pieces = f"if(size({pieces}) > size({matches}), {pieces}, concat(array(''), {pieces}))"
-    placed = (
-        f"aggregate(sequence(1, size({matches})), "
-        "named_struct('at', 0L, 'found', cast(array() as array<struct<m:string,start:bigint,stop:bigint>>)), "
-        f"(s, i) -> named_struct('at', s.at + length(element_at({pieces}, i)) + {taken}, "
-        f"'found', concat(s.found, array(named_struct('m', element_at({matches}, i), "
-        f"'start', s.at + length(element_at({pieces}, i)), "
-        f"'stop', s.at + length(element_at({pieces}, i)) + length(element_at({matches}, i)))))), s -> s.found)"
-    )
+    steps = f"zip_with(slice({pieces}, 1, size({matches})), {matches}, (p, m) -> named_struct('skip', length(p), 'm', m, 'n', length(m)))"
+    taken = "0" if kind.ahead else "x.n"
+    placed = fold(
+        steps, "0L", "struct<m:string,start:bigint,stop:bigint>", f"s.at + x.skip + {taken}",
+        "array(named_struct('m', x.m, 'start', s.at + x.skip, 'stop', s.at + x.skip + x.n))",
+    )
     checked = f"filter({placed}, x -> exists(array(x.m), m -> {kind.check}))"
     if kind.ahead:  # the next span begins after the one confirmed before
-        checked = f"aggregate({checked}, filter({checked}, x -> false), (a, x) -> if(size(a) > 0 and x.start < element_at(a, -1).stop, a, concat(a, array(x))))"
+        free = "x.start >= s.at"
+        checked = fold(checked, "0L", "struct<m:string,start:bigint,stop:bigint>", f"if({free}, x.stop, s.at)", f"if({free}, array(x), array())")
     scored = f"transform({checked}, x -> named_struct('kind', '{kind.name}', 'start', x.start, 'stop', x.stop, 'score', cast({score} as double)))"
     if not kind.base:
         scored = f"filter({scored}, x -> x.score >= {THRESHOLD})"
@@ -120,20 +141,25 @@ def spans_of(kind: Kind, text: str, pieces: str, matches: str) -> Column:
 
 def find(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The input with ``pii``: its spans by kind in the order of ``kinds``, then start."""
-    kept = [c for c in docs.columns if c != "pii"]
+    return spanned(docs, text_col, kinds, "pii").drop("__chunks")
+
+
+def spanned(docs: DataFrame, text_col: str, kinds: tuple[Kind, ...], out_col: str) -> DataFrame:
+    """The input with its spans and with ``__chunks``, the pieces of its text (none without a match)."""
+    kept = [c for c in docs.columns if c != out_col]
     text = "__text"
     df = docs.select(*[F.col(f"`{c}`") for c in kept], whole(F.col(f"`{text_col}`")).alias(text))
-    for k in kinds:
-        gated = F.col(text).rlike(k.gate)
-        none = F.array().cast("array<string>")
-        df = df.withColumns({
-            f"__m_{k.name}": F.when(gated, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(int(k.ahead)))).otherwise(none),
-        })
+    none = F.array().cast("array<string>")
     df = df.withColumns({
-        f"__p_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split(text, k.pattern, -1)).otherwise(none) for k in kinds
+        f"__m_{k.name}": F.when(F.col(text).rlike(k.gate), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(int(k.ahead)))).otherwise(none)
+        for k in kinds
     })
-    found = [spans_of(k, text, f"__p_{k.name}", f"__m_{k.name}") for k in kinds]
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.concat(*found).alias("pii"))
+    some = " or ".join(f"size(__m_{k.name}) > 0" for k in kinds)
+    df = df.withColumns({
+        f"__p_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split(text, k.pattern, -1)).otherwise(none) for k in kinds
+    } | {"__chunks": F.when(F.expr(some), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(none)})
+    found = [spans_of(k, f"__p_{k.name}", f"__m_{k.name}") for k in kinds]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.concat(*found).alias(out_col), "__chunks")
 
 
 def joined(spans: str, names: list[str] | None = None) -> Column:
@@ -156,14 +182,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with each span's text replaced by its kind in brackets; overlapping spans become one, the first's."""
-    found = find(docs, text_col)
-    merged = (
-        "aggregate(array_sort(pii, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 "
-        "when a.stop > b.stop then -1 when a.stop < b.stop then 1 else 0 end), "
-        "named_struct('at', 0L, 'out', cast(array() as array<string>)), (s, x) -> if(x.start < s.at, "
-        "named_struct('at', greatest(s.at, x.stop), 'out', s.out), named_struct('at', x.stop, 'out', "
-        f"concat(s.out, array(substr(`{text_col}`, int(s.at) + 1, int(x.start - s.at)), concat('[', upper(x.kind), ']'))))), "
-        f"s -> array_join(concat(s.out, array(substr(`{text_col}`, int(s.at) + 1))), ''))"
+    spans = "__pii"
+    while spans in docs.columns:
+        spans += "_"
+    in_order = (
+        f"array_sort({spans}, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 "
+        "when a.stop > b.stop then -1 when a.stop < b.stop then 1 else 0 end)"
     )
-    text = F.when(F.size("pii") > 0, F.expr(merged)).otherwise(F.col(f"`{text_col}`"))
-    return found.withColumn(text_col, text).drop("pii")
+    # The last item stands for the end of the text and adds what is left of it.
+    ended = f"concat({in_order}, array(named_struct('kind', '', 'start', bigint(length(`{text_col}`)), 'stop', bigint(length(`{text_col}`)), 'score', 0D)))"
+    add = f"if(x.kind = '', array({cut('s.at', 'x.start')}), if(x.start < s.at, array(), array({cut('s.at', 'x.start')}, concat('[', upper(x.kind), ']'))))"
+    text = F.expr(f"array_join({fold(ended, '0L', 'string', 'greatest(s.at, x.stop)', add)}, '')")
+    found = spanned(docs, text_col, KINDS, spans)
+    return found.select(*[F.when(F.size(spans) > 0, text).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
