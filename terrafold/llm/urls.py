@@ -11,12 +11,14 @@ alike, ties of rule length go to the smaller rule, an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop, written
+
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
@@ -94,29 +96,58 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled
     steps = 1_000_000
     drawn = F.pmod(F.xxhash64("page_id", "url"), F.lit(steps)) < max(1, int(steps * min(1.0, labelled_rows / n)))
     sample = df.where(F.col("ruled").isNotNull() & drawn).limit(2 * labelled_rows)
-    sample = sample.withColumn("label", (F.col("ruled") == "block").cast("double")).persist()
-
-    def featured(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
-        for part, of in PARTS.items():  # at most as many rows as the sample: bounded, so broadcast
-            seen = sample.groupBy(of(F.col("host"), F.col("path")).alias(f"k_{part}")).agg(
-                ((F.sum("label") + 0.5) / (F.count("label") + 1)).alias(f"f_{part}"), F.log1p(F.count("label")).alias(f"f_{part}_n")
-            )
-            rows = rows.withColumn(f"k_{part}", of(F.col("host"), F.col("path"))).join(F.broadcast(seen), f"k_{part}", "left")
-        parts = [f"f_{p}{x}" for p in PARTS for x in ("", "_n")]
-        return rows.fillna({c: 0.5 if c[-2:] != "_n" else 0.0 for c in parts})
-
-    names = [*lexical(F.col("url"), F.col("host"), F.col("path")), *(f"f_{p}{x}" for p in PARTS for x in ("", "_n"))]
-    assemble = VectorAssembler(inputCols=names, outputCol="features")
-    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
+    sample = sample.select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
+    sample, path_of_sample = written(sample, "labelled-urls")
     try:
-        model = learner.fit(assemble.transform(featured(sample)).select("features", "label"))
-        rest = assemble.transform(featured(df))
-        scored = model.transform(rest).withColumn("p", vector_to_array("probability")[1])
+        model, rates = fit(sample)
+        scored = score(df, model, rates)
     finally:
-        pass
+        drop(pages.sparkSession, path_of_sample)
     return scored.select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("p") >= 0.5, "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("ruled").isNull(), F.col("p")).alias("p_block"),
     )
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"k_{part}": of(F.col("host"), F.col("path")) for part, of in PARTS.items()})
+
+
+def with_rates(rows: DataFrame, counts: Column, blocked: Column, part: str) -> DataFrame:
+    """Adds the smoothed block rate of a part and how often it was seen; 0.5 and 0 where it was not."""
+    n, hits = F.greatest(F.coalesce(counts, F.lit(0.0)), F.lit(0.0)), F.coalesce(blocked, F.lit(0.0))
+    return rows.withColumns({f"f_{part}": (hits + 0.5) / (n + 1), f"f_{part}_n": F.log1p(n)})
+
+
+def fit(sample: DataFrame, folds: int = 5) -> tuple[GBTClassificationModel, list[DataFrame]]:
+    """The trees of a bounded sample (url, host, path, label 0 or 1) of both classes, and the block counts of each part.
+
+    A row's rates are those of the other folds, so no label is among its own features; folds go by host.
+    """
+    rows = keyed(sample).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+    rates = []
+    for part in PARTS:
+        key = f"k_{part}"
+        seen = rows.groupBy(key).agg(F.count("label").cast("double").alias("n"), F.sum("label").alias("hits"))
+        own = rows.groupBy(key, "fold").agg(F.count("label").cast("double").alias("own_n"), F.sum("label").alias("own_hits"))
+        rates.append(sample.sparkSession.createDataFrame(seen.toPandas(), seen.schema))  # at most as many rows as the sample
+        both = own.join(seen, key).select(key, "fold", (F.col("n") - F.col("own_n")).alias("n"), (F.col("hits") - F.col("own_hits")).alias("hits"))
+        rows = with_rates(rows.join(both, [key, "fold"], "left"), F.col("n"), F.col("hits"), part).drop("n", "hits")
+    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3)
+    return learner.fit(featured(rows).select("features", "label")), rates
+
+
+def featured(rows: DataFrame) -> DataFrame:
+    """Rows with rates and ``features``."""
+    alone = lexical(F.col("url"), F.col("host"), F.col("path"))
+    names = [*alone, *(f"f_{p}{x}" for p in PARTS for x in ("", "_n"))]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumns(alone))
+
+
+def score(rows: DataFrame, model: GBTClassificationModel, rates: list[DataFrame]) -> DataFrame:
+    """The rows (url, host, path) with ``p``, the trees' probability of block."""
+    rows = keyed(rows)
+    for part, seen in zip(PARTS, rates, strict=True):  # bounded by the sample, so broadcast
+        rows = with_rates(rows.join(F.broadcast(seen), f"k_{part}", "left"), F.col("n"), F.col("hits"), part).drop("n", "hits")
+    return model.transform(featured(rows)).withColumn("p", vector_to_array("probability")[1])
