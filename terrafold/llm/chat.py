@@ -10,8 +10,8 @@ The template marks turns with control strings. A backslash goes before each back
 
 Defined results: a null text is empty; a null role is ``user``; a message whose parent is absent is a root, and so is
 each message with a null parent; messages on a cycle have no root and are left out, and so are those of no tree (null
-tree or message id); repeated ids keep their first row
-by role and text; an empty table gives an empty result; extra columns are ignored.
+tree or message id); repeated ids keep their first row by role and text; the turns of linear conversations without an
+id form one conversation whose id is null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lasting, temporary, written
 
 OPEN, CLOSE = "### {role}: ", " </turn>\n"
 #: The role whose texts are trained on.
@@ -168,9 +168,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversations(rows: DataFrame, best: int | None = 1) -> DataFrame:
-    """Linear conversations formatted and read back."""
-    messages, _ = written(from_turns(rows), "chat-messages")
-    return read_back(format_paths(unroll(messages, best)))
+    """Linear conversations formatted, written, and read back from what was written."""
+    spark = rows.sparkSession
+    with temporary(spark):
+        # A null id groups and joins like any other inside a struct.
+        messages, _ = written(from_turns(rows.withColumn("conv_id", F.struct(F.col("conv_id").alias("id")))), "chat-messages")
+        formatted, _ = lasting(format_paths(unroll(messages, best)), "chat-formatted")
+    return read_back(formatted).withColumn("tree_id", F.col("tree_id")["id"])
 
 
 def digest(rows: DataFrame) -> DataFrame:
