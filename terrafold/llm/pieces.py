@@ -7,8 +7,9 @@ apart when both are merged again from characters. On a dead end it goes back, an
 which no valid rest exists. Two valid adjacent pairs in a row make a valid whole, so the result is that of merging.
 Characters outside the vocabulary become their UTF-8 byte pieces and part the text on both sides.
 
-Runs of blank marks have pieces of equal merge priority, where pairwise checks do not decide; a unit that begins with
-two marks or more is merged directly. Null is the empty text, which has no ids; whole texts of any length are encoded;
+Inside a run of blank marks equal pieces merge from the left, so two neighbours do not decide: there, and for the piece
+that follows the run, the check merges the pieces of the last ``4 * longest`` marks and the new one again. Null is the
+empty text, which has no ids; whole texts of any length are encoded;
 repeated rows are encoded alike; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -62,8 +63,10 @@ class Encoder:
         self.automaton.make_automaton()
         self.plain = [p.replace(MARK, " ") if k == NORMAL else None for p, k in zip(self.text, self.kind, strict=True)]
         self.letters = {p for p in self.id if len(p) == 1}
+        self.reach = 4 * max((len(p) for p in self.id if not p.strip(MARK)), default=1)
         self.whole: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.runs_known: dict[tuple[str, ...], bool] = {}
         self.units: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -101,6 +104,19 @@ class Encoder:
             known = self.pairs[pair] = self.merge(left + right) == [left, right]
         return known
 
+    def follows(self, pieces: list[str], piece: str) -> bool:
+        """Whether a piece may follow the ones before it, the last of which holds blank marks only."""
+        first, marks = len(pieces), 0
+        while first and marks < self.reach:
+            first -= 1
+            marks += len(pieces[first])
+        wanted = (*pieces[first:], piece)
+        if (known := self.runs_known.get(wanted)) is None:
+            if len(self.runs_known) > 100_000:
+                self.runs_known.clear()
+            known = self.runs_known[wanted] = self.merge("".join(wanted)) == list(wanted)
+        return known
+
     def alone(self, piece: str) -> bool:
         """Whether a piece comes back when its own text is merged."""
         if (known := self.whole.get(piece)) is None:
@@ -125,7 +141,9 @@ class Encoder:
                 if failed[to >> 3] >> (to & 7) & 1:
                     continue
                 piece = text[at:to]
-                if pieces:
+                if pieces and not pieces[-1].strip(MARK):
+                    fits = self.follows(pieces, piece)
+                elif pieces:
                     if (fits := pairs.get((pieces[-1], piece))) is None:
                         fits = self.apart(pieces[-1], piece)
                 else:
@@ -145,14 +163,12 @@ class Encoder:
     def unit(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, and the decoded text of one unit."""
         if self.letters.issuperset(text):
-            pieces = self.merge(text) if text.startswith(MARK * 2) else self.backtrack(text)
-            ids = [self.id[p] for p in pieces]
+            ids = [self.id[p] for p in self.backtrack(text)]
             return len(ids), ",".join(map(str, ids)), "".join([self.plain[i] for i in ids])
         ids = []
         for known, chunk in self.runs(text):
             if known:
-                pieces = self.merge(chunk) if chunk.startswith(MARK * 2) else self.backtrack(chunk)
-                ids += [self.id[p] for p in pieces]
+                ids += [self.id[p] for p in self.backtrack(chunk)]
             elif self.byte:
                 ids += [self.byte[b] for b in chunk.encode()]
             else:
