@@ -11,15 +11,22 @@ No bucket is expanded into pairs. Round one pairs each member with its bucket's
 nearest; what links merges. Round two takes buckets that still hold different components and pairs every member
 outside the bucket's first component with its nearest member of another one; round three pairs all that are still
 apart and within the distance, so that no link between components is lost. Pairs of small sets are confirmed inside the
-bucket, each in the first bucket that it shares. Large buckets are cut into a grid of blocks.
+bucket, each in the first bucket that it shares.
 
-Null and blank texts have an empty set and link with nothing; repeated rows are one class; null ids take no part and
-keep themselves; ties go to the smaller id; an empty table gives an empty result; extra columns are ignored.
+A bucket of more than ``BLOCK`` members that still differ is mostly a passage or template that many documents share. Its
+members are dealt again by the rarest shingles of their full sets: two sets over the threshold share one of the first
+``n - ceil(threshold * n) + 1`` in the order of rarity, so no pair is lost, and documents that share only what is common
+do not meet. What is still large then is cut into a grid of blocks. Keys that hold more than a ten-thousandth of the
+rows (so ten thousand keys at most) are joined by a broadcast of their counts, all others by a shuffle.
+
+Null and blank texts have an empty set and link with nothing; rows without an id link with nothing, have a null
+component and stay; repeated rows are one class, and rows that repeat an id with another text belong to the components
+of their classes' least ids; ties go to the smaller id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, sqrt
 
 import numpy as np
@@ -32,8 +39,10 @@ from .common import drop, whole, written
 
 CHUNKS, PER_CHUNK = 13, 5
 SLOTS = CHUNKS * PER_CHUNK
-#: Members of one block of a large bucket.
+#: Members of a bucket that is compared at once; larger ones are dealt again.
 BLOCK = 1500
+#: Keys that count as hot at most, and rows that such a key has at least.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
 #: Sets up to this size go along into the buckets and are compared there.
 SMALL = 256
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -97,7 +106,7 @@ def keys_of(sigs: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """id, number of shingles, digest of the set, signature and, if small, the set of each document."""
+    """id (0 for null), whether there is one, number of shingles, digest of the set, signature and, if small, the set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -109,10 +118,25 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(signature(s).tobytes() if len(s) else b"")
                 small.append(s.tobytes() if len(s) <= SMALL else None)
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "digest": digests, "sig": sigs, "small": small})
+            yield pd.DataFrame({"id": pdf["id"], "named": pdf["named"], "n": n, "digest": digests, "sig": sigs, "small": small})
+
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNotNull().alias("named"), whole(F.col("text")).alias("text")
+    )
+    return rows.mapInPandas(run, "id long, named boolean, n long, digest binary, sig binary, small binary")
+
 
-    rows = docs.select(F.col("doc_id").alias("id"), whole(F.col("text")).alias("text")).where("id is not null")
-    return rows.mapInPandas(run, "id long, n long, digest binary, sig binary, small binary")
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``counted`` (a written table: one row a key, with ``members``); hot keys are broadcast.
+
+    Of ``total`` rows, at most ``HOT_KEYS`` keys can have more than their share of that many, so the broadcast is bounded.
+    """
+    hot = counted.where(F.col("members") > max(HOT_ROWS, total // HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(counted, key, how)
+    cold = counted.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -155,6 +179,26 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return texts.mapInPandas(run, "id long, set binary")
 
 
+def rare_keys(docs: DataFrame, ids: DataFrame, size: int, percent: int, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(key, id): for each of the ids, the shingles of its prefix in the order of rarity that others of the ids have too."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, held in zip(pdf["id"], pdf["set"], strict=True):
+                s = np.frombuffer(held, np.uint64).astype(np.int64)
+                yield pd.DataFrame({"id": i, "row": xxhash.xxh3_64_intdigest(held) >> 1, "n": len(s), "key": s})
+
+    sets = kept(full_sets(docs, ids, size), "hot-sets")
+    shingles = kept(sets.mapInPandas(run, "id long, row long, n long, key long"), "hot-shingles")
+    seen = kept(shingles.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "hot-seen")
+    common = join_counted(shingles, seen, "key", shingles.count())
+    each = common.groupBy("id", "row", "n").agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("by_rarity"))
+    # What only one document has comes first and meets nothing; the rest of the prefix are the rarest of the others.
+    length = F.expr(f"n - ceil(n * {percent} / 100) + 1 - (n - size(by_rarity))").cast("int")
+    prefix = each.where(length > 0).select("id", F.explode(F.slice("by_rarity", F.lit(1), length)).alias("x"))
+    return kept(prefix.select(F.col("x")["key"].alias("key"), "id").distinct(), "hot-keys")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, counted on the full sets."""
 
@@ -204,28 +248,35 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
     return labels, files
 
 
+def mixed(keys: DataFrame, labels: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The keys' members with their labels, and (key, members, home) of the keys with different labels.
+
+    ``home`` is the label of the key's smallest id.
+    """
+    named = keys.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    stats = named.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "id").alias("home")
+    )
+    return named, kept(stats.where("low <> high and members > 1").select("key", "members", "home"), "mixed")
+
+
 def apart_in_buckets(
-    keys: DataFrame, nodes: DataFrame, labels: DataFrame, errors: int, percent: int, nearest_only: bool
+    named: DataFrame, stats: DataFrame, total: int, nodes: DataFrame, errors: int, percent: int, nearest_only: bool, dealt_again: bool
 ) -> DataFrame:
     """(a, b, sure) of members of one bucket with different labels: confirmed links, or pairs within the distance.
 
     Members outside the label of the bucket's smallest id are compared with all members of other labels: at least one
     of any two labels is outside. Small sets are confirmed here, and of their links only those that join something new
     come out. Of the other pairs, ``nearest_only`` gives each member its nearest partner in a block; without it, small
-    sets are left out, as they are done.
+    sets are left out, as they are done. ``dealt_again`` tells that the keys are shingles of members of large buckets.
     """
     threshold = percent / 100
-    named = keys.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    stats = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"),
-        F.min_by("label", "id").alias("home"),
-    ).where("low <> high and members > 2")
-    mixed = named.join(stats.select("key", "members", "home"), "key")
+    all_rows = join_counted(named, stats, "key", total)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = mixed.where("label <> home").select("key", block.alias("lb"), every.alias("rb"), "id", "label", F.lit(True).alias("outside"))
-    right = mixed.select("key", every.alias("lb"), block.alias("rb"), "id", "label", F.lit(False).alias("outside"))
+    left = all_rows.where("label <> home").select("key", block.alias("lb"), every.alias("rb"), "id", "label", F.lit(True).alias("outside"))
+    right = all_rows.select("key", every.alias("lb"), block.alias("rb"), "id", "label", F.lit(False).alias("outside"))
     rows = left.unionByName(right).join(nodes.select("id", "n", "sig", "small"), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,7 +305,10 @@ def apart_in_buckets(
             if not len(other):
                 continue
             shared = each[other] == each[i]
-            first = each[i][shared.argmax(1)] == here  # a pair is looked at in the first bucket that it shares
+            if dealt_again:  # still only pairs that some chunk's key joins
+                first = shared.any(1)
+            else:
+                first = each[i][shared.argmax(1)] == here  # a pair is looked at in the first bucket that it shares
             both = small[other] & small[i]
             if nearest_only:
                 for j in other[both & first].tolist():
@@ -263,7 +317,8 @@ def apart_in_buckets(
                         if 100 * common >= percent * (n[i] + n[j] - common):
                             root[find(label[i])] = find(label[j])
                             found.append((ids[i], ids[j], True))
-                rest, far = other[~both], distance[~both]
+                far_apart = ~both & first if dealt_again else ~both
+                rest, far = other[far_apart], distance[far_apart]
                 if len(rest):
                     found.append((ids[i], ids[rest[np.lexsort((ids[rest], far))[0]]], False))
             else:
@@ -276,7 +331,7 @@ def apart_in_buckets(
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable) of each row with an id."""
+    """doc_id, n_shingles and component_id (the smallest id reachable) of each row."""
     spark, threshold = docs.sparkSession, percent / 100
     errors, files = most_errors(threshold), []
 
@@ -286,13 +341,17 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return df
 
     docs = docs.select("doc_id", "text")
-    all_rows, rows_path = written(described(docs, size), "signatures")
-    classes = all_rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small"))
-    nodes = kept(classes.select("id", "n", "sig", "small"), "nodes")
-
-    keys = bucket_keys(nodes)
-    live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot")).where("members > 1")
-    keys = kept(keys.join(live, "key"), "keys")
+    all_rows = kept(described(docs, size), "signatures")
+    classes = all_rows.where("named and n > 0").groupBy("digest").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small")
+    )
+    classes = kept(classes, "classes")
+    nodes = classes.select("id", "n", "sig", "small")
+
+    all_keys = bucket_keys(nodes)
+    live = kept(all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot")).where("members > 1"), "live")
+    total = SLOTS * nodes.count()
+    keys = kept(join_counted(all_keys, live, "key", total), "keys")
     stars = keys.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     near = kept(within(stars, nodes, errors, threshold), "stars")
     first = near.groupBy("a").agg(F.min_by("b", F.struct("errors", "b")).alias("b"))
@@ -301,8 +360,23 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = kept(confirmed(first, sets, percent), "confirmed")
     labels, more = components(links)
     files += more
-    crowded = keys.where("members > 2").select("key", "id")
+    small_keys = keys.where(f"members > 2 and members <= {BLOCK}").select("key", "id")
+    large_keys = keys.where(f"members > 2 and members > {BLOCK}").select("key", "id")
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rare: DataFrame | None = None
+
+    def bucket_pairs(nearest_only: bool) -> DataFrame:
+        """Pairs of the small buckets, and of the members of large ones dealt again by their rarest shared shingles."""
+        nonlocal rare
+        out = apart_in_buckets(*mixed(small_keys, labels, kept), total, nodes, errors, percent, nearest_only, False)
+        if rare is None:
+            named, stats = mixed(large_keys, labels, kept)
+            differing = join_counted(named, stats, "key", total).select("id").distinct()
+            rare = rare_keys(docs, kept(differing, "hot-ids"), size, percent, kept) if not stats.isEmpty() else large_keys.limit(0)
+        if rare.isEmpty():
+            return out
+        again = apart_in_buckets(*mixed(rare, labels, kept), rare.count(), nodes, errors, percent, nearest_only, True)
+        return out.unionByName(again).distinct()
 
     # The other stars of ids that are still apart, then the buckets.
     rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -310,7 +384,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if step == "stars":
             pairs = rest
         else:
-            pairs = kept(apart_in_buckets(crowded, nodes, labels, errors, percent, step == "nearest"), "bucket-pairs")
+            pairs = kept(bucket_pairs(step == "nearest"), "bucket-pairs")
             sure = pairs.where("sure").select("a", "b")
             if not sure.isEmpty():
                 links = links.unionByName(sure)
@@ -332,13 +406,18 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             labels, more = components(links)
             files += more
 
-    named = all_rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id")).join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    result = all_rows.join(named, "digest", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-    )
+    # Classes of one row that link with nothing need no join back: they are their own component.
+    named = classes.select("digest", "id", "members").join(labels, "id", "left").where("members > 1 or label is not null")
+    named = kept(named.select("digest", "members", F.coalesce("label", "id").alias("component")), "components")
+    rows = all_rows.select("id", "named", "n", "digest")
+    linked = join_counted(rows.where("named and n > 0"), named, "digest", all_rows.count(), "left")
+    linked = linked.select("id", "named", "n", F.coalesce("component", "id").alias("component"))
+    alone = rows.where("not named or n = 0").select("id", "named", "n", F.col("id").alias("component"))
+    result = linked.unionByName(alone).select(
+        F.when(F.col("named"), F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("named"), F.col("component")).alias("component_id")
+    )
     result, _ = written(result, "near-duplicates")
-    drop(spark, rows_path, *files)
+    drop(spark, *files)
     return result
 
 
@@ -349,5 +428,5 @@ def keep(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Sets of two-word shingles, groups and what stays, for each document."""
-    return link(docs, 2, 80).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    """Sets of two-word shingles, groups and what stays, for each document; rows without an id stay."""
+    return link(docs, 2, 80).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
