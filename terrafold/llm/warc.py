@@ -1,14 +1,19 @@
 """WARC bundles: independent Zstandard frames, a footer seek table and a record index.
 
-A bundle is one binary value: every record is its own frame, so that a reader seeks to one record and decompresses
-that alone; a skippable frame at the end holds the seek table (compressed and plain size of each frame) in the public
-seekable Zstandard layout. Beside the bundle stands its index: record id and the frame's offset and size. Bundles are
-rows of a Parquet table in a folder that all executors share, so they can lie in any store that Spark writes.
+A bundle is a file ``<SHA-1>.warc.zst`` in the folder that all executors share: every record is its own frame, so that a
+reader seeks to one record and reads and decompresses that alone; a skippable frame at the end holds the seek table
+(compressed and plain size of each frame) in the public seekable Zstandard layout. The index, a table beside the files,
+has each bundle's record ids and the offsets and sizes of their frames. Files are written under another name and then
+moved, so a task that runs again leaves the same files; the folder may be in any store that Arrow's file systems open.
 
 Equal payloads of at least ``least_bytes`` are stored once: the record with the largest id is the response, the others
-are revisits that refer to it. Null html is the empty payload; equal means equal SHA-1 and length. Empty tables give
-empty results; repeated ids give a record each (the digest's largest id is the response, and its repeats are responses
-too); a null id is kept as null and its record is a response; extra columns are ignored.
+are revisits that refer to it. A response holds an HTTP message whose body is the payload; a revisit holds the message's
+head, which tells the payload's length. Pages have no time of their own, so all records bear ``date``.
+
+Null html is the empty payload; equal means equal SHA-1 and length; a null or blank url becomes ``urn:page:<id>``. Empty
+tables give empty results; repeated ids give a record each, with record ids of their own (the digest's largest id is the
+response, and its repeats are responses too); a null id is kept as null and its record is a response; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -16,19 +21,29 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 #: A bundle is closed when its frames exceed this many bytes.
 BUNDLE_BYTES = 8_000_000
-BUNDLES = "bundle_id string, bundle binary, record_id array<long>, frame_offset array<long>, frame_size array<long>"
+BUNDLES = "bundle string, record_id array<long>, frame_offset array<long>, frame_size array<long>"
+DATE = "1970-01-01T00:00:00Z"
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI or a local path."""
+    return fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -37,36 +52,53 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
-def read_seek_table(bundle: bytes) -> list[tuple[int, int]]:
+def read_seek_table(file: fs.NativeFile) -> list[tuple[int, int]]:
     """(offset, size) of every frame, from the footer alone."""
-    count, _, magic = struct.unpack("<IBI", bundle[-9:])
+    end = file.size()
+    count, _, magic = struct.unpack("<IBI", file.read_at(9, end - 9))
     if magic != SEEKABLE:
         raise ValueError("no seek table at the end of the bundle")
-    body, out, at = bundle[-9 - 8 * count : -9], [], 0
+    body, out, at = file.read_at(8 * count, end - 9 - 8 * count), [], 0
     for size, _ in struct.iter_unpack("<II", body):
         out.append((at, size))
         at += size
     return out
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, size: int) -> bytes:
-    """One WARC/1.1 record; a revisit has no block."""
-    block = payload if kind == "response" else b""
-    url = "".join(c for c in url or "" if c >= " ")
+def record(page: dict, digest: str, name: str, date: str = DATE) -> bytes:
+    """One WARC/1.1 record of a planned page; ``name`` makes its record id."""
+    uri = lambda url, i: "".join(c for c in url or "" if c > " ") or f"urn:page:{i}"
+    revisit = page["kind"] == "revisit"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {page['size']}\r\n\r\n".encode()
+    if not revisit:
+        block += page["payload"] or b""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"Content-Length: {len(block)}",
+        "WARC/1.1", f"WARC-Type: {page['kind']}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        f"WARC-Date: {date}", f"WARC-Target-URI: {uri(page['url'], page['page_id'])}",
+        "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}",
     ]
-    if refers_to is not None:
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+    if page["page_id"] is not None:
+        lines.append(f"X-Page-ID: {page['page_id']}")
+    if revisit:
+        lines += [
+            f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To-Target-URI: {uri(page['keeper_url'], page['refers_to'])}",
+            f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {page['refers_to']}",
+        ]
+    lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of a record."""
+def headers(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields after the first line, and what follows the blank line."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:]), rest
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Fields of a record, fields of its HTTP head, and the payload (empty in a revisit)."""
+    fields, rest = headers(raw)
+    http, payload = headers(rest[: int(fields["Content-Length"])])
+    return fields, http, payload
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -77,50 +109,56 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    digests = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    digests = digests.select("page_id", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
+    digests = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    digests = digests.select("page_id", "url", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     shared = (
         digests.where(F.col("size") >= least_bytes)
         .groupBy("sha1", "size")
-        .agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least"))
-        .where("least < keeper")
-        .select("sha1", "size", "keeper")
+        .agg(F.max(F.struct("page_id", "url")).alias("keeper"), F.min("page_id").alias("least"))
+        .where(F.col("least") < F.col("keeper")["page_id"])
+        .select("sha1", "size", F.col("keeper")["page_id"].alias("keeper"), F.col("keeper")["url"].alias("keeper_url"))
     )
     joined = rows.join(shared, ["sha1", "size"], "left")
     other = F.coalesce(F.col("page_id") < F.col("keeper"), F.lit(False))
     return joined.select(
         "page_id", "url", F.when(~other, F.col("payload")).alias("payload"), "size", "sha1",
-        F.when(other, "revisit").otherwise("response").alias("kind"), F.when(other, F.col("keeper")).alias("refers_to"),
+        F.when(other, "revisit").otherwise("response").alias("kind"), F.when(other, F.col("keeper")).alias("refers_to"), "keeper_url",
     )
 
 
-def write_bundles(records: DataFrame, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Bundles of the records of each partition, named by their contents."""
+def write_bundles(records: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTES, date: str = DATE) -> DataFrame:
+    """Write the records of each partition as bundle files, named by their contents; one index row a bundle."""
 
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = zstandard.ZstdCompressor(level=3)
-        parts, sizes, ids, held = [], [], [], 0
+        packer, place = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        store, root = opened(folder)
+        parts, sizes, ids, held, n = [], [], [], 0, 0
 
         def close() -> pd.DataFrame:
             offsets = [0]
             for size, _ in sizes:
                 offsets.append(offsets[-1] + size)
             whole = b"".join([*parts, seek_table(sizes)])
-            row = [hashlib.sha1(whole).hexdigest(), whole, list(ids), offsets[:-1], [s for s, _ in sizes]]
+            name = f"{hashlib.sha1(whole).hexdigest()}.warc.zst"
+            store.create_dir(root, recursive=True)
+            hidden = f"{root}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(hidden) as out:
+                out.write(whole)
+            store.move(hidden, f"{root}/{name}")
+            row = [f"{folder}/{name}", list(ids), offsets[:-1], [s for s, _ in sizes]]
             for x in (parts, sizes, ids):
                 x.clear()
-            return pd.DataFrame([row], columns=["bundle_id", "bundle", "record_id", "frame_offset", "frame_size"])
+            return pd.DataFrame([row], columns=[x.split()[0] for x in BUNDLES.split(", ")])
 
         for pdf in batches:
-            for page_id, url, payload, size, sha1, kind, refers in zip(*(pdf[c] for c in pdf), strict=True):
-                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                page_id, refers = (None if x is None else int(x) for x in (page_id, refers))
-                raw = record(page_id, url, payload or b"", digest, kind, refers, size)
+            for page in pdf.to_dict("records"):
+                page |= {c: None if page[c] is None else int(page[c]) for c in ("page_id", "refers_to")}
+                raw = record(page, base64.b32encode(bytes.fromhex(page["sha1"])).decode(), f"{page['page_id']}/{place}/{n}", date)
                 frame = packer.compress(raw)
                 parts.append(frame)
                 sizes.append((len(frame), len(raw)))
-                ids.append(page_id)
-                held += len(frame)
+                ids.append(page["page_id"])
+                held, n = held + len(frame), n + 1
                 if held >= bundle_bytes:
                     held = 0
                     yield close()
@@ -128,12 +166,10 @@ def write_bundles(records: DataFrame, bundle_bytes: int = BUNDLE_BYTES) -> DataF
             yield close()
 
     # ids as text: a nullable long would pass pandas as a double
-    return records.select(
-        F.col("page_id").cast("string"), "url", "payload", "size", "sha1", "kind", F.col("refers_to").cast("string")
-    ).mapInPandas(bundles, BUNDLES)
+    return records.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")}).mapInPandas(bundles, BUNDLES)
 
 
-READ = "bundle_id string, record_id string, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string"
+READ = "bundle string, record_id string, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string"
 
 
 def known(x: float | int | None) -> int | None:
@@ -141,51 +177,60 @@ def known(x: float | int | None) -> int | None:
 
 
 def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record, sought frame by frame through the seek table and checked against index and digest."""
+    """Every record of an index's bundles, frame by frame through the seek table and checked against index and digest."""
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for name, bundle, ids, offsets, sizes in zip(*(pdf[c] for c in pdf), strict=True):
-                if read_seek_table(bundle) != list(zip(offsets, sizes, strict=True)):
-                    raise ValueError(f"bundle {name}: index and seek table differ")
+            for name, ids, offsets, sizes in zip(*(pdf[c] for c in pdf), strict=True):
+                store, path = opened(name)
                 rows, held = [], 0
-                for want, at, size in zip(map(known, ids), offsets, sizes, strict=True):
-                    fields, block = parse(unpacker.decompress(bundle[at : at + size]))
-                    got = fields["WARC-Record-ID"][len("<urn:page:") : -1]
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    whole = fields["WARC-Type"] == "response"
-                    if got != str(want) or whole and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
-                        raise ValueError(f"bundle {name}, record {want}: wrong record at its offset")
-                    refers = fields.get("WARC-Refers-To", "")[len("<urn:page:") : -1] or None
-                    size = len(block) if whole else int(fields["X-Payload-Length"])
-                    kept = block if with_payload and whole else None
-                    rows.append((name, None if want is None else str(want), fields["WARC-Type"], fields["WARC-Target-URI"], kept, size, digest, refers))
-                    held += len(kept or b"")
-                    if held > 16_000_000:
-                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
-                        rows, held = [], 0
+                with store.open_input_file(path) as file:
+                    if read_seek_table(file) != list(zip(offsets, sizes, strict=True)):
+                        raise ValueError(f"bundle {name}: index and seek table differ")
+                    for want, at, size in zip(map(known, ids), offsets, sizes, strict=True):
+                        fields, http, payload = parse(unpacker.decompress(file.read_at(size, at)))
+                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                        whole = fields["WARC-Type"] == "response"
+                        wrong = whole and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest
+                        if wrong or fields.get("X-Page-ID") != (None if want is None else str(want)):
+                            raise ValueError(f"bundle {name}, record {want}: wrong record at its offset")
+                        url = fields["WARC-Target-URI"]
+                        kept = payload if with_payload and whole else None
+                        rows.append((
+                            name, fields.get("X-Page-ID"), fields["WARC-Type"], None if url.startswith("urn:page:") else url, kept,
+                            len(payload) if whole else int(http["Content-Length"]), digest, fields.get("X-Refers-To-Page"),
+                        ))
+                        held += len(kept or b"")
+                        if held > 16_000_000:
+                            yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
+                            rows, held = [], 0
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
 
-    out = bundles.select("bundle_id", "bundle", "record_id", "frame_offset", "frame_size").mapInPandas(records, READ)
-    return out.withColumns({c: F.col(c).cast("long") for c in ("record_id", "refers_to")})
+    # The index is small beside its bundles: dealt by bundle, so that reading is spread over tasks.
+    tasks = max(1, min(bundles.count(), 20_000))
+    dealt = bundles.select("bundle", "record_id", "frame_offset", "frame_size").repartition(tasks, "bundle")
+    return dealt.mapInPandas(records, READ).withColumns({c: F.col(c).cast("long") for c in ("record_id", "refers_to")})
 
 
 def fetch(bundles: DataFrame, wanted: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """The raw records of the wanted ids: the index gives bundle, offset and size, and one slice is decompressed."""
-    index = bundles.select("bundle_id", F.explode(F.arrays_zip("record_id", "frame_offset", "frame_size")).alias("x"))
-    hits = index.select("bundle_id", "x.*").join(wanted.select(F.col(id_col).alias("record_id")).distinct(), "record_id")
-    frames = bundles.select("bundle_id", "bundle").join(hits, "bundle_id")
-    sliced = frames.select("record_id", F.expr("substring(bundle, cast(frame_offset + 1 as int), cast(frame_size as int))").alias("frame"))
+    """The raw records of the wanted ids: the index gives file, offset and size, and only those bytes are read."""
+    index = bundles.select("bundle", F.explode(F.arrays_zip("record_id", "frame_offset", "frame_size")).alias("x"))
+    hits = index.select("bundle", "x.*").join(wanted.select(F.col(id_col).alias("record_id")).distinct(), "record_id")
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker = zstandard.ZstdDecompressor()
         for pdf in batches:
-            yield pd.DataFrame({"record_id": pdf["record_id"], "record": [unpacker.decompress(x) for x in pdf["frame"]]})
+            for name, part in pdf.groupby("bundle"):
+                store, path = opened(name)
+                with store.open_input_file(path) as file:
+                    frames = [unpacker.decompress(file.read_at(size, at)) for at, size in zip(part["frame_offset"], part["frame_size"], strict=True)]
+                yield pd.DataFrame({"record_id": part["record_id"], "record": frames})
 
-    return sliced.mapInPandas(plain, "record_id long, record binary")
+    return hits.select("record_id", "bundle", "frame_offset", "frame_size").mapInPandas(plain, "record_id long, record binary")
 
 
-def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write all pages as bundles to the shared folder and return the written table of bundles."""
-    return written(write_bundles(plan_records(pages, least_bytes)), "warc")[0]
+def archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE) -> DataFrame:
+    """Write all pages as bundle files to the shared folder and return their written index."""
+    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    return written(write_bundles(plan_records(pages, least_bytes), folder, date=date), "warc-index")[0]
