@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, whole
+from .common import WORD, whole, written
 
 #: Permitted sequence lengths, and units (words) that one shard holds on average.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -65,14 +65,17 @@ def pack(
     capacities: tuple[int, ...] = CAPACITIES,
     shard_units: int = SHARD_UNITS,
 ) -> DataFrame:
-    """One row per piece: id, copy (of repeated rows), piece, start, length, bin_id, bin_offset, bin_capacity."""
+    """One row per piece: id, copy (of repeated rows), piece, start, length, bin_id, bin_offset, bin_capacity.
+
+    Lengths are written once and read for the shard count and for the pieces; the small table stays for the result.
+    """
     capacities = tuple(sorted({int(c) for c in capacities}))
     if not capacities or capacities[0] < 1:
         raise ValueError("capacities must be positive")
     top, kind = capacities[-1], items.schema[id_col].dataType.simpleString()
     base = items.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("n")).where("n > 0")
     # Repeated rows are counted first and numbered again, so that they hash apart.
-    counted = base.groupBy("id", "n").agg(F.count(F.lit(1)).alias("copies"))
+    counted, _ = written(base.groupBy("id", "n").agg(F.count(F.lit(1)).alias("copies")), "lengths")  # texts are read once
     total = counted.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_units))
     pieces = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn(
