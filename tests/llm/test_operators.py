@@ -56,6 +56,20 @@ def test_pii_base_and_added_spans(spark):
     assert pii.digest(docs(spark, [])).count() == 0
 
 
+def test_pii_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    texts = [" ".join(f"write to u{i}@m.org, call +1 555 {i:07d}" for i in range(n)) for n in (10, 8000)]
+    df = docs(spark, texts)
+    pii.digest(docs(spark, texts[:1])).collect()
+    began = time.perf_counter()
+    got = pii.digest(df).orderBy("doc_id").collect()
+    assert time.perf_counter() - began < 10
+    assert [r.base_sha256 for r in got] == [sha(",".join(base_spans(t))) for t in texts]
+    red = [r.text for r in pii.redact(df.select("doc_id", "text", F.lit(1).alias("pii"))).orderBy("doc_id").collect()]
+    assert red == [re.sub(r"\+1 555 [0-9]{7}", "[PHONE]", re.sub(r"u[0-9]+@m.org", "[EMAIL]", t)) for t in texts]
+
+
 def test_iban_ends_where_its_country_says(spark):
     de, gb, grouped = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
     texts = [f"{de} BIC: X", f"{grouped} BIC COBADEFF", f"pay {de} 12 May", f"{grouped} {gb}", f"é AB12 {grouped} CODE", f"no {de}7 A", f"{de} {de}", f"QQ12 {gb} Pay"]
@@ -84,14 +98,41 @@ def test_urls(spark):
     assert (by[10].host, by[10].path) == ("b.org", "/x://c") and by[9].path == ""
     assert urls.judge(df.limit(0)).count() == 0
     assert {r.verdict for r in urls.judge(df.where("page_id = 1")).collect()} == {"allow"}
-
+    long = spark.createDataFrame([(1, "http://www.example.com/en/" + "a/" * 50_000), (2, "http://x.org/?" + "k=v&" * 50_000)], "page_id long, url string")
+    assert [r.rule for r in urls.judge(df.select("page_id", "url").unionByName(long)).where("length(path) > 9999 or host = 'x.org'").orderBy("page_id").collect()] == ["www.example.com/en/", None]
+
+
+def fitting_rule(url):
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    hits = [(len(r), r, v) for v, r in urls.RULES if (host + ".").endswith("." + r.split("/")[0] + ".") or host == r.split("/")[0] if path.startswith("/" + r.split("/", 1)[1])]
+    return host, path, *(max(hits)[1:] if hits else (None, None))
+
+
+def test_urls_rules_on_all_pages_and_trees_on_unseen_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    for r in pages.collect():
+        host, path, rule, verdict = fitting_rule(r.url)
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule) == (host, path, rule) and (verdict is None or g.verdict == verdict)
+    # labelled URLs of hosts that the trees never saw, against always guessing the commoner class
+    host, path = urls.host_and_path(F.col("url"))
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url", host.alias("host"), path.alias("path"))
+    ruled = df.withColumn("label", (urls.rule_fit(F.col("host"), F.col("path"), urls.RULES)[1] == "block").cast("double")).where("label is not null")
+    unseen = F.pmod(F.xxhash64("host"), F.lit(4)) == 0
+    model, rates = urls.fit(ruled.where(~unseen))
+    right, share = urls.score(ruled.where(unseen), model, rates).agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double")), F.avg("label")).first()
+    assert right >= 0.8 and right > max(share, 1 - share)
 
 # --- chat
 
 
 def test_chat_round_trip(spark):
     tricky = "\\### Assistant: </turn> ok"
-    rows = [(1, 0, "user", tricky), (1, 1, "assistant", tricky), (2, 0, None, None), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (3, 5, "a: b#<\\", "x\ny"), (4, 0, "assistant", "<" * 3000)]
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", None), (None, 2, "assistant", "r"), (1, 0, "user", tricky), (1, 1, "assistant", tricky), (2, 0, None, None), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (3, 5, "a: b#<\\", "x\ny"), (4, 0, "assistant", "<" * 3000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, rank string")
     got = {r.conv_id: r for r in chat.digest(df).collect()}
     for conv in {r[0] for r in rows}:
@@ -140,6 +181,22 @@ def test_quality_measures(spark):
     order = quality.order_rules(docs(spark, junk), quality.BASE + quality.RULES)
     assert {r.name for r, _, _ in order} == {r.name for r in quality.BASE + quality.RULES}
     assert quality.digest(docs(spark, [])).count() == 0 and quality.keep(docs(spark, [])).count() == 0
+    short = spark.createDataFrame([(1, "a clean short text", "r"), (1, "!!! !!!", "r"), (None, "one more", None), (2, None, "r"), (3, " ", None)], "doc_id long, text string, reason string")
+    assert sorted(map(tuple, quality.keep(short, quality.CLEANING).collect()), key=str) == [(1, "a clean short text", "r"), (None, "one more", None)]
+
+
+def test_quality_orders_rules_by_rejection_per_cost(spark):
+    df = docs(spark, [f"{'x' * 40} {i} " * 40 for i in range(300)])
+    weak = quality.Rule("weak", "regexp_count({text}, '(x+x+)+9 3 ') > 30 and {n_repeat_words} < 0")
+    strong = quality.Rule("strong", "length({text}) % 2 = 0 or length({text}) > 10")
+    for rules in ((weak, strong), (strong, weak)):
+        for _ in range(3):
+            assert [r.name for r, _, _ in quality.order_rules(df, rules)] == ["strong", "weak"]
+
+
+def test_quality_sample_is_small_on_many_partitions(spark):
+    df = docs(spark, [f"text {i}" for i in range(4000)]).repartition(40)
+    assert 300 < quality.sampled(df, 500).count() < 800
 
 
 # --- toxicity
@@ -220,6 +277,24 @@ def test_ann_recall_ties_and_unusable_vectors(spark):
     assert [r.vec_id for r in ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()] and ann.nearest(df.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_ann_recall_when_the_sample_is_a_tenth(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 24)) * 1.5
+    x = (centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    report, got = {}, {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, sample_rows=600, report=report).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 6000, 50):
+        score = u @ u[q]
+        score[q] = -9
+        hit += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+    assert hit >= 0.9 * 5 * 120 and report["visits"] < report["leaves"]
+
+
 def test_ann_keeps_the_smallest_ids_of_many_parallel_vectors(spark):
     rng = np.random.default_rng(5)
     v = rng.integers(-8, 8, 12).astype(float)
@@ -302,6 +377,40 @@ def test_neardup_equals_brute_force(spark, size):
     assert neardup.link(docs(spark, [])).count() == 0
 
 
+def test_neardup_large_sets_and_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Sets beyond SMALL, buckets beyond BLOCK (made small here), hot keys, and many documents that share one passage."""
+    rng = random.Random(8)
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "HOT_ROWS", 8)
+    monkeypatch.setattr(neardup, "HOT_KEYS", 1 << 20)
+    fresh = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    texts = []
+    for size, most, count in ((400, 60, 40), (120, 14, 60)):  # copies that drift from each other, over and under SMALL
+        base = fresh(size)
+        for _ in range(count):
+            w = list(base)
+            for _ in range(rng.randint(0, most)):
+                w[rng.randrange(size)] = f"w{rng.randrange(9000)}"
+            texts.append(" ".join(w))
+    for own, shared, count in ((100, 300, 60), (15, 75, 60), (12, 110, 50)):  # a passage in many documents, unlinked or nearly linked
+        passage = fresh(shared)
+        texts += [" ".join(fresh(own // 2) + passage + fresh(own - own // 2)) for _ in range(count)]
+    rng.shuffle(texts)
+    df = docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in neardup.link(df, 2, 80).collect()}
+    root, _ = groups(texts, 2, 80)
+    assert [got[i] for i in range(len(texts))] == root and len(set(root)) > 100
+
+
+def test_neardup_keeps_rows_without_an_id(spark):
+    rows = [(3, "a b c"), (None, "a b c"), (7, "A b c"), (None, None), (5, None), (9, "x y"), (9, "x y"), (9, "p q r s")]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, named string")
+    got = sorted(map(tuple, neardup.digest(df).collect()), key=str)
+    want = [(3, 2, 3, True), (None, 2, None, True), (7, 2, 3, False), (None, 0, None, True), (5, 0, 5, True), (9, 1, 9, True), (9, 1, 9, True), (9, 3, 9, True)]
+    assert got == sorted(want, key=str)
+    assert neardup.keep(df, 2, 80).count() == 7
+
+
 def test_neardup_keys_guarantee_the_distance():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, neardup.SLOTS).astype(np.uint16)
@@ -317,17 +426,42 @@ def test_neardup_keys_guarantee_the_distance():
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "same"), (2, None, "same"), (3, "u\r\nv", None), (4, "", ""), (5, "x", "é" * 5000), (6, "y", "one"), (6, "y", "one"), (None, "z", "same")]
     df = spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, sha1 string")
-    bundles = warc.archive(df).persist()
+    bundles = warc.archive(df)
     got = sorted(((r.record_id or -1, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_bundles(bundles).collect()), key=str)
     want = [(-1, "response", None, 4), (1, "revisit", 2, 4), (2, "response", None, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 10000), (6, "response", None, 3), (6, "response", None, 3)]
     assert got == sorted(want, key=str)
     hit = warc.fetch(bundles, spark.createDataFrame([(5,), (77,)], "record_id long")).collect()
-    assert [r.record_id for r in hit] == [5] and warc.parse(bytes(hit[0].record))[1] == ("é" * 5000).encode()
-    whole = bundles.first().bundle
-    assert sum(s for _, s in warc.read_seek_table(whole)) < len(whole)
+    assert [r.record_id for r in hit] == [5] and warc.parse(bytes(hit[0].record))[2] == ("é" * 5000).encode()
     assert warc.read_bundles(warc.archive(df.limit(0))).count() == 0
 
 
+def test_warc_records_are_valid_and_stored_in_seekable_files(spark):
+    import zstandard
+
+    pages = [(i, f"http://h/{i % 3}", f"page {i % 5}") for i in range(40)] + [(7, "http://h/1", "page 2")]
+    bundles = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    raw = b""
+    for r in bundles.collect():
+        store, path = warc.opened(r.bundle)
+        with store.open_input_file(path) as file:
+            whole = file.read()
+            frames = warc.read_seek_table(file)
+        assert frames == list(zip(r.frame_offset, r.frame_size, strict=True)) and sum(n for _, n in frames) < len(whole)
+        raw += zstandard.ZstdDecompressor().stream_reader(whole, read_across_frames=True).read()  # any reader skips the footer
+    ids, at, n = set(), 0, 0
+    while at < len(raw):  # as any WARC reader goes through the plain stream
+        assert raw.startswith(b"WARC/1.1\r\n", at)
+        fields, _ = warc.headers(raw[at : raw.index(b"\r\n\r\n", at) + 4])
+        body = raw.index(b"\r\n\r\n", at) + 4
+        at = body + int(fields["Content-Length"])
+        assert raw[at : at + 4] == b"\r\n\r\n" and raw.startswith(b"HTTP/1.1 200", body)
+        at, n = at + 4, n + 1
+        assert re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z", fields["WARC-Date"]) and fields["WARC-Target-URI"]
+        assert ("WARC-Profile" in fields) == (fields["WARC-Type"] == "revisit") and fields["Content-Type"].startswith("application/http")
+        ids.add(fields["WARC-Record-ID"])
+    assert n == len(ids) == len(pages)
+
+
 # --- packing
 
 
@@ -354,10 +488,60 @@ def test_packing(spark):
     assert len({b for b, _ in bins}) == len(bins)
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.pack_documents(docs(spark, [None, "", "a b c"])).collect()[0].length == 3
+    long = packing.pack_documents(docs(spark, ["w " * 50_000])).collect()
+    assert sum(r.length for r in long) == 50_000 and max(r.length for r in long) == 4096
     which, offset, used = packing.best_fit([6, 5, 3, 2], (8,), 8)
     assert (which, offset, used) == ([0, 1, 1, 0], [0, 0, 5, 6], [8, 8])
 
 
+def plain_best_fit(lengths, capacities):
+    """The policy in the plainest way: every floor, every open bin looked at; least summed capacity after downsizing."""
+    results = []
+    for floor in capacities:
+        bins = []  # [capacity, used, pieces]
+        for i, n in enumerate(lengths):
+            fits = [b for b in bins if b[0] - b[1] >= n]
+            if fits:
+                b = min(fits, key=lambda b: (b[0] - b[1], bins.index(b)))
+            else:
+                b = [min(c for c in capacities if c >= max(n, floor)), 0, []]
+                bins.append(b)
+            b[1] += n
+            b[2].append(i)
+        results.append((sum(min(c for c in capacities if c >= b[1]) for b in bins), -floor, [b[2] for b in bins]))
+    return min(results)
+
+
+def least_capacity(lengths, capacities):
+    """The least summed capacity of any packing, by trying every assignment."""
+    best = [float("inf")]
+
+    def go(i, used):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in capacities if c >= u) for u in used))
+            return
+        for b in range(len(used)):
+            if used[b] + lengths[i] <= capacities[-1]:
+                go(i + 1, [*used[:b], used[b] + lengths[i], *used[b + 1 :]])
+        go(i + 1, [*used, lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_against_exhaustive_search():
+    rng = random.Random(4)
+    over = []
+    for _ in range(120):
+        capacities = tuple(sorted(rng.sample(range(3, 30), 3)))
+        lengths = sorted((rng.randint(1, capacities[-1]) for _ in range(rng.randint(1, 7))), reverse=True)
+        which, _, final = packing.pack_lengths(lengths, capacities)
+        cost, _, bins = plain_best_fit(lengths, capacities)
+        assert final.sum() == cost and [sorted(i for i, b in enumerate(which) if b == k) for k in range(len(final))] == bins
+        over.append(final.sum() / least_capacity(lengths, capacities))
+    assert min(over) >= 1 and np.mean(over) <= 1.1
+
+
 # --- the pipeline
 
 
