@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terrafold.llm import neardup, packing, pii, quality, toxicity
-from terrafold.llm.common import table, written
+from terrafold.llm.common import drop, lasting, table, temporary
 
 #: No SQL: the toxicity verdicts come from a fitted machine. The tests hold the other stages against brute force.
 ORACLE_SQL: str | None = None
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the ordered rule cascade."""
-    return quality.keep(docs)
+    """Documents that pass the ordered rule cascade, which has no rule on length: a short document may be clean."""
+    return quality.keep(docs, quality.CLEANING)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents and return what the last one gives."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to the documents and return what the last one gives; what lies between is deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark):
+            docs, path = lasting(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            drop(spark, last)
+        last = path
     return docs
