@@ -2,20 +2,20 @@
 
 The kernel compares two tokens by the subsequences of three characters that they share within a span of five, each
 weighted by its gaps, so ``id-iot`` and ``i.d.i.o.t`` stay close to the plain word. A text is a bag of tokens and as
-toxic as its worst one. Labels mark bags: each round trains on the worst token of every toxic bag (and copies of it
-with inserted characters) against tokens of clean bags, the hardest included, in the space that the landmarks span.
+toxic as its worst one. Labels mark bags: each round trains on the token of every toxic bag that the machine so far
+takes for its worst (and copies of it with inserted characters) against tokens of clean bags, the hardest included, in
+the space that the landmarks span; no toxic bag is left out, and the machine's penalty bears with wrong labels.
 As the kernel has a finite feature map, the trained machine folds into one weight a feature, and a task scores each
 distinct token once.
 
 The machine is fitted on a bounded sample of labelled rows (``BAGS`` toxic documents, ``CLEAN_SHARE`` times as many clean ones); every row is scored over its whole
 text. Null and blank texts score 0; with labels of one class only, or none, every text gets that class's constant score
-(0 for none); repeated rows score alike; null labels and labels without a document are left out; an empty table gives
+(0 for none); repeated rows score alike, and of rows that repeat an id the least bag of tokens trains; null labels and labels without a document are left out; an empty table gives
 an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,14 +32,10 @@ from .common import whole
 BAGS = 1000
 #: Landmarks, clean tokens drawn for training, rounds, decay of a gap, penalty of a wrong side.
 LANDMARKS, CLEAN, ROUNDS, DECAY, COST = 448, 9_000, 4, 0.6, 100_000.0
-#: Witnesses, the commonest first, that get copies with inserted characters.
+#: Worst tokens, the commonest first, that get copies with inserted characters.
 BENT = 150
-#: A witness is so many times as often in toxic bags as in clean ones, and as unlikely by chance as so few tokens of its count.
-WITNESS_RATE, CHANCE = 8.0, 0.5
-#: Weight of a guessed witness beside that of a told one.
-LONE = 0.05
-#: Where the border lies between the highest clean and the lowest toxic training bags, a few on each side aside.
-BORDER = 0.65
+#: One bag in so many places the border.
+FOLDS = 5
 #: Clean labelled documents for each toxic one.
 CLEAN_SHARE = 4
 #: Offsets of the second and third character of a subsequence from its first, and the weight of their gaps.
@@ -47,8 +43,8 @@ SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, 5) for j in range(1, k)]
 FEATURES, WIDTH, EDGE = 1 << 21, 32, 127
 #: Tokens whose score a task keeps, and texts that it takes at a time.
 MEMO, STRIDE = 200_000, 200
-#: Single characters parted by one or two others, as in ``i d i o t``.
-SPELT = re.compile(r"(?<!\w)(?:\w[\W_]{1,2}){3,}\w(?!\w)")
+#: Single characters parted by up to four others, as in ``i d i o t`` or ``i - d - i - o - t``.
+SPELT = re.compile(r"(?<!\w)(?:\w[\W_]{1,4}){3,}\w(?!\w)")
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -239,53 +235,30 @@ def first_guess(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarra
     return out
 
 
-def significant(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """Whether a token is in so many toxic bags of its bags that, among all tokens of as many bags, chance gives ``CHANCE`` such at most."""
-    share, total = toxic / (toxic + clean), (in_toxic + in_clean).astype(int)
-    as_common = len(total) - np.searchsorted(np.sort(total), total)
-    pairs, of = np.unique(np.c_[in_toxic.astype(int), total], axis=0, return_inverse=True)
-    tail = [
-        1.0 if t <= n * share else sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)) for i in range(t, n + 1))
-        for t, n in pairs.tolist()
-    ]
-    return np.array(tail)[of.ravel()] * as_common <= CHANCE
+def learned(words: list[str], index: list[np.ndarray], y: np.ndarray, own: list[int], rng: np.random.Generator, rounds: int) -> Machine:
+    """The machine of the bags ``own``, its margin not yet calibrated.
 
-
-def fit(bags: Iterable[Iterable[str]], labels: list[int], seed: int = 7) -> Machine:
-    """The machine from bags of tokens, each read once, and their labels; both classes occur."""
-    rng = np.random.default_rng(seed)
-    vocabulary: dict[str, int] = {}
-    index = []
-    for bag in bags:
-        held = {vocabulary.setdefault(w, len(vocabulary)) for t in bag for w in windows(t) if w}
-        index.append(np.array(sorted(held), np.int32))
-    words, y = list(vocabulary), np.array(labels)
-    own = without_copies(index, y, words, rng)
+    Each round's positives are the tokens that the machine so far takes for the worst of some toxic bag, as heavy as
+    such bags are many; negatives are tokens of clean bags, those the machine takes for worst among them.
+    """
     toxic = [index[i] for i in own if y[i] == 1 and len(index[i])]
     clean = [index[i] for i in own if y[i] == 0 and len(index[i])]
-    in_clean, in_toxic = document_counts(clean, len(words)), document_counts(toxic, len(words))
+    in_clean = document_counts(clean, len(words))
     margin = first_guess(words, toxic, clean)
     clean_words = np.flatnonzero(in_clean > 0)
-    # Tokens that several toxic bags hold and clean ones hardly ever are witnesses; a bag without one has its worst.
-    rate = (in_toxic / len(toxic)) / ((in_clean + 0.1) / len(clean))
-    by_chance = (in_clean + 1) / (len(clean) + 1) * len(toxic)
-    telling = (in_toxic >= by_chance + 3 * np.sqrt(by_chance) + 2) & (rate >= WITNESS_RATE) & significant(in_toxic, in_clean, len(toxic), len(clean))
-    unexplained = [i for i in toxic if not telling[i].any()]
     frequent = clean_words[np.argsort(-in_clean[clean_words], kind="stable")[: CLEAN // 3]]
     pool = np.union1d(frequent, rng.choice(clean_words, min(len(clean_words), CLEAN // 3), replace=False))
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         hard = clean_words[np.argsort(-margin[clean_words], kind="stable")[: CLEAN // 4]]
         pool = np.union1d(pool, hard)
-        lone, lone_counts = np.unique([i[np.argmax(margin[i])] for i in unexplained], return_counts=True) if unexplained else (pool[:0], pool[:0])
-        worst = np.concatenate([np.flatnonzero(telling), lone]).astype(np.int64)
-        counts = np.concatenate([in_toxic[telling], lone_counts * LONE])
+        worst, counts = np.unique([i[np.argmax(margin[i])] for i in toxic], return_counts=True)
         against = np.setdiff1d(pool, worst)
         good = [words[i] for i in worst]
-        common = np.argsort(-counts[counts >= 1], kind="stable")[:BENT]
-        bent = sorted({v for i in common for v in gapped(good[i], rng)} - vocabulary.keys())
+        common = np.argsort(-counts, kind="stable")[:BENT]
+        bent = sorted({v for i in common for v in gapped(good[i], rng)}.difference(words))
         train = [*good, *bent, *(words[i] for i in against)]
         sign = np.array([1.0] * (len(good) + len(bent)) + [-1.0] * len(against))
-        weight = np.concatenate([np.clip(counts, LONE, 20), np.full(len(bent), 1.0), np.clip(in_clean[against], 1, 20)])
+        weight = np.concatenate([np.clip(counts, 1, 20), np.full(len(bent), 1.0), np.clip(in_clean[against], 1, 20)])
         weight[sign > 0] *= weight[sign < 0].sum() / weight[sign > 0].sum() / 4
         tf, tw = unit_rows(train)
         marks, z, triangle = landmarks(tf, tw, np.sqrt(weight))
@@ -293,22 +266,61 @@ def fit(bags: Iterable[Iterable[str]], labels: list[int], seed: int = 7) -> Mach
         per_mark = np.linalg.solve(triangle.T, beta[:-1])
         folded = np.zeros(FEATURES)
         np.add.at(folded, tf[marks], tw[marks] * per_mark[:, None])
-        folded = folded.astype(np.float32)
-        machine = Machine(folded, float(beta[-1]), 1.0, 0.0)
+        machine = Machine(folded.astype(np.float32), float(beta[-1]), 1.0, 0.0)
         margin = np.concatenate([machine.margins(words[at : at + 50_000]) for at in range(0, len(words), 50_000)])
-    top = np.array([margin[i].max() if len(i) else beta[-1] for i in index])
-    slope, shift = calibrate(top, y)
-    # The clean side has more and rarer tokens than any sample: the border lies nearer to the toxic side.
-    low, high = np.quantile(top[y == 0], 0.995), np.quantile(top[y == 1], 0.03)
+    return machine
+
+
+def tops(machine: Machine, words: list[str], index: list[np.ndarray]) -> np.ndarray:
+    """Margin of each bag: that of its worst token."""
+    margin = np.concatenate([machine.margins(words[at : at + 50_000]) for at in range(0, max(len(words), 1), 50_000)])
+    return np.array([margin[i].max() if len(i) else machine.bias for i in index])
+
+
+def ends(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The highest clean and the lowest toxic margins, a few on each side aside."""
+    return float(np.quantile(top[y == 0], 0.995)), float(np.quantile(top[y == 1], 0.03))
+
+
+def border_share(top: np.ndarray, y: np.ndarray, held: np.ndarray) -> float:
+    """Where between the ends of the other bags the border does least wrong on the held ones: the middle of the best places."""
+    low, high = ends(top[~held], y[~held])
+    places = np.linspace(0.1, 0.9, 33)
+    wrong = [(top[held & (y == 1)] < low + (high - low) * p).mean() + (top[held & (y == 0)] >= low + (high - low) * p).mean() for p in places]
+    return float(places[np.flatnonzero(np.array(wrong) <= min(wrong) + 1e-12)].mean())
+
+
+def fit(bags: Iterable[Iterable[str]], labels: list[int], seed: int = 7) -> Machine:
+    """The machine from bags of tokens, each read once, and their labels; both classes occur.
+
+    The border is placed by a fold of the training bags: a machine of the others judges it.
+    """
+    rng = np.random.default_rng(seed)
+    vocabulary: dict[str, int] = {}
+    index = []
+    for bag in bags:
+        held = {vocabulary.setdefault(w, len(vocabulary)) for t in bag for w in windows(t) if w}
+        index.append(np.array(sorted(held), np.int32))
+    words, y = list(vocabulary), np.array(labels)
+    own = without_copies(index, y, words, rng)
+    share = 0.5
+    fold = {k: own_k[::FOLDS] for k in (0, 1) if len(own_k := [i for i in own if y[i] == k and len(index[i])]) >= 2 * FOLDS}
+    if len(fold) == 2:
+        aside = np.zeros(len(own), bool)
+        aside[np.isin(own, fold[0] + fold[1])] = True
+        first = learned(words, index, y, [i for i, a in zip(own, aside, strict=True) if not a], rng, 2)
+        share = border_share(tops(first, words, [index[i] for i in own]), y[own], aside)
+    machine = learned(words, index, y, own, rng, ROUNDS)
+    top = tops(machine, words, index)
+    slope, _ = calibrate(top, y)
+    low, high = ends(top, y)
     if high > low:
-        border = low + (high - low) * BORDER
+        border = low + (high - low) * share
     else:  # the classes overlap: the border with the fewest wrong training bags
         x = np.sort(top)
-        wrong = [((top >= b) != (y == 1)).sum() for b in x]
-        best = int(np.argmin(wrong))
+        best = int(np.argmin([((top >= b) != (y == 1)).sum() for b in x]))
         border = (x[best] + x[max(best - 1, 0)]) / 2
-    shift = -slope * border
-    return Machine(folded, float(beta[-1]), slope, shift)
+    return Machine(machine.weights, machine.bias, slope, -slope * border)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -344,9 +356,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bags: int =
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "bag": ["\n".join(sorted(tokens(t))) for t in pdf["text"]]})
 
-    # The drawn labels are bounded by the parameter, so they are broadcast; repeated ids keep their first text.
+    # The drawn labels are bounded by the parameter, so they are broadcast.
     texts = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = texts.mapInPandas(gather, "doc_id long, y int, bag string").dropDuplicates(["doc_id"]).toPandas()
+    rows = texts.mapInPandas(gather, "doc_id long, y int, bag string").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("bag").alias("bag")).toPandas()
     rows = rows.sort_values("doc_id", ignore_index=True)
     found = set(rows["y"])
     if len(found) < 2:
