@@ -226,6 +226,50 @@ def test_toxicity_learns_and_tolerates_insertions(spark):
         assert {r.score for r in toxicity.score(df, machine).collect()} == {want}
 
 
+def subsequences(word):
+    """Weight of each gapped triple of codes within a span of five, by direct enumeration."""
+    c = [toxicity.EDGE, *(int(toxicity.CODES[min(ord(x), 0xFFFF)]) for x in word), toxicity.EDGE]
+    out = Counter()
+    for i in range(len(c)):
+        for j in range(i + 1, len(c)):
+            for k in range(j + 1, min(i + 5, len(c))):
+                out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i - 2)
+    return out
+
+
+def test_toxicity_features_and_landmarks_equal_the_full_kernel():
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("abcé-1日x") for _ in range(rng.randint(1, 14))) for _ in range(60)})
+    direct = [subsequences(w) for w in words]
+    norm = [sum(v * v for v in d.values()) ** 0.5 for d in direct]
+    full = np.array([[sum(v * e[t] for t, v in d.items()) / (a * b) for e, b in zip(direct, norm)] for d, a in zip(direct, norm)])
+    f, w = toxicity.unit_rows(words)
+    dense = np.zeros((len(words), toxicity.FEATURES), np.float32)
+    for i in range(len(words)):
+        np.add.at(dense[i], f[i], w[i])
+    assert np.abs(dense @ dense.T - full).max() < 1e-4
+    marks, z, triangle = toxicity.landmarks(f, w, np.ones(len(words)), most=len(words))
+    assert np.abs(z @ z.T - full).max() < 0.02  # all words as landmarks: the Nyström coordinates give the kernel back
+    beta = np.random.default_rng(0).normal(size=z.shape[1])
+    per_mark = np.linalg.solve(triangle.T, beta)
+    folded = np.zeros(toxicity.FEATURES)
+    np.add.at(folded, f[marks], w[marks] * per_mark[:, None])
+    want = full[:, marks] @ per_mark + 0.25
+    got = toxicity.Machine(folded.astype(np.float32), 0.25, 1.0, 0.0).margins(words)
+    short = [len(toxicity.TRIM.sub("", x)) == len(x) for x in words]  # margins look at trimmed tokens
+    assert np.abs(got - want)[short].max() < 1e-2 * max(1, np.abs(per_mark).max())
+
+
+def test_toxicity_repeated_ids_and_long_texts(spark):
+    texts = [f"some good clean talk words here {i}" for i in range(40)] + [f"some fuzzwit talk {i}" for i in range(40)]
+    df = docs(spark, texts).unionByName(docs(spark, ["some other talk"] * 3, start=0))
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    first, second = (toxicity.train(df.repartition(n), labels) for n in (1, 7))
+    assert np.array_equal(first.weights, second.weights)
+    long = docs(spark, ["good clean words here " * 40_000, "good clean words here " * 40_000 + "f - u - z - z - w - i - t"])
+    assert [r.score >= 0.5 for r in toxicity.score(long, first).orderBy("doc_id").collect()] == [False, True]
+
+
 def test_toxicity_learns_rare_insults():
     rng = random.Random(6)
     syllables = "th er on an re he in ed nd ha st ou le is it ar te se".split()
