@@ -31,6 +31,10 @@ def month_of_day(day: Column) -> Column:
     return F.when(day.between(1, 365), month).otherwise(F.raise_error(F.lit("day number outside 1..365")).cast("int"))
 
 
+def to_celsius(kelvin: Column) -> Column:
+    return kelvin - 273.15
+
+
 def wrap_day(day: Column) -> Column:
     return F.when(day > 365, day - 365).otherwise(day)
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formulas import finite
+from ..functions.formulas import finite, from_mercator
 
 TINY_NODATA = -3.14e-8
 
@@ -29,19 +30,51 @@ def binary_mask(value: Column, src_nodata: float | None, inside: float = 1.0, ou
     return F.when(value.isNotNull() & valid, F.lit(inside)).otherwise(F.lit(outside))
 
 
-def grid_product(layers: list[DataFrame]) -> DataFrame:
-    """(cell_id, value): the product of all layers; a missing factor makes a missing product."""
+def frame_of(cells: DataFrame, step: float, crs: str = "EPSG:4326") -> dict:
+    """Reference system, origin, step and size of a grid of cells with row_i, col_i and centres x, y; one pass."""
+    at = cells.agg(
+        F.min(F.col("x") - (F.col("col_i") + 0.5) * step).alias("x0"), F.max(F.col("y") + (F.col("row_i") + 0.5) * step).alias("y0"),
+        (F.max("row_i") + 1).alias("nrows"), (F.max("col_i") + 1).alias("ncols"),
+    ).first()
+    return {"crs": crs, "dx": step, "dy": step, **at.asDict()}
+
+
+def grid_product(layers: list[DataFrame], frames: list[dict] | None = None) -> DataFrame:
+    """(cell_id, value): the product of all layers; a missing factor makes a missing product.
+
+    With ``frames``, layers whose grids differ raise.
+    """
     if not layers:
         raise ValueError("at least one layer is needed")
+    for frame in frames or []:
+        same_grid(frames[0], frame)
     named = [d.select("cell_id", F.col("value").alias(f"v{i}")) for i, d in enumerate(layers)]
     joined = reduce(lambda a, b: a.join(b, "cell_id"), named)
     return joined.select("cell_id", reduce(lambda a, b: a * b, [F.col(f"v{i}") for i in range(len(layers))]).alias("value"))
 
 
-def grid_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(row_i, col_i, value): a - b over the union of both extents, missing unless both are there."""
-    left, right = a.select("row_i", "col_i", F.col("value").alias("va")), b.select("row_i", "col_i", F.col("value").alias("vb"))
-    return left.join(right, ["row_i", "col_i"], "full").select("row_i", "col_i", (F.col("va") - F.col("vb")).alias("value"))
+def grid_difference(a: DataFrame, b: DataFrame, frame_a: dict, frame_b: dict) -> DataFrame:
+    """(row_i, col_i, value): a - b on a's grid stretched over the union of both extents, missing unless both are there.
+
+    b is sampled at the centres; rows and columns north and west of a's origin are negative.
+    """
+    if frame_a["crs"] != frame_b["crs"]:
+        raise ValueError(f"layers must share a reference system: {frame_a['crs']} and {frame_b['crs']}")
+    dx, dy = frame_a["dx"], frame_a["dy"]
+    west = floor((min(frame_a["x0"], frame_b["x0"]) - frame_a["x0"]) / dx)
+    north = floor((frame_a["y0"] - max(frame_a["y0"], frame_b["y0"])) / dy)
+    east = max(frame_a["ncols"], ceil((frame_b["x0"] + frame_b["ncols"] * frame_b["dx"] - frame_a["x0"]) / dx))
+    south = max(frame_a["nrows"], ceil((frame_a["y0"] - frame_b["y0"] + frame_b["nrows"] * frame_b["dy"]) / dy))
+    wide, cell = east - west, F.col("id")
+    union = a.sparkSession.range((south - north) * wide).select(
+        (F.floor(cell / wide) + north).cast("int").alias("row_i"), (cell % wide + west).cast("int").alias("col_i")
+    )
+    x, y = pixel_centre(F.col("row_i"), F.col("col_i"), frame_a["x0"], frame_a["y0"], dx)
+    under_row, under_col = F.floor((frame_b["y0"] - y) / frame_b["dy"]).cast("int"), F.floor((x - frame_b["x0"]) / frame_b["dx"]).cast("int")
+    union = union.withColumns({"_r": under_row, "_c": under_col})
+    left = a.select("row_i", "col_i", F.col("value").alias("va"))
+    right = b.select(F.col("row_i").alias("_r"), F.col("col_i").alias("_c"), F.col("value").alias("vb"))
+    return union.join(left, ["row_i", "col_i"], "left").join(right, ["_r", "_c"], "left").select("row_i", "col_i", (F.col("va") - F.col("vb")).alias("value"))
 
 
 def mask_by_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -62,14 +95,29 @@ def practice_benefit(base: DataFrame, other: DataFrame, base_year: int, other_ye
     return one.join(two, "cell_id").select("cell_id", ((F.try_divide("v2", "v1") - 1) * 100).alias("benefit"))
 
 
-def pixel_centre(row: Column, col: Column, x0: float, y0: float, step: float) -> tuple[Column, Column]:
-    return x0 + (col + 0.5) * step, y0 - (row + 0.5) * step
-
-
-def tile_years(monthly: DataFrame, n_years: int) -> DataFrame:
-    """The year's rows for each of n years, with year (from 1) and t (month from 0)."""
-    years = F.explode(F.sequence(F.lit(1), F.lit(n_years)))
-    return monthly.withColumn("year", years).withColumn("t", (F.col("year") - 1) * 12 + F.col("month") - 1)
+def pixel_centre(row: Column, col: Column, x0: float, y0: float, step: float, crs: str = "EPSG:4326") -> tuple[Column, Column]:
+    """Longitude and latitude of a cell's centre; grids in degrees or in spherical Mercator metres, others raise."""
+    x, y = x0 + (col + 0.5) * step, y0 - (row + 0.5) * step
+    if crs == "EPSG:3857":
+        return from_mercator(x, y)
+    if crs != "EPSG:4326":
+        raise ValueError(f"no closed form from {crs} to longitude and latitude")
+    return x, y
+
+
+def tile_years(monthly: DataFrame, n_years: int, key: str = "cell_id") -> DataFrame:
+    """Each key's months for n years, with year (from 1) and t (month from 0).
+
+    A key has twelve months, which repeat, or twelve for each year, numbered on; other lengths raise.
+    """
+    values = [c for c in monthly.columns if c not in (key, "month")]
+    packed = monthly.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("month", *values))).alias("_m"))
+    sized = F.when(F.size("_m").isin(12, 12 * n_years), F.col("_m")).otherwise(F.raise_error(F.lit("drivers must hold 12 or 12 * n_years months")))
+    rows = packed.select(key, sized.alias("_m"), F.explode(F.sequence(F.lit(0), F.lit(12 * n_years - 1))).alias("t"))
+    at = F.col("_m")[F.col("t") % F.size("_m")]
+    return rows.select(
+        key, (F.floor(F.col("t") / 12) + 1).cast("int").alias("year"), (F.col("t") % 12 + 1).alias("month"), "t", *[at[v].alias(v) for v in values]
+    )
 
 
 def same_grid(a: dict, b: dict) -> None:
@@ -156,16 +204,17 @@ def quantile_bins(df: DataFrame, value: str, q: int) -> DataFrame:
     return out.withColumn("mid", mid).drop("_e")
 
 
-def value_profile(df: DataFrame, value: str) -> DataFrame:
-    """One row: distinct values, range, whether few enough to be classes, and the midpoints between neighbours."""
+def value_profile(df: DataFrame, value: str, classes: int = 20) -> DataFrame:
+    """One row: distinct values, range, whether few enough to be classes, and then the midpoints between neighbours."""
     some = df.agg(F.count_distinct(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return some.withColumn("categorical", F.col("n") <= 20)
-
-
-def class_boundaries(df: DataFrame, value: str) -> DataFrame:
-    """Midpoints between neighbouring distinct values; for few classes, as ``value_profile`` tells."""
-    order = Window.orderBy(value)
-    return df.select(value).where(F.col(value).isNotNull()).distinct().select(((F.col(value) + F.lead(value).over(order)) / 2).alias("boundary")).where("boundary is not null")
+    # The midpoints are those of a few classes, so one value more than these is all that is ever gathered.
+    few = df.select(F.col(value).cast("double").alias("v")).where("v is not null").distinct().limit(classes + 1)
+    held = F.broadcast(few.agg(F.sort_array(F.collect_list("v")).alias("_v")))
+    between = F.transform(F.slice("_v", 2, classes), lambda v, i: (v + F.col("_v")[i]) / 2)
+    return (
+        some.crossJoin(held).withColumn("categorical", F.col("n") <= classes)
+        .withColumn("boundaries", F.when(F.col("categorical"), between)).drop("_v")
+    )
 
 
 def diagnostics(df: DataFrame, value: str, geometry: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 
 POOLS = ("dpm", "rpm", "bio", "hum")
+DRIVERS = ("tmp", "water", "evap", "pc", "c_inp", "fym")
 Modifier = Callable[[Column, str], Column]
 
 
@@ -79,6 +80,7 @@ def annual(
     ``modifier`` gives the tillage factor of a pool from the sand column. A site's own inert pool replaces the derived
     one without moving the others. ``fym_to_hum`` puts the two hundredths of manure into the humified pool.
     """
+    df = df.withColumns({d: check_cycle(F.col(d), F.col("n_years")) for d in DRIVERS})
     df = prepared(deficits(df, depth), modifier)
 
     def month(d: Column, y: Column, m: Column) -> Column:

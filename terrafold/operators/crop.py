@@ -22,15 +22,29 @@ def rejected_crops(crops: DataFrame) -> DataFrame:
     return crops.join(valid_crops(crops), crops.columns, "left_anti")
 
 
-def daily_kc(crops: DataFrame, days: DataFrame) -> DataFrame:
-    """(zone_group, crop, day_num, month, stage, kc) for each day of each valid crop row."""
-    rows = valid_crops(crops).crossJoin(F.broadcast(days))
+def with_kc(rows: DataFrame) -> DataFrame:
+    """Rows of crop columns and day_num with the crop's stage and coefficient of that day."""
     offset, c = F.col("day_num") - F.col("plant_day"), F.col
     lengths = (c("d_ini"), c("d_dev"), c("d_mid"), c("d_late"))
-    return rows.select(
-        "zone_group", "crop", "day_num", "month", formulas.crop_stage(offset, *lengths).alias("stage"),
-        formulas.crop_coefficient(offset, (c("k_ini"), c("k_mid"), c("k_late")), lengths).alias("kc"),
-    )
+    return rows.withColumns({
+        "stage": formulas.crop_stage(offset, *lengths), "kc": formulas.crop_coefficient(offset, (c("k_ini"), c("k_mid"), c("k_late")), lengths),
+    })
+
+
+def daily_kc(crops: DataFrame, days: DataFrame) -> DataFrame:
+    """(zone_group, crop, day_num, month, stage, kc) for each day of each valid crop row."""
+    return with_kc(valid_crops(crops).crossJoin(F.broadcast(days))).select("zone_group", "crop", "day_num", "month", "stage", "kc")
+
+
+def observed_kc(observations: DataFrame, crops: DataFrame) -> DataFrame:
+    """Observations (zone_group, day_num and more) with crop, stage and kc of every valid crop of their zone group."""
+    return with_kc(observations.join(F.broadcast(valid_crops(crops)), "zone_group"))
+
+
+def local_monthly_kc(plantings: DataFrame, key: str = "cell_id") -> DataFrame:
+    """(key, crop, month, kc): monthly means of valid crop rows that each key has on its own planting day."""
+    days = valid_crops(plantings).withColumn("day_num", F.explode(F.sequence(F.lit(1), F.lit(365))))
+    return with_kc(days).groupBy(key, "crop", formulas.month_of_day(F.col("day_num")).alias("month")).agg(F.avg("kc").alias("kc"))
 
 
 def monthly_kc(crops: DataFrame, days: DataFrame) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
-#: View name to its SQL; each may use the tables and the views before it.
+#: View name to its SQL (zone names, crop coefficients and month lengths are fixed values); each may use the tables and the views before it.
 VIEWS = {
     "fx_months": """
 SELECT month, n_days, first_day FROM (VALUES (1,31,1),(2,28,32),(3,31,60),(4,30,91),(5,31,121),(6,30,152),
  (7,31,182),(8,31,213),(9,30,244),(10,31,274),(11,30,305),(12,31,335)) AS m(month, n_days, first_day)""",
-    "fx_days": """
-SELECT CAST(m.first_day + p.p_partkey AS INT) AS day_num, m.month AS month, CAST(p.p_partkey + 1 AS INT) AS day
-FROM fx_months m JOIN part p ON p.p_partkey < m.n_days""",
+    "fx_days": f"""
+SELECT CAST(m.first_day + d.n AS INT) AS day_num, m.month AS month, CAST(d.n + 1 AS INT) AS day
+FROM fx_months m JOIN (VALUES {", ".join(f"({n})" for n in range(31))}) AS d(n) ON d.n < m.n_days""",
     "fx_zones": """
 SELECT zone_id, zone_group FROM (VALUES (1,'Tropics'),(2,'Tropics'),(3,'Subtropics summer rainfall'),
  (4,'Subtropics winter rainfall'),(5,'Subtropics winter rainfall'),(6,'Oceanic temperate'),

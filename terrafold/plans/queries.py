@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
@@ -66,11 +66,21 @@ PET = """pet AS (SELECT m.cell_id, m.month, m.y, m.zone_id, m.lu, CASE WHEN m.tm
  FROM (SELECT t.*, k.y, k.zone_id, k.lu, d.n_days, -tan(radians(k.y)) * tan(radians(23.44) * sin(radians(360 / 365.0 * ([15,45,74,105,135,162,198,228,258,288,318,344][t.month] - 81)))) AS cc
    FROM fx_monthly t JOIN fx_cells k USING (cell_id) JOIN fx_months d USING (month)) m
  JOIN (SELECT cell_id, sum(power(greatest(0, tmp) / 5, 1.514)) AS hi FROM fx_monthly GROUP BY cell_id) h USING (cell_id))"""
-KCD = """kcd AS (SELECT zone_group, crop, day_num, month, o, CASE WHEN o < 0 THEN 0 WHEN o = 0 THEN 1 WHEN o <= d_ini THEN 2 WHEN o <= d_ini + d_dev THEN 3
+def kc_sql(name: str, columns: str, source: str) -> str:
+    """A step of daily coefficients: ``source`` gives crop rows, the columns and o, the days since planting."""
+    return f"""{name} AS (SELECT {columns}, o, CASE WHEN o < 0 THEN 0 WHEN o = 0 THEN 1 WHEN o <= d_ini THEN 2 WHEN o <= d_ini + d_dev THEN 3
    WHEN o <= d_ini + d_dev + d_mid THEN 4 WHEN o <= d_ini + d_dev + d_mid + d_late THEN 5 ELSE 0 END AS stage,
   CASE WHEN o < 0 THEN 0.0 WHEN o <= d_ini THEN k_ini WHEN o <= d_ini + d_dev THEN k_ini + (k_mid - k_ini) * (o - d_ini - 1) / (d_dev - 1)
    WHEN o <= d_ini + d_dev + d_mid THEN k_mid WHEN o <= d_ini + d_dev + d_mid + d_late THEN k_mid + (k_late - k_mid) * (o - d_ini - d_dev - d_mid - 1) / (d_late - 1) ELSE 0.0 END AS kc
- FROM (SELECT c.*, d.day_num, d.month, d.day_num - c.plant_day AS o FROM fx_crops c CROSS JOIN fx_days d WHERE plant_day + d_ini + d_dev + d_mid + d_late <= 365))"""
+ FROM ({source}))"""
+
+
+FITS = "plant_day + d_ini + d_dev + d_mid + d_late <= 365"
+KCD = kc_sql("kcd", "zone_group, crop, day_num, month", f"SELECT c.*, d.day_num, d.month, d.day_num - c.plant_day AS o FROM fx_crops c CROSS JOIN fx_days d WHERE {FITS}")
+KCO = kc_sql("kco", "l_orderkey, l_linenumber, crop", f"""SELECT k.*, l.l_orderkey, l.l_linenumber, least(dayofyear(l.l_shipdate), 365) - k.plant_day AS o FROM lineitem l
+ JOIN fx_cells c ON c.cell_id = l.l_partkey JOIN fx_zones z USING (zone_id) JOIN fx_crops k USING (zone_group) WHERE {FITS}""")
+KCL = kc_sql("kcl", "cell_id, crop, month", f"""SELECT k.* EXCLUDE (plant_day), c.cell_id, d.month, d.day_num - (plant_day + c.cell_id % 20) AS o FROM fx_cells c JOIN fx_zones z USING (zone_id)
+ JOIN fx_crops k USING (zone_group) CROSS JOIN fx_days d WHERE {FITS.replace("plant_day", "plant_day + c.cell_id % 20")}""")
 KCM = "kcm AS (SELECT zone_group, crop, month, avg(kc) AS kc FROM kcd GROUP BY ALL)"
 RATIOS = """ratios AS (SELECT cell_id, CASE WHEN y_all <> 0 AND y_irr <> 0 THEN y_irr / y_all END AS irr, CASE WHEN y_all <> 0 AND y_rf <> 0 THEN y_rf / y_all END AS rf FROM fx_spam)"""
 
@@ -162,11 +172,14 @@ def src_file_index(L):
     return io.file_index(L.spark, path).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c.cell_id, CAST(m.month AS INT) AS month, round(CAST(m.tmp AS FLOAT), 2) AS tmp FROM fx_monthly m JOIN fx_cells c USING (cell_id)")
+@query("""SELECT c.cell_id, CAST(m.month AS INT) AS month, round(CAST(m.tmp AS FLOAT), 2) AS tmp, 'degC' AS units, 'mean air temperature' AS long_name, '12 bands, January first' AS description
+ FROM fx_monthly m JOIN fx_cells c USING (cell_id)""")
 def sink_grid(L):
     path = scratch(L.spark, "grid")
-    io.write_grid(L.monthly.select("cell_id", "month", "tmp").repartition("month"), path, ["month"], nodata=-9999.0)
-    return L.spark.read.parquet(path).select("cell_id", "month", F.round("tmp", 2).alias("tmp"))
+    tags = {"units": "degC", "long_name": "mean air temperature", "description": "12 bands, January first"}
+    io.write_grid(L.monthly.select("cell_id", "month", "tmp").repartition("month"), path, ["month"], nodata=-9999.0, tags=tags)
+    df, told = io.read_grid(L.spark, path)
+    return df.select("cell_id", "month", F.round("tmp", 2).alias("tmp"), *[F.lit(told[t]).alias(t) for t in tags])
 
 
 SUMMARY_SQL = """SELECT CAST(poly_id AS VARCHAR) AS region, 'base' AS practice, metric, round(value, 4) AS value, 't/ha' AS unit, CAST(NULL AS VARCHAR) AS notes FROM
@@ -210,14 +223,21 @@ def binary_mask(L):
 @query("SELECT cell_id, round(y_all * clay * soc0, 4) AS value FROM fx_spam JOIN fx_cells USING (cell_id)")
 def grid_product(L):
     layer = lambda df, v: df.select("cell_id", c(v).alias("value"))
-    return r4(algebra.grid_product([layer(L.spam, "y_all"), layer(L.cells, "clay"), layer(L.cells, "soc0")]), "value")
+    frames = [algebra.frame_of(L.cells, 1.0), algebra.frame_of(L.cells.join(L.spam, "cell_id"), 1.0)]
+    return r4(algebra.grid_product([layer(L.spam, "y_all"), layer(L.cells, "clay"), layer(L.cells, "soc0")], frames), "value")
 
 
-@query("""SELECT row_i, col_i, round(a.v - b.v, 4) AS value FROM (SELECT row_i, col_i, soc0 AS v FROM fx_cells) a
- FULL JOIN (SELECT row_i + 3 AS row_i, col_i + 2 AS col_i, clay AS v FROM fx_cells) b USING (row_i, col_i)""")
+@query("""SELECT CAST(r AS INT) AS row_i, CAST(k AS INT) AS col_i, round(a.soc0 - b.clay, 4) AS value FROM (SELECT max(row_i) + 1 AS nr FROM fx_cells)
+ CROSS JOIN LATERAL (SELECT unnest(range(0, CAST(greatest(nr, 3 + 2 * (floor((nr - 1) / 2) + 1)) AS BIGINT))) AS r) CROSS JOIN (SELECT unnest(range(0, 202)) AS k)
+ LEFT JOIN fx_cells a ON a.row_i = r AND a.col_i = k
+ LEFT JOIN (SELECT row_i // 2 AS rb, col_i // 2 AS cb, clay FROM fx_cells WHERE row_i % 2 = 0 AND col_i % 2 = 0) b ON b.rb = floor((r - 2.5) / 2) AND b.cb = floor((k - 1.5) / 2)""")
 def grid_difference_union(L):
-    moved = L.cells.select((c("row_i") + 3).alias("row_i"), (c("col_i") + 2).alias("col_i"), c("clay").alias("value"))
-    return r4(algebra.grid_difference(L.cells.select("row_i", "col_i", c("soc0").alias("value")), moved), "value")
+    """A layer of one degree less a layer of two degrees whose origin lies two degrees east and three south."""
+    half = lambda n: F.floor(c(n) / 2).cast("int").alias(n)
+    coarse = L.cells.where("row_i % 2 = 0 and col_i % 2 = 0").select(half("row_i"), half("col_i"), c("clay").alias("value"))
+    coarse = coarse.withColumns({"x": -97.0 + 2.0 * c("col_i"), "y": 56.0 - 2.0 * c("row_i")})
+    fine = L.cells.select("row_i", "col_i", "x", "y", c("soc0").alias("value"))
+    return r4(algebra.grid_difference(fine, coarse, algebra.frame_of(fine, 1.0), algebra.frame_of(coarse, 2.0)), "value")
 
 
 @query("SELECT c.cell_id, soc0 AS value FROM fx_cells c JOIN fx_spam s USING (cell_id) WHERE y_irr IS NOT NULL")
@@ -226,9 +246,10 @@ def mask_by_overlap(L):
     return algebra.mask_by_overlap(L.cells.select("cell_id", "row_i", "col_i", c("soc0").alias("value")), b).select("cell_id", "value")
 
 
-@query("SELECT cell_id, month, round(tmp + 273.15 - 273.15, 4) AS tmp FROM fx_monthly")
+@query("SELECT cell_id, month, round(CASE WHEN rain <> 0 THEN rain + 260 - 273.15 END, 4) AS tmp FROM fx_monthly")
 def kelvin_to_celsius(L):
-    return L.monthly.select("cell_id", "month", F.round((c("tmp") + 273.15) - 273.15, 4).alias("tmp"))
+    kelvin = io.grid(L.monthly, "rain", 0.0).select("cell_id", "month", (c("rain") + 260).alias("kelvin"))
+    return kelvin.select("cell_id", "month", F.round(formulas.to_celsius(c("kelvin")), 4).alias("tmp"))
 
 
 @query("SELECT cell_id, month, round(CASE WHEN evap > rain THEN evap - rain ELSE 0 END, 4) AS need, round(CASE WHEN evap > rain THEN evap - rain END, 4) AS gap FROM fx_monthly")
@@ -237,10 +258,12 @@ def irrigation_need(L):
     return L.monthly.select("cell_id", "month", need().alias("need"), need(F.lit(None).cast("double")).alias("gap"))
 
 
-@query("SELECT cell_id, round(60 - row_i - 0.5, 4) AS lat, round(-100 + col_i + 0.5, 4) AS lon FROM fx_cells")
+@query("""SELECT cell_id, round(60 - row_i - 0.5, 4) AS lat, round(-100 + col_i + 0.5, 4) AS lon, round(degrees((-11000000 + (col_i + 0.5) * 100000) / 6378137.0), 4) AS metric_lon,
+ round(degrees(2 * atan(exp((8000000 - (row_i + 0.5) * 100000) / 6378137.0)) - pi() / 2), 4) AS metric_lat FROM fx_cells""")
 def pixel_centre(L):
     x, y = algebra.pixel_centre(c("row_i"), c("col_i"), -100.0, 60.0, 1.0)
-    return L.cells.select("cell_id", F.round(y, 4).alias("lat"), F.round(x, 4).alias("lon"))
+    mx, my = algebra.pixel_centre(c("row_i"), c("col_i"), -11_000_000.0, 8_000_000.0, 100_000.0, "EPSG:3857")
+    return r4(L.cells.select("cell_id", y.alias("lat"), x.alias("lon"), mx.alias("metric_lon"), my.alias("metric_lat")), "lat", "lon", "metric_lon", "metric_lat")
 
 
 @query("SELECT cell_id, y.year AS year, month, CAST((y.year - 1) * 12 + month - 1 AS INT) AS t, tmp FROM fx_monthly CROSS JOIN (SELECT CAST(unnest([1,2,3]) AS INT) AS year) y")
@@ -256,9 +279,9 @@ def plant_cover_tile(L):
 
 @query("SELECT cell_id, count(DISTINCT month) AS bands FROM fx_monthly WHERE rain > 0 GROUP BY cell_id HAVING count(DISTINCT month) <> 12")
 def grid_alignment(L):
-    meta = {"crs": "EPSG:4326", "x0": -100.0, "y0": 60.0, "dx": 1.0, "dy": 1.0, "ncols": 200, "nrows": 100}
-    algebra.same_grid(meta, dict(meta))
-    return algebra.incomplete_cells(L.monthly.where("rain > 0"))
+    bands = L.monthly.where("rain > 0")
+    algebra.same_grid(algebra.frame_of(L.cells, 1.0), algebra.frame_of(L.cells.join(L.monthly.select("cell_id"), "cell_id", "left_semi"), 1.0))
+    return algebra.incomplete_cells(bands)
 
 
 @query("SELECT cell_id, CASE WHEN y_rf <> 0 THEN y_rf END AS v FROM fx_spam")
@@ -378,18 +401,23 @@ def weighted_pairs(L: Layers) -> DataFrame:
     return spatial.area_weighted(spatial.polygon_intersects(L.vertices, L.layer), L.layer, spatial.mercator_area(L.layer))
 
 
-@query("SELECT a AS objectid, round(sum(v * w) / sum(w), 4) AS factor FROM meets JOIN areas ON poly_id = b GROUP BY a", EDGES, LEDGES, MEETS, AREAS)
+@query("""SELECT r_name AS eco, a AS objectid, round(sum(v * w) / sum(w), 4) AS factor FROM meets JOIN areas ON poly_id = b JOIN (SELECT DISTINCT poly_id AS p, biome_id FROM fx_vertices) ON p = a
+ JOIN region ON r_regionkey = biome_id GROUP BY GROUPING SETS ((r_name), (a))""", EDGES, LEDGES, MEETS, AREAS)
 def area_weighted_factor(L):
-    return r4(weighted_pairs(L).groupBy(c("a").alias("objectid")).agg(F.try_divide(F.sum(c("v") * c("w")), F.sum("w")).alias("factor")), "factor")
+    named = L.vertices.select(c("poly_id").alias("a"), c("biome_id").alias("r_regionkey")).distinct().join(L.region.select("r_regionkey", c("r_name").alias("eco")), "r_regionkey")
+    rows = weighted_pairs(L).join(named, "a").withColumnRenamed("a", "objectid")
+    factor = F.try_divide(F.sum(c("v") * c("w")), F.sum("w")).alias("factor")
+    return r4(rows.groupingSets([[c("eco")], [c("objectid")]], c("eco"), c("objectid")).agg(factor), "factor")
 
 
 @query("""SELECT a AS objectid, round(any_value(m), 4) AS value, round(sqrt(sum(w * (v - m) ** 2) / sum(w)), 4) AS value_std, round(median(v), 4) AS value_median
  FROM (SELECT a, v, w, sum(v * w) OVER (PARTITION BY a) / sum(w) OVER (PARTITION BY a) AS m FROM meets JOIN areas ON poly_id = b WHERE v IS NOT NULL) GROUP BY a""", EDGES, LEDGES, MEETS, AREAS)
 def area_weighted_stats(L):
     rows = weighted_pairs(L).where("v is not null")
-    mean = rows.groupBy("a").agg((F.sum(c("v") * c("w")) / F.sum("w")).alias("m"))
+    own = Window.partitionBy("a")  # the mean beside each pair, so the pairs are found once and shuffled once
+    rows = rows.withColumn("m", F.sum(c("v") * c("w")).over(own) / F.sum("w").over(own))
     spread = F.sqrt(F.sum(c("w") * (c("v") - c("m")) * (c("v") - c("m"))) / F.sum("w"))
-    out = rows.join(mean, "a").groupBy(c("a").alias("objectid")).agg(F.first("m").alias("value"), spread.alias("value_std"), F.median("v").alias("value_median"))
+    out = rows.groupBy(c("a").alias("objectid")).agg(F.first("m").alias("value"), spread.alias("value_std"), F.median("v").alias("value_median"))
     return r4(out, "value", "value_std", "value_median")
 
 
@@ -415,9 +443,11 @@ def zone_average(L):
     return r4(out, "mean")
 
 
-@query("SELECT zone_group, crop, month, round(kc, 4) AS kc FROM kcm", KCD, KCM)
+@query("SELECT cell_id, crop, month, round(avg(kc), 4) AS kc FROM kcl GROUP BY ALL", KCL)
 def monthly_mean_kc(L):
-    return r4(crop.monthly_kc(L.crops, L.days), "kc")
+    """Cells plant up to nineteen days after the day of their zone group's crop row."""
+    rows = L.cells.select("cell_id", "zone_id").join(F.broadcast(L.zones), "zone_id").join(F.broadcast(L.crops), "zone_group")
+    return r4(crop.local_monthly_kc(rows.withColumn("plant_day", (c("plant_day") + c("cell_id") % 20).cast("int"))), "kc")
 
 
 @query("""SELECT cell_id, month, round(pet, 4) AS pet FROM pet UNION ALL SELECT cell_id, 0, round(sum(pet), 4) FROM pet GROUP BY cell_id""", PET)
@@ -442,9 +472,13 @@ def band_timeseries(L):
     return out.withColumns({n: F.round(n, 3) for n in ("mean", "q1", "q3")})
 
 
-@query("""SELECT CAST(least(floor((soc0 - lo) * 50 / (hi - lo)) + 1, 50) AS INT) AS bin, count(*) AS n FROM fx_cells CROSS JOIN (SELECT min(soc0) AS lo, max(soc0) AS hi FROM fx_cells) GROUP BY 1""")
+@query("""SELECT layer, CAST(least(floor((v - lo) * 50 / (hi - lo)) + 1, 50) AS INT) AS bin, count(*) AS n
+ FROM (SELECT *, min(v) OVER (PARTITION BY layer) AS lo, max(v) OVER (PARTITION BY layer) AS hi FROM (SELECT 'soc0' AS layer, soc0 AS v FROM fx_cells UNION ALL SELECT 'y_irr', y_irr FROM fx_spam WHERE y_irr IS NOT NULL))
+ GROUP BY layer, bin""")
 def histogram(L):
-    return algebra.histogram(L.cells, "soc0")
+    """Two layers for one picture, each over its own range."""
+    one, two = algebra.histogram(L.cells, "soc0"), algebra.histogram(L.spam, "y_irr")
+    return one.select(F.lit("soc0").alias("layer"), "bin", "n").unionByName(two.select(F.lit("y_irr").alias("layer"), "bin", "n"))
 
 
 @query("SELECT cell_id, round(least(greatest(soc0, lo), hi), 4) AS soc0 FROM fx_cells CROSS JOIN (SELECT quantile_cont(soc0, 0.01) AS lo, quantile_cont(soc0, 0.99) AS hi FROM fx_cells)")
@@ -458,9 +492,12 @@ def quantile_bins(L):
     return r4(algebra.quantile_bins(L.cells.select("cell_id", "clay"), "clay", 5).select("cell_id", "bin", "mid"), "mid")
 
 
-@query("SELECT count(DISTINCT zone_id) AS n, min(zone_id) AS low, max(zone_id) AS high, count(DISTINCT zone_id) <= 20 AS categorical FROM fx_cells")
+@query("""SELECT *, categorical AND n > 1 AS bounded, CASE WHEN categorical THEN (SELECT string_agg(printf('%.2f', (v + w) / 2), ' ' ORDER BY v)
+ FROM (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM (SELECT DISTINCT zone_id AS v FROM fx_cells)) WHERE w IS NOT NULL) END AS boundaries
+ FROM (SELECT count(DISTINCT zone_id) AS n, min(zone_id) AS low, max(zone_id) AS high, count(DISTINCT zone_id) <= 20 AS categorical FROM fx_cells)""")
 def value_profile(L):
-    return algebra.value_profile(L.cells, "zone_id")
+    out = algebra.value_profile(L.cells, "zone_id").withColumn("bounded", c("categorical") & (c("n") > 1))
+    return out.withColumn("boundaries", F.array_join(F.transform("boundaries", lambda v: F.format_string("%.2f", v)), " "))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (x IS NULL) AS no_geometry, count(*) FILTER (v IS NULL) AS not_finite FROM fx_layer")
@@ -484,10 +521,13 @@ def global_means(L):
 # --- regridding
 
 
-@query("SELECT t.cell_id AS id, s.soc0 AS value FROM fx_cells t LEFT JOIN fx_cells s ON s.row_i = floor(60 - (t.y + 0.3)) AND s.col_i = floor(t.x + 0.6 + 100)")
+@query("""SELECT t.cell_id AS id, s.month AS band, round(s.tmp, 4) AS value FROM fx_cells t LEFT JOIN (SELECT * FROM fx_cells JOIN fx_monthly USING (cell_id)) s
+ ON s.row_i = floor(60 - (t.y + 0.3)) AND s.col_i = floor(t.x + 0.6 + 100)""")
 def regrid_nearest(L):
+    """All twelve bands of a layer; a centre outside the source has one row without a band."""
     target = L.cells.select(c("cell_id").alias("id"), (c("x") + 0.6).alias("x"), (c("y") + 0.3).alias("y"))
-    return regrid.nearest(target, L.cells, "soc0", **GRID)
+    source = L.cells.select("cell_id", "row_i", "col_i").join(L.monthly.select("cell_id", c("month").alias("band"), "tmp"), "cell_id")
+    return r4(regrid.nearest(target, source, "tmp", **GRID), "value")
 
 
 @query("""SELECT id, round(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 4) AS value FROM (SELECT t.id, (CASE WHEN d.dr = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN d.dc = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS w, s.y_all AS v
@@ -542,9 +582,10 @@ def union_layers(L):
 # --- scalar formulas
 
 
-@query("SELECT d.day_num, m.month FROM fx_days d JOIN fx_months m ON d.day_num BETWEEN m.first_day AND m.first_day + m.n_days - 1")
+@query("""SELECT l_orderkey, l_linenumber, m.month FROM lineitem JOIN fx_months m ON least(dayofyear(l_shipdate), 365) BETWEEN m.first_day AND m.first_day + m.n_days - 1""")
 def month_of_day(L):
-    return L.days.select("day_num", formulas.month_of_day(c("day_num")).alias("month"))
+    day = F.least(F.dayofyear("l_shipdate"), F.lit(365))  # the model's year has no leap day
+    return L.lineitem.select("l_orderkey", "l_linenumber", formulas.month_of_day(day).alias("month"))
 
 
 @query("""SELECT cell_id, month, round(CASE WHEN cc >= 1 THEN 0 WHEN cc <= -1 THEN 24 ELSE 2 * degrees(acos(cc)) / 15 END, 4) AS hours FROM (SELECT cell_id, month,
@@ -574,9 +615,12 @@ def day_wrap(L):
     return L.part.select("p_partkey", formulas.wrap_day(c("p_partkey") % 500).alias("day"))
 
 
-@query("SELECT zone_group, crop, day_num, month, stage, round(kc, 4) AS kc FROM kcd", KCD)
+@query("SELECT l_orderkey, l_linenumber, crop, stage, round(kc, 4) AS kc FROM kco", KCO)
 def kc_daily(L):
-    return r4(crop.daily_kc(L.crops, L.days), "kc")
+    """Every observation, a cell and a day, with the coefficient of each crop of the cell's zone group."""
+    cells = L.cells.select(c("cell_id").alias("l_partkey"), "zone_id").join(F.broadcast(L.zones), "zone_id")
+    days = L.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.least(F.dayofyear("l_shipdate"), F.lit(365)).alias("day_num"))
+    return r4(crop.observed_kc(days.join(cells, "l_partkey"), L.crops).select("l_orderkey", "l_linenumber", "crop", "stage", "kc"), "kc")
 
 
 @query("SELECT cell_id, month, round(CASE WHEN tmp < -5 THEN 0 ELSE 47.91 / (exp(106.06 / (tmp + 18.27)) + 1) END, 4) AS rate FROM fx_monthly")
@@ -625,9 +669,11 @@ def crop_residues(L):
     return r4(parts[0].unionByName(parts[1]).unionByName(parts[2]), "abg", "bg", "res")
 
 
-@query("SELECT zone_group, crop, month, CASE WHEN month >= scp_start AND month <= scp_end THEN 1 ELSE 0 END AS pc FROM fx_crops CROSS JOIN fx_months")
+@query("""SELECT cell_id, crop, month, CASE WHEN month >= scp_start AND month <= scp_end THEN 1 ELSE 0 END AS pc FROM fx_cells JOIN fx_zones USING (zone_id) JOIN fx_crops USING (zone_group)
+ CROSS JOIN fx_months""")
 def plant_cover_curve(L):
-    return L.crops.crossJoin(F.broadcast(L.months)).select("zone_group", "crop", "month", formulas.plant_cover(c("month"), c("scp_start"), c("scp_end")).alias("pc"))
+    rows = L.cells.select("cell_id", "zone_id").join(F.broadcast(L.zones), "zone_id").join(F.broadcast(L.crops), "zone_group")
+    return rows.crossJoin(F.broadcast(L.months)).select("cell_id", "crop", "month", formulas.plant_cover(c("month"), c("scp_start"), c("scp_end")).alias("pc"))
 
 
 MAIZE = "maize AS (SELECT zone_group, month, kc, sum(kc) OVER (PARTITION BY zone_group) AS total FROM kcm WHERE crop = 'Maize')"

@@ -16,9 +16,14 @@ SUMMARY = ["region", "practice", "metric", "value", "unit", "notes"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; one of our own where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = conf.rstrip("/") if conf else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path in the folder that all executors share; on a single machine without one, in a folder of our own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -75,11 +80,27 @@ def file_index(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("file_name"), "file_path", F.regexp_extract(name, r"(?<=.)\.[^.]*$", 0).alias("suffix"))
 
 
-def write_grid(df: DataFrame, path: str, by: list[str], mode: str = "error", nodata: float | None = None) -> None:
-    """Write a grid, a folder for each band; values become 4-byte, missing ones the nodata value if there is one."""
+def write_grid(
+    df: DataFrame, path: str, by: list[str], mode: str = "error", nodata: float | None = None, tags: dict[str, str] | None = None
+) -> None:
+    """Write a grid, a folder for each band; values become 4-byte, missing ones the nodata value if there is one.
+
+    ``tags`` (units, long_name, description and the like) go to a table of their own beside the grid.
+    """
     values = [c for c, t in df.dtypes if t == "double" and c not in by]
     fill = lambda c: F.col(c) if nodata is None else F.coalesce(c, F.lit(nodata))
     df.withColumns({c: fill(c).cast("float") for c in values}).write.mode(mode).partitionBy(*by).parquet(path)
+    kept = sorted((tags or {}).items()) + [("nodata", str(nodata))] * (nodata is not None)
+    df.sparkSession.createDataFrame(kept, "tag string, value string").write.mode(mode).parquet(f"{path}-run_meta")
+
+
+def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """A written grid with its nodata value as NULL, and its tags."""
+    tags = {r["tag"]: r["value"] for r in spark.read.parquet(f"{path}-run_meta").collect()}
+    df = spark.read.parquet(path)
+    if "nodata" in tags:
+        df = df.withColumns({c: F.nullif(F.col(c), F.lit(float(tags["nodata"])).cast("float")) for c, t in df.dtypes if t == "float"})
+    return df, tags
 
 
 def summary(df: DataFrame, metrics: dict[str, str], region: Column, practice: Column, notes: str = "") -> DataFrame:

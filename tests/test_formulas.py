@@ -116,3 +116,40 @@ def test_quantile_bins_merge_equal_edges(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (2.0,), (None,)], "v double")
     assert [r.bin for r in algebra.quantile_bins(df, "v", 4).collect()][-1] is None
     assert algebra.histogram(df.where("v = 1"), "v").collect()[0].n == 3
+
+
+def test_frames_and_cycles_that_do_not_fit_raise(spark):
+    from pyspark.sql import functions as F
+
+    from terrafold.operators import carbon
+
+    cells = spark.createDataFrame([(r, k, 10.5 + k, 39.5 - r, 1.0) for r in range(3) for k in range(4)], "row_i int, col_i int, x double, y double, value double")
+    frame = algebra.frame_of(cells, 1.0)
+    assert frame == {"crs": "EPSG:4326", "dx": 1.0, "dy": 1.0, "x0": 10.0, "y0": 40.0, "nrows": 3, "ncols": 4}
+    layer = cells.select((F.col("row_i") * 4 + F.col("col_i")).alias("cell_id"), "value")
+    with pytest.raises(ValueError, match="must match raster dimensions"):
+        algebra.grid_product([layer, layer], [frame, frame | {"x0": 11.0}])
+    with pytest.raises(ValueError, match="at least one"):
+        algebra.grid_product([])
+    with pytest.raises(ValueError, match="reference system"):
+        algebra.grid_difference(cells, cells, frame, frame | {"crs": "EPSG:3857"})
+    with pytest.raises(ValueError, match="no closed form"):
+        algebra.pixel_centre(F.lit(0), F.lit(0), 0.0, 0.0, 1.0, "EPSG:32633")
+    north = algebra.grid_difference(cells, cells, frame, frame | {"y0": 42.0, "x0": 9.0})
+    assert {(r.row_i, r.col_i) for r in north.where("value is null").collect()} >= {(-2, -1), (2, 3)} and north.count() == 5 * 5
+    months = lambda n: spark.createDataFrame([(1, m, float(m)) for m in range(1, n + 1)], "cell_id long, month int, v double")
+    assert [r.v for r in algebra.tile_years(months(12), 2).orderBy("t").collect()] == [float(m) for m in range(1, 13)] * 2
+    assert [(r.year, r.month, r.v) for r in algebra.tile_years(months(24), 2).orderBy("t").collect()][12] == (2, 1, 13.0)
+    with pytest.raises(Exception, match="12 or 12"):
+        algebra.tile_years(months(13), 2).collect()
+    odd = spark.sql("select 1 as cell_id, 20D as clay, 30D as sand, 50D as soc0, 2 as n_years").withColumns({d: F.array_repeat(F.lit(1.0), 13) for d in carbon.DRIVERS})
+    with pytest.raises(Exception, match="12 or 12"):
+        carbon.annual(odd, ["cell_id"]).collect()
+
+
+def test_value_profile_of_many_values_has_no_boundaries(spark):
+    many, few = spark.range(50).withColumnRenamed("id", "v"), spark.createDataFrame([(1.0,), (2.0,), (4.0,), (4.0,), (None,)], "v double")
+    assert algebra.value_profile(many, "v").first().boundaries is None
+    got = algebra.value_profile(few, "v").first()
+    assert (got.n, got.categorical, got.boundaries) == (3, True, [1.5, 3.0])
+    assert algebra.value_profile(few.limit(0), "v").first().boundaries == []
