@@ -136,17 +136,23 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40))))
 
 
-def unit_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    f, w = featurise(words)
-    return f, w / np.sqrt(np.maximum((w * w).sum(1, keepdims=True), 1e-9))
+def unit_rows(words: list[str], step: int = 3_000) -> tuple[np.ndarray, np.ndarray]:
+    """``featurise`` with rows of length one, a few words at a time so that little memory is held."""
+    parts = [featurise(words[at : at + step]) for at in range(0, len(words), step)] or [featurise([])]
+    width = max(f.shape[1] for f, _ in parts)
+    ids, weights = np.zeros((len(words), width), np.int32), np.zeros((len(words), width), np.float32)
+    for at, (f, w) in zip(range(0, len(words), step), parts, strict=False):
+        ids[at : at + len(f), : f.shape[1]] = f
+        weights[at : at + len(f), : f.shape[1]] = w / np.sqrt(np.maximum((w * w).sum(1, keepdims=True), 1e-9))
+    return ids, weights
 
 
 def landmarks(f: np.ndarray, w: np.ndarray, weight: np.ndarray, most: int = LANDMARKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Landmark rows, the Nyström coordinates of all rows, and the triangle that maps kernels to coordinates.
+    """Landmark rows, the Nyström coordinates of all rows with a last column of ones, and the triangle that maps kernels to coordinates.
 
     Each landmark is the row that the ones before explain least, by weight: a pivoted Cholesky factor of the kernel.
     """
-    left, z, marks = np.ones(len(f)), np.zeros((len(f), most)), []
+    left, z, marks = np.ones(len(f)), np.zeros((len(f), most + 1)), []
     spread = np.zeros(FEATURES, np.float32)
     for m in range(min(most, len(f))):
         pick = int(np.argmax(left * weight))
@@ -161,8 +167,8 @@ def landmarks(f: np.ndarray, w: np.ndarray, weight: np.ndarray, most: int = LAND
         left[pick] = 0
         marks.append(pick)
     picked = np.array(marks, np.int64)
-    z = z[:, : len(marks)]
-    return picked, z, np.tril(z[picked])
+    z[:, len(marks)] = 1  # the bias, kept beside the coordinates
+    return picked, z[:, : len(marks) + 1], np.tril(z[picked, : len(marks)])
 
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 14) -> np.ndarray:
@@ -171,9 +177,14 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 1
     beta, ridge = np.zeros(d), np.eye(d)
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
-        live = y * (z @ beta) < 1
-        a = z[live] * cost[live, None]
-        new = np.linalg.solve(ridge + a.T @ z[live], a.T @ y[live])
+        live = np.flatnonzero(y * (z @ beta) < 1)
+        square, side = ridge.copy(), np.zeros(d)
+        for at in range(0, len(live), 2_000):
+            rows = live[at : at + 2_000]
+            a = z[rows] * cost[rows, None]
+            square += a.T @ z[rows]
+            side += a.T @ y[rows]
+        new = np.linalg.solve(square, side)
         done = np.abs(new - beta).max() < 1e-6
         beta = new if done else beta + (new - beta) * 0.9
         if done:
@@ -229,9 +240,9 @@ def first_guess(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarra
     odds = np.log((seen[1] + 0.5) / (len(toxic) + 1)) - np.log((seen[0] + 0.5) / (len(clean) + 1))
     tokens_seen = [document_counts(group, len(words)) for group in (clean, toxic)]
     out = np.log((tokens_seen[1] + 0.5) / (len(toxic) + 1)) - np.log((tokens_seen[0] + 0.5) / (len(clean) + 1))
-    for at in range(0, len(words), 20_000):
-        f, w = unit_rows(words[at : at + 20_000])
-        out[at : at + 20_000] += (odds[f] * (w * w)).sum(1)
+    for at in range(0, len(words), 3_000):
+        f, w = unit_rows(words[at : at + 3_000])
+        out[at : at + 3_000] += (odds[f] * (w * w)).sum(1)
     return out
 
 
@@ -262,7 +273,7 @@ def learned(words: list[str], index: list[np.ndarray], y: np.ndarray, own: list[
         weight[sign > 0] *= weight[sign < 0].sum() / weight[sign > 0].sum() / 4
         tf, tw = unit_rows(train)
         marks, z, triangle = landmarks(tf, tw, np.sqrt(weight))
-        beta = squared_hinge(np.c_[z, np.ones(len(train))], sign, weight * COST / weight.sum())
+        beta = squared_hinge(z, sign, weight * COST / weight.sum())
         per_mark = np.linalg.solve(triangle.T, beta[:-1])
         folded = np.zeros(FEATURES)
         np.add.at(folded, tf[marks], tw[marks] * per_mark[:, None])
