@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formulas import finite, from_mercator
+from . import ranks
 
 TINY_NODATA = -3.14e-8
 
@@ -158,7 +159,7 @@ def region_match(df: DataFrame, pattern: str, columns: list[str]) -> DataFrame:
 
 def value_format(df: DataFrame, value: str) -> DataFrame:
     """Column label: scientific with two places if the median is under a hundredth, else fixed."""
-    mid = F.broadcast(df.agg(F.median(value).alias("_mid")))
+    mid = F.broadcast(ranks.quantiles(df, value, [0.5]).select(F.get("q", F.lit(0)).alias("_mid")))
     text = F.when(F.col("_mid") < 1e-2, F.format_string("%.2e", F.col(value))).otherwise(F.format_string("%.2f", F.col(value)))
     return df.crossJoin(mid).withColumn("label", text).drop("_mid")
 
@@ -176,10 +177,10 @@ def band_stats(rows: DataFrame, value: str) -> DataFrame:
 
 
 def timeseries(rows: DataFrame, value: str = "value") -> DataFrame:
-    """Mean and quartiles by label and year."""
-    return rows.groupBy("label", "year").agg(
-        F.avg(value).alias("mean"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3")
-    )
+    """Mean and quartiles by label and year, of those with a value; the rows are read three times."""
+    means = rows.groupBy("label", "year").agg(F.avg(value).alias("mean"))
+    held = ranks.quantiles(rows, value, [0.25, 0.75], ["label", "year"])
+    return ranks.beside(means, held, ["label", "year"]).select("label", "year", "mean", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
@@ -190,14 +191,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 
 def percentile_clip(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    ends = F.broadcast(df.agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi")))
+    ends = F.broadcast(ranks.quantiles(df, value, [low, high]).select(F.get("q", F.lit(0)).alias("_lo"), F.get("q", F.lit(1)).alias("_hi")))
     return df.crossJoin(ends).withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")))).drop("_lo", "_hi")
 
 
 def quantile_bins(df: DataFrame, value: str, q: int) -> DataFrame:
     """Adds bin (from 1; (lo, hi], the first closed) and the bin's midpoint; equal edges merge."""
-    cuts = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    edges = F.broadcast(df.agg(F.array_distinct(F.percentile(value, cuts)).alias("_e")))
+    edges = F.broadcast(ranks.quantiles(df, value, [i / q for i in range(q + 1)]).select(F.array_distinct("q").alias("_e")))
     place = F.least(F.greatest(F.size(F.filter("_e", lambda e: e < F.col(value))), F.lit(1)), F.size("_e") - 1)
     out = df.crossJoin(edges).withColumn("bin", F.when(F.col(value).isNotNull(), place))
     mid = (F.try_element_at("_e", F.col("bin")) + F.try_element_at("_e", F.col("bin") + 1)) / 2

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
+from ..sources.layers import materialized
+from . import ranks
 
 
 def edges(vertices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -101,9 +103,10 @@ def split_latitude(vertices: DataFrame) -> DataFrame:
 def zonal(cells: DataFrame, owners: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean, lower median and population deviation of the valid cells of each polygon (and ``by``); empty ones are left out."""
     joined = owners.join(cells.select("cell_id", *by, F.col(value).alias("v")).where("v is not null"), "cell_id")
-    return joined.groupBy("poly_id", *by).agg(
-        F.avg("v").alias("cf"), F.expr("percentile_disc(0.5) within group (order by v)").alias("cf_median"), F.stddev_pop("v").alias("cf_std")
-    )
+    joined, keys = materialized(joined.select("poly_id", *by, "v"), "zonal"), ["poly_id", *by]  # read for the moments and twice for the median
+    moments = joined.groupBy(*keys).agg(F.avg("v").alias("cf"), F.stddev_pop("v").alias("cf_std"))
+    held = ranks.quantiles(joined, "v", [0.5], keys, discrete=True)
+    return ranks.beside(moments, held, keys).select(*keys, "cf", F.get("q", F.lit(0)).alias("cf_median"), "cf_std")
 
 
 def polygon_means(cells: DataFrame, owners: DataFrame, polygons: DataFrame, value: str) -> DataFrame:
@@ -118,15 +121,6 @@ def area_weighted(pairs: DataFrame, layer: DataFrame, areas: DataFrame) -> DataF
     return pairs.join(values.select(F.col("poly_id").alias("b"), "v", F.col("area").alias("w")), "b")
 
 
-def weighted_median(rows: DataFrame, group: str, value: str, weight: str) -> DataFrame:
-    """Per group, the first value whose running weight reaches half of the total."""
-    w = Window.partitionBy(group)
-    run = rows.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).withColumns({
-        "_cum": F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)), "_total": F.sum(weight).over(w),
-    })
-    return run.where(F.col("_cum") >= F.col("_total") / 2).groupBy(group).agg(F.min(value).alias("median"))
-
-
 def rasterize(cells: DataFrame, vertices: DataFrame, values: DataFrame, fill: Column | None = None) -> DataFrame:
     """(cell_id, value): the value of the last polygon over each cell's centre, ``fill`` elsewhere."""
     owners = point_in_polygon(cells, vertices, "cell_id").join(values, "poly_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
-from ..operators import algebra, carbon, crop, regrid, spatial
+from ..operators import algebra, carbon, crop, ranks, regrid, spatial
 from ..sources import layers as io
 from ..sources.layers import scratch
 from .fixtures import Layers, oracle
@@ -413,18 +413,19 @@ def area_weighted_factor(L):
 @query("""SELECT a AS objectid, round(any_value(m), 4) AS value, round(sqrt(sum(w * (v - m) ** 2) / sum(w)), 4) AS value_std, round(median(v), 4) AS value_median
  FROM (SELECT a, v, w, sum(v * w) OVER (PARTITION BY a) / sum(w) OVER (PARTITION BY a) AS m FROM meets JOIN areas ON poly_id = b WHERE v IS NOT NULL) GROUP BY a""", EDGES, LEDGES, MEETS, AREAS)
 def area_weighted_stats(L):
-    rows = weighted_pairs(L).where("v is not null")
+    rows = io.materialized(weighted_pairs(L).where("v is not null").select("a", "v", "w"), "weighted-pairs")
     own = Window.partitionBy("a")  # the mean beside each pair, so the pairs are found once and shuffled once
     rows = rows.withColumn("m", F.sum(c("v") * c("w")).over(own) / F.sum("w").over(own))
     spread = F.sqrt(F.sum(c("w") * (c("v") - c("m")) * (c("v") - c("m"))) / F.sum("w"))
-    out = rows.groupBy(c("a").alias("objectid")).agg(F.first("m").alias("value"), spread.alias("value_std"), F.median("v").alias("value_median"))
-    return r4(out, "value", "value_std", "value_median")
+    out = rows.groupBy(c("a").alias("objectid")).agg(F.first("m").alias("value"), spread.alias("value_std"))
+    held = ranks.quantiles(rows, "v", [0.5], ["a"]).select(c("a").alias("objectid"), F.get("q", F.lit(0)).alias("value_median"))
+    return r4(out.join(held, "objectid"), "value", "value_std", "value_median")
 
 
 @query("""SELECT zone_id, min(soc0) AS median FROM (SELECT zone_id, soc0, sum(clay) OVER (PARTITION BY zone_id ORDER BY soc0) AS cum, sum(clay) OVER (PARTITION BY zone_id) AS total FROM fx_cells)
  WHERE cum >= total / 2 GROUP BY zone_id""")
 def weighted_median(L):
-    return spatial.weighted_median(L.cells, "zone_id", "soc0", "clay")
+    return ranks.weighted_median(L.cells, "zone_id", "soc0", "clay")
 
 
 OWNED = "owned AS (SELECT c.cell_id, c.row_i, c.col_i, c.lu, o.poly_id, o.biome_id, s.y_all, s.y_irr, s.y_rf FROM fx_cells c LEFT JOIN owners o USING (cell_id) LEFT JOIN fx_spam s USING (cell_id))"
@@ -468,7 +469,7 @@ def band_stats(L):
  round(quantile_cont(dpm + rpm + bio + hum + iom, 0.75), 3) AS q3 FROM s WHERE t % 12 = 0 GROUP BY ALL""", carbon_sql(2))
 def band_timeseries(L):
     rows = carbon.annual(packed(L), ["cell_id"]).select(F.lit("soc").alias("label"), "year", c("soc").alias("value"))
-    out = algebra.timeseries(rows)
+    out = algebra.timeseries(io.materialized(rows, "bands"))
     return out.withColumns({n: F.round(n, 3) for n in ("mean", "q1", "q3")})
 
 
@@ -859,7 +860,7 @@ def run_carbon_scenarios(L):
 @query("""SELECT scenario, year, round(avg(soc), 3) AS mean, round(quantile_cont(soc, 0.25), 3) AS q1, round(quantile_cont(soc, 0.75), 3) AS q3, round(avg((soc / soc_start - 1) * 100), 3) AS pct
  FROM (SELECT *, first_value(soc) OVER (PARTITION BY scenario, cell_id ORDER BY year) AS soc_start FROM runs) GROUP BY scenario, year""", *SCENARIO_SQL)
 def scenario_report(L):
-    rows = scenario_rows(L, 2).withColumnRenamed("soc", "value")
+    rows = io.materialized(scenario_rows(L, 2).withColumnRenamed("soc", "value"), "scenarios")  # read by the change and the series
     change = algebra.pct_change(rows, ["scenario", "cell_id"]).groupBy("scenario", "year").agg(F.round(F.avg("pct"), 3).alias("pct"))
     series = algebra.timeseries(rows.withColumn("label", c("scenario"))).withColumnRenamed("label", "scenario")
     return series.withColumns({n: F.round(n, 3) for n in ("mean", "q1", "q3")}).join(change, ["scenario", "year"])
