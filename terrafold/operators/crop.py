@@ -88,10 +88,14 @@ def irrigation_need(evap: Column, rain: Column, dry: Column | None = None) -> Co
     return F.when(evap > rain, evap - rain).otherwise(F.lit(0.0) if dry is None else dry)
 
 
+def watering_ratio(technology: str) -> Column:
+    """Technology over all, where both are there and not zero."""
+    return F.when((F.col("y_all") != 0) & (F.col(technology) != 0), F.try_divide(F.col(technology), F.col("y_all")))
+
+
 def watering_ratios(spam: DataFrame) -> DataFrame:
-    """(cell_id, irr_ratio, rf_ratio): technology over all, where both are there and not zero."""
-    ratio = lambda c: F.when((F.col("y_all") != 0) & (F.col(c) != 0), F.try_divide(F.col(c), F.col("y_all")))
-    return spam.select("cell_id", ratio("y_irr").alias("irr_ratio"), ratio("y_rf").alias("rf_ratio"))
+    """(cell_id, irr_ratio, rf_ratio) of each cell."""
+    return spam.select("cell_id", watering_ratio("y_irr").alias("irr_ratio"), watering_ratio("y_rf").alias("rf_ratio"))
 
 
 def zone_averages(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +114,7 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
     ``cells`` has cell_id, row_i, col_i, lu, poly_id, biome_id. ``technology`` is None (no scaling), "irr" or other.
     """
     source = {None: "y_all", "irr": "y_irr"}.get(technology, "y_rf")
-    base = cells.join(spam, "cell_id", "left").join(F.broadcast(country.select("poly_id", "avg_yield", "yld_ratio")), "poly_id", "left")
+    base = cells.join(spam, "cell_id", "left").join(country.select("poly_id", "avg_yield", "yld_ratio"), "poly_id", "left")
     votes = country.agg(F.avg("yld_ratio").alias("global_ratio"))
     base = base.crossJoin(F.broadcast(votes))
     spam_value = F.when(F.col(source) != 0, F.col(source)) if technology else F.col(source)
@@ -118,17 +122,18 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
     plain = F.col("avg_yield") / 1000
     if technology:
         ratio = "irr_ratio" if technology == "irr" else "rf_ratio"
-        ratios = watering_ratios(spam).select("cell_id", F.col(ratio).alias("ratio"))
-        base = base.join(ratios, "cell_id", "left").crossJoin(F.broadcast(ratios.agg(F.avg("ratio").alias("mean_ratio"))))
+        base = base.withColumn("ratio", watering_ratio(source))
+        base = base.crossJoin(F.broadcast(watering_ratios(spam).agg(F.avg(ratio).alias("mean_ratio"))))
+        base = materialized(base, "yield-ratios")  # the gap filling reads it three times
         value = F.coalesce(value, F.col("y_all") * F.col("mean_ratio"))
-        near = regrid.fill_gaps(base.select("cell_id", "row_i", "col_i", "ratio"), "ratio").withColumnRenamed("value", "near_ratio")
+        near = regrid.fill_gaps(base.select("cell_id", "row_i", "col_i", "lu", "ratio"), "ratio", F.col("lu") == 1).withColumnRenamed("value", "near_ratio")
         base = base.join(near, "cell_id", "left")
         plain = F.coalesce(plain * F.col("near_ratio"), plain * F.col("mean_ratio"))
     inside = F.col("lu") == 1
     base = materialized(base, "yield-sources")  # read by both averages and the fill
     stepped = base.withColumn("v", F.coalesce(value, F.when(inside, F.coalesce(plain, spam_value * F.col("global_ratio")))))
     zone, biome = zone_averages(stepped)
-    full = stepped.join(F.broadcast(zone), "poly_id", "left").join(F.broadcast(biome), "biome_id", "left")
+    full = stepped.join(zone, "poly_id", "left").join(biome, "biome_id", "left")
     full = full.withColumn("v", F.coalesce("v", "zone_mean", "biome_mean", "global_ratio"))
     filled = regrid.nearest_valid(materialized(full.select("cell_id", "row_i", "col_i", "v"), "yield-steps"), "v")
     return filled.join(cells.where("lu = 1").select("cell_id"), "cell_id").select("cell_id", F.col("value").alias("yield"))
@@ -136,7 +141,7 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
 
 def yield_grid_simple(cells: DataFrame, spam: DataFrame, country: DataFrame) -> DataFrame:
     """(cell_id, yield): all-technology cell by country ratio, else country mean, else cell by global ratio."""
-    base = cells.join(spam, "cell_id", "left").join(F.broadcast(country), "poly_id", "left").crossJoin(F.broadcast(country.agg(F.avg("yld_ratio").alias("global_ratio"))))
+    base = cells.join(spam, "cell_id", "left").join(country, "poly_id", "left").crossJoin(F.broadcast(country.agg(F.avg("yld_ratio").alias("global_ratio"))))
     value = F.coalesce(F.col("y_all") * F.col("yld_ratio"), F.col("avg_yield") / 1000, F.col("y_all") * F.col("global_ratio"))
     return base.where("lu = 1").select("cell_id", value.alias("yield"))
 
@@ -146,7 +151,7 @@ def country_yields(borders: DataFrame, yields: DataFrame, item: str) -> DataFram
     mine = yields.where(F.col("item") == item)
     if mine.isEmpty():
         raise ValueError(f"unknown crop: {item}")
-    return borders.join(F.broadcast(mine.select("area", "avg_yield", "yld_ratio")), borders["name"] == F.col("area"), "left")
+    return borders.join(mine.select("area", "avg_yield", "yld_ratio"), borders["name"] == F.col("area"), "left")
 
 
 def monthly_split(annual: DataFrame, shares: DataFrame, value: str) -> DataFrame:

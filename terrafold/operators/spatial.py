@@ -29,15 +29,14 @@ def tile_range(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int")))
 
 
-def polygon_tiles(vertices: DataFrame, size: float) -> DataFrame:
-    """(poly_id, ty, tx, edges): for each tile in a polygon's bounding box, the edges that meet its row."""
+def polygon_rows(vertices: DataFrame, size: float) -> DataFrame:
+    """(poly_id, ty, edges, west, east): for each tile row that a polygon meets, the edges in it and their extent."""
     e = edges(vertices)
     rows = e.withColumn("ty", tile_range(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
-    rows = rows.groupBy("poly_id", "ty").agg(
+    return rows.groupBy("poly_id", "ty").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
         F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"),
     )
-    return rows.select("poly_id", "ty", "edges", tile_range(F.col("west"), F.col("east"), size).alias("tx"))
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
@@ -53,7 +52,11 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 def point_in_polygon(points: DataFrame, vertices: DataFrame, id_col: str, size: float = 8.0) -> DataFrame:
     """(id, poly_id) of every polygon that a point lies in; a point in several polygons gives several rows."""
     p = points.select(id_col, "x", "y", F.floor(F.col("x") / size).cast("int").alias("tx"), F.floor(F.col("y") / size).cast("int").alias("ty"))
-    return p.join(polygon_tiles(vertices, size), ["tx", "ty"]).where(inside(F.col("x"), F.col("y"), F.col("edges"))).select(id_col, "poly_id")
+    rows = polygon_rows(vertices, size)
+    # Points meet the narrow extents first; the edges follow by polygon and row, so they are not copied to every tile.
+    tiles = rows.select("poly_id", "ty", tile_range(F.col("west"), F.col("east"), size).alias("tx"))
+    near = p.join(tiles, ["tx", "ty"]).drop("tx")
+    return near.join(rows.drop("west", "east"), ["poly_id", "ty"]).where(inside(F.col("x"), F.col("y"), F.col("edges"))).select(id_col, "poly_id")
 
 
 def polygon_intersects(left: DataFrame, right: DataFrame, size: float = 8.0) -> DataFrame:
