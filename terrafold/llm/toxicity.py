@@ -1,15 +1,15 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel compares two tokens by the subsequences of three characters that they share within a span of five, each
-weighted by its gaps, so ``id-iot`` and ``i.d.i.o.t`` stay close to the plain word. A text is a bag of tokens and as
-toxic as its worst one. Labels mark bags: each round trains on the token of every toxic bag that the machine so far
+weighted by its gaps, so ``id-iot`` and ``i.d.i.o.t`` stay close to the plain word. A text is a bag of tokens, of words
+spelt out over several tokens and of neighbouring short pieces (``id iot``) joined, and as toxic as its worst one. Labels mark bags: each round trains on the token of every toxic bag that the machine so far
 takes for its worst (and copies of it with inserted characters) against tokens of clean bags, the hardest included, in
 the space that the landmarks span; no toxic bag is left out, and the machine's penalty bears with wrong labels.
 As the kernel has a finite feature map, the trained machine folds into one weight a feature, and a task scores each
 distinct token once.
 
-The machine is fitted on a bounded sample of labelled rows (``BAGS`` toxic documents, ``CLEAN_SHARE`` times as many clean ones); every row is scored over its whole
-text. Null and blank texts score 0; with labels of one class only, or none, every text gets that class's constant score
+The machine is fitted on a bounded sample of labelled rows (``BAGS`` toxic documents, ``CLEAN_SHARE`` times as many clean
+ones); every row is scored over its whole text. Null and blank texts score 0; with labels of one class only, or none, every text gets that class's constant score
 (0 for none); repeated rows score alike, and of rows that repeat an id the least bag of tokens trains; null labels and labels without a document are left out; an empty table gives
 an empty result; extra columns are ignored.
 """
@@ -45,13 +45,22 @@ FEATURES, WIDTH, EDGE = 1 << 21, 32, 127
 MEMO, STRIDE = 200_000, 200
 #: Single characters parted by up to four others, as in ``i d i o t`` or ``i - d - i - o - t``.
 SPELT = re.compile(r"(?<!\w)(?:\w[\W_]{1,4}){3,}\w(?!\w)")
+#: Runs of pieces of at most three characters parted by up to four others, as in ``id iot`` or ``mo - r - on``, the
+#: pieces, how many neighbours of a run are joined, and the lengths of what they are joined to.
+RUN = re.compile(r"\b\w{1,3}\b(?:\W{1,4}\w{1,3}\b)+")
+PIECE = re.compile(r"\w+")
+PIECES, JOINED = (2, 3), range(4, 10)
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens of a text, spelt-out words joined among them."""
+    """Distinct lower-case tokens of a text, spelt-out words and neighbouring short pieces joined among them."""
     low = text.lower()
     out = set(low.split())
+    for m in RUN.finditer(low):
+        pieces = PIECE.findall(m.group())
+        for n in PIECES:
+            out.update(w for i in range(len(pieces) - n + 1) if len(w := "".join(pieces[i : i + n])) in JOINED)
     for m in SPELT.finditer(low):
         out.add(re.sub(r"[\W_]+", "", m.group()))
     return out
