@@ -262,6 +262,19 @@ def test_toxicity_features_and_landmarks_equal_the_full_kernel():
     assert np.abs(got - want)[short].max() < 1e-2 * max(1, np.abs(per_mark).max())
 
 
+def test_toxicity_joins_short_pieces():
+    for text, word in (("an ID iot here", "idiot"), ("mo - r - on", "moron"), ("st up id", "stupid"), ("x\nscu  m", "scum")):
+        assert word in toxicity.tokens(text), text
+    # whole words of four characters and more, longer gaps and lengths out of range are not joined
+    assert toxicity.tokens("path etic, lo ----- ser") == {"path", "etic,", "lo", "-----", "ser"}
+    assert toxicity.tokens("a b") == {"a", "b"}
+    assert toxicity.tokens("") == toxicity.tokens(" \n") == set()
+    bags = [sorted(toxicity.tokens(f"plain talk number {i} of the day")) for i in range(60)]
+    machine = toxicity.fit([*bags, *(b + ["fuzwit"] for b in bags)], [0] * 60 + [1] * 60)
+    got = [machine.score(max(machine.margins(sorted(toxicity.tokens(t))))) for t in ("you fuz wit", "you fuz - wit", "talk of the day")]
+    assert [g >= 0.5 for g in got] == [True, True, False]
+
+
 def test_toxicity_repeated_ids_and_long_texts(spark):
     texts = [f"some good clean talk words here {i}" for i in range(40)] + [f"some fuzzwit talk {i}" for i in range(40)]
     df = docs(spark, texts).unionByName(docs(spark, ["some other talk"] * 3, start=0))
