@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,35 +50,56 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    if _open:
-        _open[-1].append(path)
+    if blocks := _open.get():
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-#: Paths written inside each open ``temporary`` block.
-_open: list[list[str]] = []
+#: Paths written inside each open ``temporary`` block of this thread, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """What ``written`` writes inside is deleted on leaving; results that live on are written before and outside of it."""
-    _open.append([])
+    """What ``written`` writes inside is deleted on leaving; results that live on are written before and outside of it.
+
+    Blocks belong to the thread that opens them, so queries of other threads neither see nor delete their tables.
+    """
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        drop(spark, *_open.pop())
+        _open.reset(token)
+        drop(spark, *paths)
 
 
 def lasting(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``written`` for a result: it stays when the innermost ``temporary`` block ends, and goes with the next one out."""
     out, path = written(df, name)
-    if _open:
-        _open[-1].remove(path)
-        if len(_open) > 1:
-            _open[-2].append(path)
+    if blocks := _open.get():
+        blocks[-1].remove(path)
+        if len(blocks) > 1:
+            blocks[-2].append(path)
     return out, path
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written rows with ``place``, gapless from 0 in the order of partitions and of rows within, and their number.
+
+    The driver gets one count a partition; no task sees more than its own rows.
+    """
+    rows, _ = written(df.withColumn("_at", F.monotonically_increasing_id()), name)
+    part, inner = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    starts, n = [], 0
+    for r in sorted(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).collect()):
+        starts.append((r.part, n))
+        n += r.rows
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _first long"))
+    placed = rows.withColumn("_part", part).join(offsets, "_part").withColumn("place", F.col("_first") + inner)
+    return placed.drop("_part", "_first", "_at"), n
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -37,3 +37,44 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambd
   CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to
 FROM h JOIN k USING (hex, payload_bytes)
 """
+
+OP12 = r"""
+WITH RECURSIVE bytes AS (SELECT CAST(i AS BIGINT) AS i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bytes WHERE k < 8),
+step AS (SELECT i, c FROM bytes WHERE k = 8),
+lowered AS (SELECT 'd' AS src, doc_id AS id, row_number() OVER () AS place, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', NULL, NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT src, id, place, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM lowered),
+kinds AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w),
+sums AS (SELECT word, h, 0 AS pos, CAST(4294967295 AS BIGINT) AS state FROM kinds
+  UNION ALL SELECT word, h, pos + 1, xor(s.c, state >> 8) FROM sums JOIN step s ON s.i = xor(state & 255, CAST('0x' || substr(h, CAST(2 * pos + 1 AS BIGINT), 2) AS BIGINT)) WHERE 2 * pos < length(h)),
+code AS (SELECT word, xor(state, 4294967295) % 10000 AS bucket FROM sums WHERE 2 * pos = length(h)),
+held AS (SELECT src, id, place, bucket FROM w JOIN code USING (word)),
+n AS (SELECT bucket, count(*) FILTER (src = 'd') AS s, count(*) FILTER (src = 'b') AS t FROM held GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (CAST(sum(s) OVER () AS DOUBLE) + 10000.0) / (CAST(s + 1 AS DOUBLE) * (CAST(sum(t) OVER () AS DOUBLE) + 10000.0)))) AS BIGINT) AS g FROM n),
+weights AS (SELECT place, count(*) AS n, CAST(sum(g) AS BIGINT) AS w FROM held JOIN gain USING (bucket) WHERE src = 'd' GROUP BY place),
+d AS (SELECT id AS doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(w, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM lowered LEFT JOIN weights USING (place) WHERE src = 'd'),
+scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM ranked
+"""
+
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+each AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+runs AS (SELECT lang, CAST(k AS BIGINT) AS k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase FROM each CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS cut FROM c),
+sides AS (SELECT c.*, l.f AS l, r.f AS r, 2000000::HUGEINT * a // (l.f + r.f) AS score FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(ws, 1, cut), ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(ws, cut + 1, c.k), ' ')),
+best AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_runs AS (SELECT lang, a AS above, array_to_string(list_slice(ws, s, s + m - 1), ' ') AS phrase FROM c CROSS JOIN (SELECT unnest([1, 2, 3]) AS s) CROSS JOIN (SELECT unnest([2, 3]) AS m) WHERE m < k AND s + m - 1 <= k),
+held AS (SELECT lang, phrase, max(above) AS above FROM inner_runs GROUP BY lang, phrase)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase JOIN total t ON t.lang = b.lang WHERE above IS NULL OR 100::HUGEINT * above < 80 * a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, neardup, oracles, packing, pieces, pii, quality, toxicity, urls, warc
+from . import ann, chat, collocations, neardup, oracles, packing, pieces, pii, quality, resample, sharding, toxicity, urls, warc
 from .common import table
 
 
@@ -64,5 +64,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_ann": op6_ann, "op7_sentencepiece": op7_sentencepiece, "op8_neardup": op8_neardup, "op9_warc": op9_warc, "op10_packing": op10_packing}
-ORACLE = {"op4_quality": oracles.OP4, "op8_neardup": oracles.OP8, "op9_warc": oracles.OP9}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=16, keep=["doc_id"])
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_toxicity": op5_toxicity, "op6_ann": op6_ann, "op7_sentencepiece": op7_sentencepiece, "op8_neardup": op8_neardup, "op9_warc": op9_warc, "op10_packing": op10_packing, "op11_sharding": op11_sharding, "op12_resample": op12_resample, "op13_collocations": op13_collocations}
+ORACLE = {"op4_quality": oracles.OP4, "op8_neardup": oracles.OP8, "op9_warc": oracles.OP9, "op12_resample": oracles.OP12, "op13_collocations": oracles.OP13}
