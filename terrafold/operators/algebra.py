@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from math import ceil, floor
 
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formulas import finite, from_mercator
+from ..sources.layers import Grid
 from . import ranks
+from .regrid import in_system
 
 TINY_NODATA = -3.14e-8
 
@@ -31,16 +34,19 @@ def binary_mask(value: Column, src_nodata: float | None, inside: float = 1.0, ou
     return F.when(value.isNotNull() & valid, F.lit(inside)).otherwise(F.lit(outside))
 
 
-def frame_of(cells: DataFrame, step: float, crs: str = "EPSG:4326") -> dict:
-    """Reference system, origin, step and size of a grid of cells with row_i, col_i and centres x, y; one pass."""
+def frame_of(cells: DataFrame, step: float, crs: str = "EPSG:4326") -> Grid:
+    """The record of cells with row_i, col_i and centres x, y that were written without one; one pass.
+
+    Its size is that of the cells present, so a layer that lacks its last row gives another: keep records with layers.
+    """
     at = cells.agg(
         F.min(F.col("x") - (F.col("col_i") + 0.5) * step).alias("x0"), F.max(F.col("y") + (F.col("row_i") + 0.5) * step).alias("y0"),
         (F.max("row_i") + 1).alias("nrows"), (F.max("col_i") + 1).alias("ncols"),
     ).first()
-    return {"crs": crs, "dx": step, "dy": step, **at.asDict()}
+    return Grid(dx=step, dy=step, crs=crs, **at.asDict())
 
 
-def grid_product(layers: list[DataFrame], frames: list[dict] | None = None) -> DataFrame:
+def grid_product(layers: list[DataFrame], frames: list[Grid] | None = None) -> DataFrame:
     """(cell_id, value): the product of all layers; a missing factor makes a missing product.
 
     With ``frames``, layers whose grids differ raise.
@@ -48,39 +54,48 @@ def grid_product(layers: list[DataFrame], frames: list[dict] | None = None) -> D
     if not layers:
         raise ValueError("at least one layer is needed")
     for frame in frames or []:
-        same_grid(frames[0], frame)
+        frames[0].same(frame)
     named = [d.select("cell_id", F.col("value").alias(f"v{i}")) for i, d in enumerate(layers)]
     joined = reduce(lambda a, b: a.join(b, "cell_id"), named)
     return joined.select("cell_id", reduce(lambda a, b: a * b, [F.col(f"v{i}") for i in range(len(layers))]).alias("value"))
 
 
-def grid_difference(a: DataFrame, b: DataFrame, frame_a: dict, frame_b: dict) -> DataFrame:
+def grid_difference(a: DataFrame, b: DataFrame, frame_a: Grid, frame_b: Grid) -> DataFrame:
     """(row_i, col_i, value): a - b on a's grid stretched over the union of both extents, missing unless both are there.
 
     b is sampled at the centres; rows and columns north and west of a's origin are negative.
     """
-    if frame_a["crs"] != frame_b["crs"]:
+    if frame_a.crs != frame_b.crs:
         raise ValueError(f"layers must share a reference system: {frame_a['crs']} and {frame_b['crs']}")
-    dx, dy = frame_a["dx"], frame_a["dy"]
-    west = floor((min(frame_a["x0"], frame_b["x0"]) - frame_a["x0"]) / dx)
-    north = floor((frame_a["y0"] - max(frame_a["y0"], frame_b["y0"])) / dy)
-    east = max(frame_a["ncols"], ceil((frame_b["x0"] + frame_b["ncols"] * frame_b["dx"] - frame_a["x0"]) / dx))
-    south = max(frame_a["nrows"], ceil((frame_a["y0"] - frame_b["y0"] + frame_b["nrows"] * frame_b["dy"]) / dy))
+    dx, dy = frame_a.dx, frame_a.dy
+    west = floor((min(frame_a.x0, frame_b.x0) - frame_a.x0) / dx)
+    north = floor((frame_a.y0 - max(frame_a.y0, frame_b.y0)) / dy)
+    east = max(frame_a.ncols, ceil((frame_b.x0 + frame_b.ncols * frame_b.dx - frame_a.x0) / dx))
+    south = max(frame_a.nrows, ceil((frame_a.y0 - frame_b.y0 + frame_b.nrows * frame_b.dy) / dy))
     wide, cell = east - west, F.col("id")
     union = a.sparkSession.range((south - north) * wide).select(
         (F.floor(cell / wide) + north).cast("int").alias("row_i"), (cell % wide + west).cast("int").alias("col_i")
     )
-    x, y = pixel_centre(F.col("row_i"), F.col("col_i"), frame_a["x0"], frame_a["y0"], dx)
-    under_row, under_col = F.floor((frame_b["y0"] - y) / frame_b["dy"]).cast("int"), F.floor((x - frame_b["x0"]) / frame_b["dx"]).cast("int")
+    x, y = pixel_centre(F.col("row_i"), F.col("col_i"), frame_a.x0, frame_a.y0, dx)
+    under_row, under_col = F.floor((frame_b.y0 - y) / frame_b.dy).cast("int"), F.floor((x - frame_b.x0) / frame_b.dx).cast("int")
     union = union.withColumns({"_r": under_row, "_c": under_col})
     left = a.select("row_i", "col_i", F.col("value").alias("va"))
     right = b.select(F.col("row_i").alias("_r"), F.col("col_i").alias("_c"), F.col("value").alias("vb"))
     return union.join(left, ["row_i", "col_i"], "left").join(right, ["_r", "_c"], "left").select("row_i", "col_i", (F.col("va") - F.col("vb")).alias("value"))
 
 
-def mask_by_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The rows of a whose cell is valid in b."""
-    return a.join(b.where("value is not null").select("row_i", "col_i"), ["row_i", "col_i"], "left_semi")
+def mask_by_overlap(a: DataFrame, b: DataFrame, grid_a: Grid, grid_b: Grid) -> DataFrame:
+    """The rows of a (row_i, col_i and more) whose cell is valid in b; on another grid, in the cell of b under its centre."""
+    valid = b.where("value is not null")
+    try:
+        grid_a.same(replace(grid_b, ncols=grid_a.ncols, nrows=grid_a.nrows))
+    except ValueError:
+        x, y = grid_a.x0 + (F.col("col_i") + 0.5) * grid_a.dx, grid_a.y0 - (F.col("row_i") + 0.5) * grid_a.dy
+        places = in_system(a.select("row_i", "col_i", x.alias("x"), y.alias("y")), grid_a.crs, grid_b.crs)
+        under = [F.floor((grid_b.y0 - F.col("y")) / grid_b.dy).cast("int").alias("_r"), F.floor((F.col("x") - grid_b.x0) / grid_b.dx).cast("int").alias("_c")]
+        held = valid.select(F.col("row_i").alias("_r"), F.col("col_i").alias("_c"))
+        valid = places.select("row_i", "col_i", *under).join(held, ["_r", "_c"], "left_semi")
+    return a.join(valid.select("row_i", "col_i"), ["row_i", "col_i"], "left_semi")
 
 
 def pct_change(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -121,13 +136,6 @@ def tile_years(monthly: DataFrame, n_years: int, key: str = "cell_id") -> DataFr
     )
 
 
-def same_grid(a: dict, b: dict) -> None:
-    """Raise unless two grids agree in reference system, origin, step and size."""
-    for k in ("crs", "x0", "y0", "dx", "dy", "ncols", "nrows"):
-        if a.get(k) != b.get(k):
-            raise ValueError(f"layers must match raster dimensions: {k} is {a.get(k)!r} and {b.get(k)!r}")
-
-
 def incomplete_cells(monthly: DataFrame) -> DataFrame:
     """Cells without twelve bands."""
     return monthly.groupBy("cell_id").agg(F.count_distinct("month").alias("bands")).where("bands <> 12")

@@ -135,7 +135,7 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
     zone, biome = zone_averages(stepped)
     full = stepped.join(zone, "poly_id", "left").join(biome, "biome_id", "left")
     full = full.withColumn("v", F.coalesce("v", "zone_mean", "biome_mean", "global_ratio"))
-    filled = regrid.nearest_valid(materialized(full.select("cell_id", "row_i", "col_i", "v"), "yield-steps"), "v")
+    filled = regrid.nearest_valid(materialized(full.where(inside | F.col("v").isNotNull()).select("cell_id", "row_i", "col_i", "v"), "yield-steps"), "v")
     return filled.join(cells.where("lu = 1").select("cell_id"), "cell_id").select("cell_id", F.col("value").alias("yield"))
 
 

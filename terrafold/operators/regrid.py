@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.layers import materialized
+from ..functions.formulas import from_mercator, mercator
+from ..sources.layers import Grid
 
 
-def nearest(target: DataFrame, source: DataFrame, value: str, x0: float, y0: float, step: float) -> DataFrame:
+def in_system(df: DataFrame, crs: str, to: str) -> DataFrame:
+    """Columns x and y of one reference system in another: degrees and spherical Mercator metres, others raise."""
+    if crs == to:
+        return df
+    forms = {("EPSG:4326", "EPSG:3857"): mercator, ("EPSG:3857", "EPSG:4326"): from_mercator}
+    if (crs, to) not in forms:
+        raise ValueError(f"no closed form from {crs} to {to}")
+    x, y = forms[crs, to](F.col("x"), F.col("y"))
+    return df.withColumns({"x": x, "y": y})
+
+
+def onto(target: DataFrame, source: DataFrame, value: str, grid: Grid, crs: str = "EPSG:4326") -> DataFrame:
+    """(id, value): each target centre (id, x, y in ``crs``) takes the cell of the source, a grid of its own, under it.
+
+    Centres outside the source's extent have no value.
+    """
+    return nearest(in_system(target, crs, grid.crs), source, value, grid.x0, grid.y0, grid.dx, grid.dy)
+
+
+def nearest(target: DataFrame, source: DataFrame, value: str, x0: float, y0: float, step: float, dy: float | None = None) -> DataFrame:
     """(id, value): each target centre (id, x, y) takes the source cell under it; bands of the source stay apart."""
     bands = [c for c in source.columns if c == "band"]
-    place = target.select("id", F.floor((y0 - F.col("y")) / step).cast("int").alias("row_i"), F.floor((F.col("x") - x0) / step).cast("int").alias("col_i"))
+    place = target.select("id", F.floor((y0 - F.col("y")) / (dy or step)).cast("int").alias("row_i"), F.floor((F.col("x") - x0) / step).cast("int").alias("col_i"))
     return place.join(source.select("row_i", "col_i", *bands, F.col(value).alias("value")), ["row_i", "col_i"], "left").select("id", *bands, "value")
 
 
@@ -47,34 +69,58 @@ def fill_gaps(cells: DataFrame, value: str, among: Column | None = None) -> Data
     return cells.join(filled, "cell_id", "left").select("cell_id", F.coalesce(value, "near").alias("value"))
 
 
-def nearest_valid(cells: DataFrame, value: str, reach: int = 8) -> DataFrame:
+def nearest_in_row(row: int, columns: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted column of a row the place of the nearest site, given the nearest site of every column.
+
+    Squared distances along the row are parabolas, one a column; their lower envelope is built from left to right. Each
+    parabola is raised by the rank of its site's (row, column), under one unit of distance, so that no two are ever equal
+    and ties go to the least row, then the least column.
+    """
+    low, wide = int(rows.min()), int(columns.max() - columns.min()) + 1
+    unit = (int(rows.max()) - low + 1) * wide
+    left = int(columns.min())
+    stack: list[tuple[int, int, int, int]] = []  # first column of rule, column, height, place
+    for place, (col, site) in enumerate(zip(columns.tolist(), rows.tolist(), strict=True)):
+        height, start = (row - site) ** 2 * unit + (site - low) * wide + col - left, -(1 << 62)
+        while stack:
+            _, other, lower, _ = stack[-1]
+            start = (height + unit * col * col - lower - unit * other * other) // (2 * unit * (col - other)) + 1
+            if start > stack[-1][0]:
+                break
+            stack.pop()
+            start = -(1 << 62)
+        stack.append((start, col, height, place))
+    ruled = np.searchsorted(np.array([s[0] for s in stack]), wanted, side="right") - 1
+    return np.array([s[3] for s in stack])[ruled]
+
+
+def nearest_valid(cells: DataFrame, value: str) -> DataFrame:
     """(cell_id, value): a hole takes the nearest valid cell by row and column, the least (row, col) on ties.
 
-    Square tiles are searched in widening rings, so a hole meets the valid cells near it only; a ring's answer counts
-    once no cell beyond it can be nearer. It ends when no hole is left or a ring spans the grid.
+    Done one axis at a time. In a column each valid cell is the nearest one for the rows up to halfway to the next; in a
+    row that has holes, the nearest cells of all columns give a lower envelope of parabolas. So there is one sort by
+    column and one by row and no search; the work is that of the rows with holes times the columns with valid cells. Rows
+    and columns may be negative; without any valid cell holes stay empty.
     """
-    tile = lambda c: F.floor(F.col(c) / reach).cast("int")
-    valid = cells.where(F.col(value).isNotNull()).select(tile("row_i").alias("tr"), tile("col_i").alias("tc"), F.col("row_i").alias("r"), F.col("col_i").alias("c"), F.col(value).alias("v"))
-    holes = cells.where(F.col(value).isNull()).select("cell_id", "row_i", "col_i")
-    span = cells.agg(F.max(F.greatest("row_i", "col_i"))).first()[0] or 0
-    done, ring = None, 1
-    if holes.isEmpty():
-        return cells.select("cell_id", F.col(value).alias("value"))
-    while True:
-        steps = F.sequence(F.lit(-ring), F.lit(ring))
-        wide = holes.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
-        wide = wide.withColumns({"tr": tile("row_i") + F.col("dr"), "tc": tile("col_i") + F.col("dc")})
-        d2 = (F.col("row_i") - F.col("r")) * (F.col("row_i") - F.col("r")) + (F.col("col_i") - F.col("c")) * (F.col("col_i") - F.col("c"))
-        best = wide.join(valid, ["tr", "tc"]).groupBy("cell_id").agg(
-            F.min_by("v", F.struct(d2, "r", "c")).alias("v"), F.min(d2).alias("d2")
-        )
-        whole = ring * reach > span
-        best = materialized(best, "nearest")
-        settled = best if whole else best.where(F.col("d2") <= (ring * reach) * (ring * reach))
-        done = settled if done is None else done.unionByName(settled)
-        holes = holes.join(settled, "cell_id", "left_anti")
-        if whole or holes.isEmpty():
-            break
-        ring *= 2
-    done = done.select("cell_id", F.col("v").alias("_near"))
-    return cells.join(done, "cell_id", "left").select("cell_id", F.coalesce(F.col(value), "_near").alias("value"))
+    holes = cells.where(F.col(value).isNull()).select("cell_id", F.col("row_i").alias("hole_row"), F.col("col_i").alias("hole_col"))
+    valid = cells.where(F.col(value).isNotNull()).select("row_i", "col_i", F.col(value).cast("double").alias("v")).distinct()
+    extent = F.broadcast(holes.agg(F.min("hole_row").alias("_low"), F.max("hole_row").alias("_high")))
+    column = Window.partitionBy("col_i").orderBy("row_i")
+    from_row = F.coalesce(F.floor((F.lag("row_i").over(column) + F.col("row_i")) / 2) + 1, F.col("_low"))
+    to_row = F.coalesce(F.floor((F.lead("row_i").over(column) + F.col("row_i")) / 2), F.col("_high"))
+    sites = valid.crossJoin(extent).withColumns({"_from": from_row, "_to": to_row})
+    sites = sites.withColumns({"_from": F.greatest("_from", "_low").cast("int"), "_to": F.least("_to", "_high").cast("int")}).where("_from <= _to")
+    sites = sites.select(F.explode(F.sequence("_from", "_to")).alias("at_row"), "col_i", F.col("row_i").alias("site"), "v")
+    sites = sites.join(holes.select(F.col("hole_row").alias("at_row")).distinct(), "at_row", "left_semi")
+
+    def fill(key: tuple, wanted: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"cell_id": wanted["cell_id"], "value": np.nan})
+        if len(met) and len(wanted):
+            met = met.sort_values("col_i")
+            place = nearest_in_row(int(key[0]), met["col_i"].to_numpy(), met["site"].to_numpy(), wanted["hole_col"].to_numpy())
+            out["value"] = met["v"].to_numpy()[place]
+        return out
+
+    filled = holes.groupBy("hole_row").cogroup(sites.groupBy("at_row")).applyInPandas(fill, "cell_id long, value double")
+    filled = filled.select("cell_id", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    return cells.where(F.col(value).isNotNull()).select("cell_id", F.col(value).cast("double").alias("value")).unionByName(filled)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..operators import algebra, carbon, crop, ranks, regrid, spatial
 from ..sources import layers as io
-from ..sources.layers import scratch
+from ..sources.layers import Grid, scratch
 from .fixtures import Layers, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,8 @@ ORACLE: dict[str, str] = {}
 #: Whole jobs that no SQL answers in a fair time, or beyond what the SQL of their namesakes in ``QUERIES`` holds.
 WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 GRID = {"x0": -100.0, "y0": 60.0, "step": 1.0}
+#: The grid of the derived cells; the number of rows follows the tables.
+FRAME = Grid(-100.0, 60.0, 1.0, 1.0, ncols=200)
 c = F.col
 
 
@@ -113,8 +115,12 @@ def packed(L: Layers, water: F.Column | None = None, n: int = 2) -> DataFrame:
     return L.cells.select("cell_id", "clay", "sand", "soc0").join(arrays, "cell_id").withColumn("n_years", F.lit(n))
 
 
+def runs_of(L: Layers) -> DataFrame:
+    return spatial.spans(L.vertices, FRAME)
+
+
 def polygons_of_cells(L: Layers) -> DataFrame:
-    return spatial.point_in_polygon(L.cells, L.vertices, "cell_id")
+    return spatial.cells_of_spans(L.cells, runs_of(L))
 
 
 # --- sources and sinks
@@ -189,7 +195,7 @@ SUMMARY_SQL = """SELECT CAST(poly_id AS VARCHAR) AS region, 'base' AS practice,
 @query(SUMMARY_SQL, EDGES, OWNERS)
 def sink_summary(L):
     path = scratch(L.spark, "summary")
-    stats = spatial.zonal(L.cells, polygons_of_cells(L), "soc0")
+    stats = spatial.zonal(L.cells, runs_of(L), "soc0")
     io.write_summary(io.summary(stats, {"cf": "t/ha", "cf_std": "t/ha"}, c("poly_id").cast("string"), F.lit("base")), path)
     back = io.lookup_csv(L.spark, path, "region string, practice string, metric string, value double, unit string, notes string", "summary")
     return r4(back, "value")
@@ -243,7 +249,7 @@ def grid_difference_union(L):
 @query("SELECT c.cell_id, soc0 AS value FROM fx_cells c JOIN fx_spam s USING (cell_id) WHERE y_irr IS NOT NULL")
 def mask_by_overlap(L):
     b = L.cells.join(L.spam, "cell_id").select("row_i", "col_i", c("y_irr").alias("value"))
-    return algebra.mask_by_overlap(L.cells.select("cell_id", "row_i", "col_i", c("soc0").alias("value")), b).select("cell_id", "value")
+    return algebra.mask_by_overlap(L.cells.select("cell_id", "row_i", "col_i", c("soc0").alias("value")), b, FRAME, FRAME).select("cell_id", "value")
 
 
 @query("SELECT cell_id, month, round(CASE WHEN rain <> 0 THEN rain + 260 - 273.15 END, 4) AS tmp FROM fx_monthly")
@@ -280,7 +286,7 @@ def plant_cover_tile(L):
 @query("SELECT cell_id, count(DISTINCT month) AS bands FROM fx_monthly WHERE rain > 0 GROUP BY cell_id HAVING count(DISTINCT month) <> 12")
 def grid_alignment(L):
     bands = L.monthly.where("rain > 0")
-    algebra.same_grid(algebra.frame_of(L.cells, 1.0), algebra.frame_of(L.cells.join(L.monthly.select("cell_id"), "cell_id", "left_semi"), 1.0))
+    algebra.frame_of(L.cells, 1.0).same(algebra.frame_of(L.cells.join(L.monthly.select("cell_id"), "cell_id", "left_semi"), 1.0))
     return algebra.incomplete_cells(bands)
 
 
@@ -341,7 +347,7 @@ def zone_semi(L):
  ON (e.y1 > q.y) <> (e.y2 > q.y) AND q.x < (e.x2 - e.x1) * (q.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1) o USING (point_id)
  LEFT JOIN nation n ON n.n_nationkey = o.poly_id""", EDGES)
 def point_in_polygon(L):
-    owners = spatial.point_in_polygon(L.points, L.vertices, "point_id")
+    owners = spatial.point_in_polygon(L.points, L.vertices, "point_id", border=False)
     names = F.broadcast(L.nation.select(c("n_nationkey").alias("poly_id"), "n_name"))
     return L.points.select("point_id").join(owners, "point_id", "left").join(names, "poly_id", "left").select("point_id", "poly_id", "n_name")
 
@@ -366,7 +372,7 @@ ZONAL_SQL = "SELECT poly_id, round(avg(soc0), 4) AS cf, round(quantile_disc(soc0
 
 @query(f"SELECT n.n_nationkey AS poly_id, n.n_name AS name, r_name AS biome, z.cf FROM nation n JOIN region ON r_regionkey = n_regionkey LEFT JOIN ({ZONAL_SQL}) z ON z.poly_id = n.n_nationkey", EDGES, OWNERS)
 def attach_back(L):
-    stats = r4(spatial.zonal(L.cells, polygons_of_cells(L), "soc0"), "cf")
+    stats = r4(spatial.zonal(L.cells, runs_of(L), "soc0"), "cf")
     named = L.nation.join(F.broadcast(L.region), c("n_regionkey") == c("r_regionkey")).select(c("n_nationkey").alias("poly_id"), c("n_name").alias("name"), c("r_name").alias("biome"))
     return named.join(stats, "poly_id", "left").select("poly_id", "name", "biome", "cf")
 
@@ -389,12 +395,12 @@ def nearest_valid(L):
 
 @query(ZONAL_SQL, EDGES, OWNERS)
 def zonal_stats(L):
-    return r4(spatial.zonal(L.cells, polygons_of_cells(L), "soc0"), "cf", "cf_median", "cf_std")
+    return r4(spatial.zonal(L.cells, runs_of(L), "soc0"), "cf", "cf_median", "cf_std")
 
 
 @query("SELECT n_nationkey AS poly_id, round(m, 4) AS mean FROM nation LEFT JOIN (SELECT poly_id, avg(y_all) AS m FROM owners JOIN fx_spam USING (cell_id) GROUP BY 1) ON poly_id = n_nationkey", EDGES, OWNERS)
 def polygon_means(L):
-    return r4(spatial.polygon_means(L.spam, polygons_of_cells(L), L.vertices, "y_all"), "mean")
+    return r4(spatial.polygon_means(L.cells.join(L.spam, "cell_id"), runs_of(L), L.vertices, "y_all"), "mean")
 
 
 def weighted_pairs(L: Layers) -> DataFrame:
@@ -547,7 +553,7 @@ def regrid_average(L):
 @query("SELECT c.cell_id, coalesce(CAST(o.v AS DOUBLE), -1) AS value FROM fx_cells c LEFT JOIN (SELECT cell_id, max(poly_id) * 10 AS v FROM owners GROUP BY 1) o USING (cell_id)", EDGES, OWNERS)
 def rasterize_polygons(L):
     values = L.nation.select(c("n_nationkey").alias("poly_id"), (c("n_nationkey") * 10.0).alias("v"))
-    return spatial.rasterize(L.cells, L.vertices, values, F.lit(-1.0))
+    return spatial.rasterize(L.cells, L.vertices, values, FRAME, F.lit(-1.0))
 
 
 FILL = """(SELECT a.cell_id, coalesce(a.{v}, sum(b.{v} / sqrt((a.row_i - b.row_i) ** 2 + (a.col_i - b.col_i) ** 2)) / sum(CASE WHEN b.{v} IS NOT NULL THEN 1 / sqrt((a.row_i - b.row_i) ** 2 + (a.col_i - b.col_i) ** 2) END)) AS value
@@ -889,7 +895,8 @@ def scenario_report_whole(L):
     to = rows.select(c("scenario").alias("other"), "year", "cell_id", c("value").alias("v2"))
     benefit = base.join(to, ["other", "year", "cell_id"]).withColumn("benefit", (F.try_divide("v2", "v1") - 1) * 100)
     ends = rows.join(last.withColumnRenamed("n_years", "year"), ["scenario", "year"])
-    zonal = spatial.zonal(ends, polygons_of_cells(L), "value", ["scenario", "year"])
+    placed = ends.join(L.cells.select("cell_id", "row_i", "col_i"), "cell_id")
+    zonal = spatial.zonal(placed, runs_of(L), "value", ["scenario", "year"])
 
     def part(name: str, df: DataFrame, *measures: str) -> DataFrame:
         keys = [("other", "string"), ("cell_id", "long"), ("poly_id", "long")]

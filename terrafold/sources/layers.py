@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +19,34 @@ SCENARIO = "crop string, practice string, n_years string, irr_fp string, red_til
 SUMMARY = ["region", "practice", "metric", "value", "unit", "notes"]
 
 
+@dataclass(frozen=True)
+class Grid:
+    """What a grid's cells are numbered by: reference system, north-west corner, steps, size and nodata value.
+
+    Sizes of None are not known; a layer's own record, written with it, always has them.
+    """
+
+    x0: float
+    y0: float
+    dx: float
+    dy: float
+    ncols: int | None = None
+    nrows: int | None = None
+    crs: str = "EPSG:4326"
+    nodata: float | None = None
+
+    def same(self, other: Grid) -> None:
+        """Raise unless both grids have one reference system, corner, step and size, within a thousandth of a step."""
+        for k in ("crs", "x0", "y0", "dx", "dy", "ncols", "nrows"):
+            a, b = getattr(self, k), getattr(other, k)
+            near = abs(a - b) <= self.dx / 1000 if k in ("x0", "y0") else abs(a - b) * (self.ncols or 1) <= self.dx / 1000 if k in ("dx", "dy") else a == b
+            if not near:
+                raise ValueError(f"layers must match raster dimensions: {k} is {a!r} and {b!r}")
+
+
+GRID_RECORD = "x0 double, y0 double, dx double, dy double, ncols int, nrows int, crs string, nodata double"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share; on a single machine without one, in a folder of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,14 +62,49 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: computed once, and safe from lost executors."""
     path = scratch(df.sparkSession, name)
+    if blocks := _open.get():
+        blocks[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths that ``materialized`` wrote inside each open ``temporary`` block of this thread.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("layers_open", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialized`` writes inside are deleted on leaving; the result has to be written or read before."""
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        delete(spark, *paths)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders or files in whatever store they lie."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end: the commit marker is there, not just the folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def lookup_csv(spark: SparkSession, path: str, schema: str, description: str, sep: str = ",") -> DataFrame:
-    """A CSV lookup by position; a missing file raises FileNotFoundError that names table and path."""
+    """A CSV lookup with a header; a missing file raises FileNotFoundError that names table and path.
+
+    Columns of another order or name than the schema's raise when the file is read; a byte-order mark does not matter.
+    """
     try:
-        return spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"').option("enforceSchema", True).csv(path)
+        return spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"').option("enforceSchema", False).csv(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"{description} not found at {path}") from e
@@ -81,17 +148,29 @@ def file_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_grid(
-    df: DataFrame, path: str, by: list[str], mode: str = "error", nodata: float | None = None, tags: dict[str, str] | None = None
+    df: DataFrame, path: str, by: list[str], mode: str = "error", nodata: float | None = None, tags: dict[str, str] | None = None,
+    grid: Grid | None = None,
 ) -> None:
     """Write a grid, a folder for each band; values become 4-byte, missing ones the nodata value if there is one.
 
-    ``tags`` (units, long_name, description and the like) go to a table of their own beside the grid.
+    ``tags`` (units, long_name, description and the like) go to a table of their own beside the grid, and so does its
+    record ``grid``, which ``grid_record`` reads.
     """
     values = [c for c, t in df.dtypes if t == "double" and c not in by]
     fill = lambda c: F.col(c) if nodata is None else F.coalesce(c, F.lit(nodata))
     df.withColumns({c: fill(c).cast("float") for c in values}).write.mode(mode).partitionBy(*by).parquet(path)
     kept = sorted((tags or {}).items()) + [("nodata", str(nodata))] * (nodata is not None)
     df.sparkSession.createDataFrame(kept, "tag string, value string").write.mode(mode).parquet(f"{path}-run_meta")
+    if grid is not None:
+        if grid.ncols is None or grid.nrows is None:
+            raise ValueError("a grid's record needs its size")
+        df.sparkSession.createDataFrame([asdict(grid)], GRID_RECORD).write.mode(mode).parquet(f"{path}-grid_meta")
+
+
+def grid_record(spark: SparkSession, path: str) -> Grid:
+    """The record that was written with a grid."""
+    row = spark.read.schema(GRID_RECORD).parquet(f"{path}-grid_meta").first()
+    return Grid(**{f.name: row[f.name] for f in fields(Grid)})
 
 
 def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
@@ -115,6 +194,10 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def write_if_absent(df: DataFrame, path: str, renew: bool = False) -> DataFrame:
-    """Write unless the output exists (or always, with ``renew``), and read what is there."""
-    df.write.mode("overwrite" if renew else "ignore").parquet(path)
+    """Write unless a finished output exists (or always, with ``renew``), and read what is there.
+
+    A folder that a broken job left half written has no commit marker and is written again.
+    """
+    if renew or not finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
