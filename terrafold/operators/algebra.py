@@ -34,8 +34,8 @@ def binary_mask(value: Column, src_nodata: float | None, inside: float = 1.0, ou
     return F.when(value.isNotNull() & valid, F.lit(inside)).otherwise(F.lit(outside))
 
 
-def frame_of(cells: DataFrame, step: float, crs: str = "EPSG:4326") -> Grid:
-    """The record of cells with row_i, col_i and centres x, y that were written without one; one pass.
+def frame_of(cells: DataFrame, step: float, crs: str = "EPSG:4326") -> dict:
+    """The record (as fields of ``Grid``) of cells with row_i, col_i and centres x, y that were written without one; one pass.
 
     Its size is that of the cells present, so a layer that lacks its last row gives another: keep records with layers.
     """
@@ -43,10 +43,20 @@ def frame_of(cells: DataFrame, step: float, crs: str = "EPSG:4326") -> Grid:
         F.min(F.col("x") - (F.col("col_i") + 0.5) * step).alias("x0"), F.max(F.col("y") + (F.col("row_i") + 0.5) * step).alias("y0"),
         (F.max("row_i") + 1).alias("nrows"), (F.max("col_i") + 1).alias("ncols"),
     ).first()
-    return Grid(dx=step, dy=step, crs=crs, **at.asDict())
+    return {"crs": crs, "dx": step, "dy": step, **at.asDict()}
 
 
-def grid_product(layers: list[DataFrame], frames: list[Grid] | None = None) -> DataFrame:
+def grid_of(record: Grid | dict) -> Grid:
+    """A record from its fields; a corner of 0, 0 and steps of 1 where they are not given."""
+    return record if isinstance(record, Grid) else Grid(**({"x0": 0.0, "y0": 0.0, "dx": 1.0, "dy": 1.0} | record))
+
+
+def same_grid(a: Grid | dict, b: Grid | dict) -> None:
+    """Raise unless two grids agree in reference system, corner, step and size, within a thousandth of a step."""
+    grid_of(a).same(grid_of(b))
+
+
+def grid_product(layers: list[DataFrame], frames: list[Grid | dict] | None = None) -> DataFrame:
     """(cell_id, value): the product of all layers; a missing factor makes a missing product.
 
     With ``frames``, layers whose grids differ raise.
@@ -54,19 +64,20 @@ def grid_product(layers: list[DataFrame], frames: list[Grid] | None = None) -> D
     if not layers:
         raise ValueError("at least one layer is needed")
     for frame in frames or []:
-        frames[0].same(frame)
+        same_grid(frames[0], frame)
     named = [d.select("cell_id", F.col("value").alias(f"v{i}")) for i, d in enumerate(layers)]
     joined = reduce(lambda a, b: a.join(b, "cell_id"), named)
     return joined.select("cell_id", reduce(lambda a, b: a * b, [F.col(f"v{i}") for i in range(len(layers))]).alias("value"))
 
 
-def grid_difference(a: DataFrame, b: DataFrame, frame_a: Grid, frame_b: Grid) -> DataFrame:
+def grid_difference(a: DataFrame, b: DataFrame, frame_a: Grid | dict, frame_b: Grid | dict) -> DataFrame:
     """(row_i, col_i, value): a - b on a's grid stretched over the union of both extents, missing unless both are there.
 
     b is sampled at the centres; rows and columns north and west of a's origin are negative.
     """
+    frame_a, frame_b = grid_of(frame_a), grid_of(frame_b)
     if frame_a.crs != frame_b.crs:
-        raise ValueError(f"layers must share a reference system: {frame_a['crs']} and {frame_b['crs']}")
+        raise ValueError(f"layers must share a reference system: {frame_a.crs} and {frame_b.crs}")
     dx, dy = frame_a.dx, frame_a.dy
     west = floor((min(frame_a.x0, frame_b.x0) - frame_a.x0) / dx)
     north = floor((frame_a.y0 - max(frame_a.y0, frame_b.y0)) / dy)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
 from ..sources.layers import materialized
 from . import regrid
+from .lookups import guarded
 
 
 def valid_crops(crops: DataFrame, strict: bool = False) -> DataFrame:
@@ -43,8 +44,11 @@ def observed_kc(observations: DataFrame, crops: DataFrame) -> DataFrame:
 
 def local_monthly_kc(plantings: DataFrame, key: str = "cell_id") -> DataFrame:
     """(key, crop, month, kc): monthly means of valid crop rows that each key has on its own planting day."""
-    days = valid_crops(plantings).withColumn("day_num", F.explode(F.sequence(F.lit(1), F.lit(365))))
-    return with_kc(days).groupBy(key, "crop", formulas.month_of_day(F.col("day_num")).alias("month")).agg(F.avg("kc").alias("kc"))
+    rows, season = valid_crops(plantings), ["crop", "plant_day", "d_ini", "d_dev", "d_mid", "d_late", "k_ini", "k_mid", "k_late"]
+    # A season's curve does not depend on the place: days are told out once for each season and planting day, not for each key.
+    days = rows.select(*season).distinct().withColumn("day_num", F.explode(F.sequence(F.lit(1), F.lit(365))))
+    curves = with_kc(days).groupBy(*season, formulas.month_of_day(F.col("day_num")).alias("month")).agg(F.avg("kc").alias("kc"))
+    return rows.select(key, *season).join(curves, season).groupBy(key, "crop", "month").agg(F.avg("kc").alias("kc"))
 
 
 def monthly_kc(crops: DataFrame, days: DataFrame) -> DataFrame:
@@ -54,9 +58,10 @@ def monthly_kc(crops: DataFrame, days: DataFrame) -> DataFrame:
 
 def location_pet(monthly: DataFrame, months: DataFrame, key: str = "cell_id") -> DataFrame:
     """(key, month, pet) from monthly temperature and latitude; a location without twelve months raises."""
-    index = monthly.groupBy(key).agg(F.sum(formulas.heat_index(F.col("tmp"))).alias("heat"), F.count("tmp").alias("n"))
-    index = index.where(F.when(F.col("n") != 12, F.raise_error(F.lit("twelve temperatures are needed")).cast("boolean")).otherwise(True))
-    rows = monthly.join(index.select(key, "heat"), key).join(F.broadcast(months.select("month", "n_days")), "month")
+    own = Window.partitionBy(key)  # the year's heat beside each month, so the months are shuffled once and not joined
+    rows = monthly.withColumns({"heat": F.sum(formulas.heat_index(F.col("tmp"))).over(own), "_n": F.count("tmp").over(own)})
+    rows = rows.where(F.when(F.col("_n") != 12, F.raise_error(F.lit("twelve temperatures are needed")).cast("boolean")).otherwise(True))
+    rows = rows.join(F.broadcast(months.select("month", "n_days")), "month")
     light = formulas.daylight_hours(F.col("y"), F.col("month"))
     return rows.select(key, "month", formulas.pet(F.col("tmp"), light, F.col("n_days"), F.col("heat")).alias("pet"))
 
@@ -149,9 +154,7 @@ def yield_grid_simple(cells: DataFrame, spam: DataFrame, country: DataFrame) ->
 def country_yields(borders: DataFrame, yields: DataFrame, item: str) -> DataFrame:
     """Borders with avg_yield and yld_ratio of one crop, left-joined by name; an unknown crop raises."""
     mine = yields.where(F.col("item") == item)
-    if mine.isEmpty():
-        raise ValueError(f"unknown crop: {item}")
-    return borders.join(mine.select("area", "avg_yield", "yld_ratio"), borders["name"] == F.col("area"), "left")
+    return guarded(borders, yields, "item", item, "crop").join(mine.select("area", "avg_yield", "yld_ratio"), borders["name"] == F.col("area"), "left")
 
 
 def monthly_split(annual: DataFrame, shares: DataFrame, value: str) -> DataFrame:

@@ -276,6 +276,24 @@ def area_weighted(pairs: DataFrame, layer: DataFrame, areas: DataFrame) -> DataF
     return pairs.join(values.select(F.col("poly_id").alias("b"), "v", F.col("area").alias("w")), "b")
 
 
+def area_weighted_stats(borders: DataFrame, layer: DataFrame, names: DataFrame, by: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Area-weighted mean, population deviation and plain median of a layer's values by a name of the borders it meets.
+
+    Returns the statistics (``by``, ``out``, ``out_std``, ``out_median``) and poly_id of the layer's polygons that reach
+    beyond the poles, which take no part. ``names`` has a, a border's id, and the name. Pairs are found once.
+    """
+    valid = split_latitude(layer)
+    kept = layer.join(valid.where("valid").select("poly_id"), "poly_id", "left_semi")
+    pairs = area_weighted(polygon_intersects(borders, kept), kept, mercator_area(kept)).where(F.col("v").isNotNull()).join(names, "a")
+    pairs = materialized(pairs.select(by, "v", "w"), "named-pairs")  # read for the mean and twice for the median
+    own = Window.partitionBy(by)
+    pairs = pairs.withColumn("_m", F.sum(F.col("v") * F.col("w")).over(own) / F.sum("w").over(own))
+    spread = F.sqrt(F.sum(F.col("w") * (F.col("v") - F.col("_m")) * (F.col("v") - F.col("_m"))) / F.sum("w"))
+    stats = pairs.groupBy(by).agg(F.first("_m").alias(out), spread.alias(f"{out}_std"))
+    middle = ranks.quantiles(pairs, "v", [0.5], [by]).select(by, F.get("q", F.lit(0)).alias(f"{out}_median"))
+    return stats.join(middle, by), valid.where(~F.col("valid")).select("poly_id")
+
+
 def rasterize(cells: DataFrame, vertices: DataFrame, values: DataFrame, grid: Grid, fill: Column | None = None) -> DataFrame:
     """(cell_id, value): the value of the last polygon over each cell's centre, ``fill`` elsewhere."""
     owners = cells_of_spans(cells, spans(vertices, grid)).join(values, "poly_id")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
-from ..operators import algebra, carbon, crop, ranks, regrid, spatial
+from ..operators import algebra, carbon, crop, lookups, prepare, ranks, regrid, spatial
 from ..sources import layers as io
+from ..sources.batch import Batch
 from ..sources.layers import Grid, scratch
 from .fixtures import Layers, oracle
 
@@ -286,7 +287,7 @@ def plant_cover_tile(L):
 @query("SELECT cell_id, count(DISTINCT month) AS bands FROM fx_monthly WHERE rain > 0 GROUP BY cell_id HAVING count(DISTINCT month) <> 12")
 def grid_alignment(L):
     bands = L.monthly.where("rain > 0")
-    algebra.frame_of(L.cells, 1.0).same(algebra.frame_of(L.cells.join(L.monthly.select("cell_id"), "cell_id", "left_semi"), 1.0))
+    algebra.same_grid(algebra.frame_of(L.cells, 1.0), algebra.frame_of(L.cells.join(L.monthly.select("cell_id"), "cell_id", "left_semi"), 1.0))
     return algebra.incomplete_cells(bands)
 
 
@@ -337,6 +338,13 @@ def join_lookup(L):
     return L.cells.select("cell_id", "zone_id").join(F.broadcast(L.zones), "zone_id", "left").join(F.broadcast(maize), "zone_group", "left").select("cell_id", "zone_group", "k_mid")
 
 
+@query("SELECT c.cell_id, z.zone_group FROM fx_cells c JOIN fx_zones z USING (zone_id)")
+def lookup_checked(L):
+    """Zones of the cells by a lookup that must know them all; zone 13 is none, so it is no key."""
+    known = L.cells.select("cell_id", F.when(c("zone_id") <= 12, c("zone_id")).alias("zone_id"))
+    return lookups.join_checked(known, F.broadcast(L.zones), ["zone_id"], "zone").where("zone_id is not null").select("cell_id", "zone_group")
+
+
 @query("SELECT cell_id, zone_id FROM fx_cells WHERE zone_id IN (SELECT zone_id FROM fx_zones WHERE zone_group = 'Subtropics winter rainfall')")
 def zone_semi(L):
     wanted = L.zones.where("zone_group = 'Subtropics winter rainfall'")
@@ -357,6 +365,34 @@ def polygon_intersects(L):
     return spatial.polygon_intersects(L.vertices, L.layer)
 
 
+CLOSED = """closed AS (SELECT a.poly_id AS a, b.poly_id AS b FROM edges a JOIN edges b
+  ON ((a.x2-a.x1)*(b.y1-a.y1)-(a.y2-a.y1)*(b.x1-a.x1)) * ((a.x2-a.x1)*(b.y2-a.y1)-(a.y2-a.y1)*(b.x2-a.x1)) <= 0
+ AND ((b.x2-b.x1)*(a.y1-b.y1)-(b.y2-b.y1)*(a.x1-b.x1)) * ((b.x2-b.x1)*(a.y2-b.y1)-(b.y2-b.y1)*(a.x2-b.x1)) <= 0
+ AND least(a.x1,a.x2) <= greatest(b.x1,b.x2) AND least(b.x1,b.x2) <= greatest(a.x1,a.x2) AND least(a.y1,a.y2) <= greatest(b.y1,b.y2) AND least(b.y1,b.y2) <= greatest(a.y1,a.y2)
+ UNION SELECT v.poly_id, e.poly_id FROM fx_vertices v JOIN edges e
+  ON (e.y1 > v.y) <> (e.y2 > v.y) AND v.x < (e.x2 - e.x1) * (v.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY v.poly_id, v.seq, e.poly_id HAVING count(*) % 2 = 1)"""
+
+
+@query("SELECT a, b, count(c.c_custkey) AS customers FROM closed LEFT JOIN customer c ON c.c_nationkey = b GROUP BY a, b", EDGES, CLOSED)
+def polygon_touches(L):
+    """Neighbours that share a border, and each polygon with itself, with the customers of the second."""
+    met = spatial.polygon_intersects(L.vertices, L.vertices)
+    held = L.customer.groupBy(c("c_nationkey").alias("b")).agg(F.count(F.lit(1)).alias("customers"))
+    return met.join(held, "b", "left").select("a", "b", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+BORDERING = "SELECT c_custkey AS point_id, CAST(-100 + c_custkey % 200 AS DOUBLE) AS x, CAST(60 - c_custkey % 100 AS DOUBLE) AS y FROM customer"
+
+
+@query(f"""SELECT q.point_id, e.poly_id FROM ({BORDERING}) q JOIN edges e ON e.y1 IS NOT NULL GROUP BY q.point_id, e.poly_id
+ HAVING count(*) FILTER ((e.y1 > q.y) <> (e.y2 > q.y) AND q.x < (e.x2 - e.x1) * (q.y - e.y1) / (e.y2 - e.y1) + e.x1) % 2 = 1
+ AND count(*) FILTER ((e.x2-e.x1)*(q.y-e.y1)-(e.y2-e.y1)*(q.x-e.x1) = 0 AND q.x BETWEEN least(e.x1,e.x2) AND greatest(e.x1,e.x2) AND q.y BETWEEN least(e.y1,e.y2) AND greatest(e.y1,e.y2)) = 0""", EDGES)
+def points_within(L):
+    """Customers on whole degrees, many of them on borders, which are within no polygon."""
+    x, y = (-100 + c("c_custkey") % 200).cast("double"), (60 - c("c_custkey") % 100).cast("double")
+    return spatial.point_in_polygon(L.customer.select(c("c_custkey").alias("point_id"), x.alias("x"), y.alias("y")), L.vertices, "point_id", border=False)
+
+
 @query("SELECT p.point_id, c.soc0 AS value FROM fx_points p LEFT JOIN fx_cells c ON c.row_i = floor(60 - p.y) AND c.col_i = floor(p.x + 100)")
 def sample_grid_at_points(L):
     return spatial.sample_at_points(L.points, L.cells, "soc0", **GRID)
@@ -398,6 +434,31 @@ def zonal_stats(L):
     return r4(spatial.zonal(L.cells, runs_of(L), "soc0"), "cf", "cf_median", "cf_std")
 
 
+ZONAL_NAMED = f"""SELECT '{{kind}}' AS area_type, {{names}}, 'soil carbon' AS impact_category, 'land' AS flow_name, 't/ha' AS unit, cf, cf_median, cf_std
+ FROM ({ZONAL_SQL}) z JOIN nation ON n_nationkey = z.poly_id JOIN region ON r_regionkey = n_regionkey"""
+
+
+@query(" UNION ALL ".join(ZONAL_NAMED.format(kind=k, names=n) for k, n in (
+    ("Ecoregion", "z.poly_id AS id, n_name AS name, r_name AS part_of"), ("Country", "CAST(NULL AS BIGINT), r_name, CAST(NULL AS VARCHAR)"), ("Subcountry", "CAST(NULL AS BIGINT), n_name, r_name"))), EDGES, OWNERS)
+def zonal_report(L):
+    """Statistics with labels for the three kinds of area, under common names."""
+    stats = r4(spatial.zonal(L.cells, runs_of(L), "soc0"), "cf", "cf_median", "cf_std")
+    borders = L.nation.join(F.broadcast(L.region), c("n_regionkey") == c("r_regionkey")).select(
+        c("n_nationkey").alias("poly_id"), c("n_name").alias("eco_name"), c("r_name").alias("biome_name"), c("r_name").alias("adm0_name"), c("n_name").alias("adm1_name")
+    )
+    none = F.lit(None)
+    named = {
+        "Ecoregion": (c("ecoregion_geom_id"), c("ecoregion_name"), c("Biome")), "Country": (none.cast("long"), c("country"), none.cast("string")),
+        "Subcountry": (none.cast("long"), c("subcountry (adm1)"), c("country")),
+    }
+    out = []
+    for kind, (i, name, part_of) in named.items():
+        rows = spatial.zonal_report(stats, borders, kind, "soil carbon", "land", "t/ha")
+        labels = [i.alias("id"), name.alias("name"), part_of.alias("part_of"), "impact_category", "flow_name", c("Unit").alias("unit")]
+        out.append(rows.select(F.lit(kind).alias("area_type"), *labels, "cf", "cf_median", "cf_std"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("SELECT n_nationkey AS poly_id, round(m, 4) AS mean FROM nation LEFT JOIN (SELECT poly_id, avg(y_all) AS m FROM owners JOIN fx_spam USING (cell_id) GROUP BY 1) ON poly_id = n_nationkey", EDGES, OWNERS)
 def polygon_means(L):
     return r4(spatial.polygon_means(L.cells.join(L.spam, "cell_id"), runs_of(L), L.vertices, "y_all"), "mean")
@@ -416,6 +477,18 @@ def area_weighted_factor(L):
     return r4(rows.groupingSets([[c("eco")], [c("objectid")]], c("eco"), c("objectid")).agg(factor), "factor")
 
 
+@query("""SELECT r_name AS eco, round(any_value(m), 4) AS value, round(sqrt(sum(w * (v - m) ** 2) / sum(w)), 4) AS value_std, round(median(v), 4) AS value_median, CAST(NULL AS BIGINT) AS poly_id
+ FROM (SELECT r_name, v, w, sum(v * w) OVER (PARTITION BY r_name) / sum(w) OVER (PARTITION BY r_name) AS m FROM meets JOIN areas ON poly_id = b
+  JOIN nation ON n_nationkey = a JOIN region ON r_regionkey = n_regionkey WHERE v IS NOT NULL AND b % 5 <> 0) GROUP BY r_name
+ UNION ALL SELECT NULL, NULL, NULL, NULL, poly_id FROM (SELECT DISTINCT poly_id FROM fx_layer WHERE poly_id % 5 = 0)""", EDGES, LEDGES, MEETS, AREAS)
+def area_weighted_by_name(L):
+    """Statistics by name of region; layer polygons beyond the poles (each fifth, moved north) are left out and returned by id."""
+    moved = L.layer.withColumn("y", c("y") + F.when(c("poly_id") % 5 == 0, 50).otherwise(0))
+    named = L.nation.join(F.broadcast(L.region), c("n_regionkey") == c("r_regionkey")).select(c("n_nationkey").alias("a"), c("r_name").alias("eco"))
+    stats, invalid = spatial.area_weighted_stats(L.vertices, moved, named, "eco", "value")
+    return r4(stats.unionByName(invalid, allowMissingColumns=True), "value", "value_std", "value_median")
+
+
 @query("""SELECT a AS objectid, round(any_value(m), 4) AS value, round(sqrt(sum(w * (v - m) ** 2) / sum(w)), 4) AS value_std, round(median(v), 4) AS value_median
  FROM (SELECT a, v, w, sum(v * w) OVER (PARTITION BY a) / sum(w) OVER (PARTITION BY a) AS m FROM meets JOIN areas ON poly_id = b WHERE v IS NOT NULL) GROUP BY a""", EDGES, LEDGES, MEETS, AREAS)
 def area_weighted_stats(L):
@@ -466,6 +539,11 @@ def pet_of(L: Layers) -> DataFrame:
     return crop.location_pet(L.monthly.join(L.cells.select("cell_id", "y"), "cell_id"), L.months)
 
 
+def pet_inside(L: Layers) -> DataFrame:
+    """Demand of the land use alone: other cells are left out before anything is computed."""
+    return crop.location_pet(L.monthly.select("cell_id", "month", "tmp").join(L.cells.where("lu = 1").select("cell_id", "y"), "cell_id"), L.months)
+
+
 @query("SELECT month AS band, round(min(tmp), 4) AS low, round(max(tmp), 4) AS high, round(avg(tmp), 4) AS mean, round(stddev_pop(tmp), 4) AS std FROM fx_monthly GROUP BY month")
 def band_stats(L):
     return r4(algebra.band_stats(L.monthly.withColumn("band", c("month")), "tmp"), "low", "high", "mean", "std")
@@ -537,6 +615,29 @@ def regrid_nearest(L):
     return r4(regrid.nearest(target, source, "tmp", **GRID), "value")
 
 
+#: A layer in Mercator metres over the same cells: 100 km steps from -110 000 km east and 80 000 km north, in tens.
+METRIC = Grid(-11_000_000.0, 8_000_000.0, 100_000.0, 100_000.0, ncols=200, crs="EPSG:3857")
+
+
+@query(f"""SELECT t.cell_id AS id, s.soc0 AS value FROM fx_cells t LEFT JOIN fx_cells s
+ ON s.row_i = CAST(floor((8000000 - {MERC[1].format(y="t.y")}) / 100000) AS INT) AND s.col_i = CAST(floor(({MERC[0].format(x="t.x")} + 11000000) / 100000) AS INT)""")
+def regrid_mercator(L):
+    """Cells in degrees take the cell of a layer in Mercator metres under their centre."""
+    return regrid.onto(L.cells.select(c("cell_id").alias("id"), "x", "y"), L.cells.select("row_i", "col_i", "soc0"), "soc0", METRIC)
+
+
+@query("SELECT cell_id, soc0 - clay AS value FROM fx_cells WHERE row_i < (SELECT max(row_i) FROM fx_cells) OR col_i % 2 = 0")
+def grid_with_record(L):
+    """A layer with gaps in its last row, written with its record, meets a whole layer of the same grid."""
+    last = L.cells.agg(F.max("row_i")).first()[0]
+    grid, path = Grid(-100.0, 60.0, 1.0, 1.0, ncols=200, nrows=last + 1), scratch(L.spark, "record")
+    short = L.cells.where((c("row_i") < last) | (c("col_i") % 2 == 0)).select("cell_id", F.lit(1).alias("band"), c("clay").alias("value"))
+    io.write_grid(short, path, ["band"], grid=grid)
+    io.grid_record(L.spark, path).same(grid)
+    held = io.read_grid(L.spark, path)[0].select("cell_id", c("value").cast("double").alias("clay"))
+    return L.cells.select("cell_id", "soc0").join(held, "cell_id").select("cell_id", (c("soc0") - c("clay")).alias("value"))
+
+
 @query("""SELECT id, round(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 4) AS value FROM (SELECT t.id, (CASE WHEN d.dr = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN d.dc = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS w, s.y_all AS v
  FROM (SELECT cell_id AS id, x + 0.3 + 100 - 0.5 AS fx, 60 - (y + 0.2) - 0.5 AS fy FROM fx_cells) t CROSS JOIN (SELECT * FROM (VALUES (0,0),(0,1),(1,0),(1,1)) q(dr, dc)) d
  LEFT JOIN (SELECT row_i, col_i, y_all FROM fx_cells JOIN fx_spam USING (cell_id)) s ON s.row_i = floor(fy) + d.dr AND s.col_i = floor(fx) + d.dc) GROUP BY id""")
@@ -764,7 +865,7 @@ CROP_PET = """crop_pet AS (SELECT cell_id, month, pet * kc AS pet FROM pet LEFT
 
 @query("SELECT cell_id, month, round(pet, 4) AS pet FROM crop_pet UNION ALL SELECT cell_id, 0, round(sum(pet), 4) FROM crop_pet GROUP BY cell_id", PET, KCD, KCM, CROP_PET)
 def crop_pet_grid(L):
-    monthly = crop.crop_pet_grid(L.cells, pet_of(L), crop.monthly_kc(L.crops, L.days), L.zones, "Maize")
+    monthly = crop.crop_pet_grid(L.cells, pet_inside(L), crop.monthly_kc(L.crops, L.days), L.zones, "Maize")
     return r4(crop.annual_sum(monthly), "pet")
 
 
@@ -822,7 +923,7 @@ def country_yields(L):
        EDGES, OWNERS, OWNED, RATIOS, *YIELD_SQL, PET, KCD, KCM, CROP_PET, MAIZE)
 def prepare_crop_inputs(L):
     kc = crop.monthly_kc(L.crops, L.days)
-    pet = crop.crop_pet_grid(L.cells, pet_of(L), kc, L.zones, "Maize")
+    pet = crop.crop_pet_grid(L.cells, pet_inside(L), kc, L.zones, "Maize")
     yields = crop.yield_grid(owned(L), L.spam, L.country_yield, "irr")
     yields = io.materialized(yields, "yields")  # read twice below
     cover = crop.plant_cover_grid(L.cells, L.crops, L.zones, L.months, "Maize")
@@ -834,6 +935,39 @@ def prepare_crop_inputs(L):
     return r4(rows, "pet", "irrigation", "yield", "res")
 
 
+def technology_sql(tag: str, technology: str | None) -> tuple[str, ...]:
+    """Steps of the yields of one technology, named by a tag."""
+    ratio = technology or "irr"
+    near = FILL.format(v=ratio, t="(SELECT * FROM fx_cells JOIN ratios USING (cell_id))")
+    plain = "coalesce(y_all * yld_ratio, CASE WHEN lu = 1 THEN coalesce(avg_yield / 1000, y_all * gr) END)"
+    scaled = f"coalesce(nullif(y_{ratio}, 0) * yld_ratio, y_all * mr, CASE WHEN lu = 1 THEN coalesce(avg_yield / 1000 * near, avg_yield / 1000 * mr, nullif(y_{ratio}, 0) * gr) END)"
+    return (
+        f"b_{tag} AS (SELECT o.*, k.avg_yield, k.yld_ratio, n.value AS near, (SELECT avg(yld_ratio) FROM fx_country_yield) AS gr, (SELECT avg({ratio}) FROM ratios) AS mr"
+        f" FROM owned o LEFT JOIN fx_country_yield k USING (poly_id) LEFT JOIN {near} n USING (cell_id))",
+        f"v_{tag} AS (SELECT *, {scaled if technology else plain} AS v FROM b_{tag})",
+        f"y_{tag} AS (SELECT '{tag}' AS scenario, cell_id, coalesce(v, (SELECT avg(z.v) FROM v_{tag} z WHERE z.poly_id = q.poly_id), (SELECT avg(z.v) FROM v_{tag} z WHERE z.biome_id = q.biome_id), gr) AS yield FROM v_{tag} q WHERE lu = 1)",
+    )
+
+
+@query("""SELECT y.scenario, p.cell_id, p.month, round(p.pet, 4) AS pet, round(CASE WHEN p.pet > m.rain THEN p.pet - m.rain ELSE 0 END, 4) AS irrigation, round(y.yield, 4) AS yield,
+ coalesce(CASE WHEN k.scp_start IS NULL THEN NULL WHEN p.month >= k.scp_start AND p.month <= k.scp_end THEN 1 ELSE 0 END, 255) AS pc, round(((1.03 * y.yield + .61) * 1.22) * .87 * .5 * x.kc / x.total, 4) AS res
+ FROM crop_pet p JOIN fx_monthly m USING (cell_id, month) JOIN fx_cells c USING (cell_id) LEFT JOIN fx_zones z USING (zone_id) LEFT JOIN (SELECT * FROM fx_crops WHERE crop = 'Maize') k ON k.zone_group = z.zone_group
+ LEFT JOIN maize x ON x.zone_group = z.zone_group AND x.month = p.month JOIN (SELECT * FROM y_all_water UNION ALL SELECT * FROM y_irrigated UNION ALL SELECT * FROM y_rainfed) y USING (cell_id)""",
+       EDGES, OWNERS, OWNED, RATIOS, *technology_sql("all_water", None), *technology_sql("irrigated", "irr"), *technology_sql("rainfed", "rf"), PET, KCD, KCM, CROP_PET, MAIZE)
+def prepare_crop_batch(L):
+    """Three rows of a scenario table in a batch; the second pass over it starts no step and reads what the first made."""
+    rows = L.spark.createDataFrame([("all_water", "Maize", None), ("irrigated", "Maize", "irr"), ("rainfed", "Maize", "rf")], "scenario string, crop string, technology string")
+    cells = owned(L).join(L.cells.select("cell_id", "y", "zone_id"), "cell_id")
+    held = prepare.CropLayers(cells, L.monthly, L.spam, L.country_yield, L.crops, L.zones, L.days, L.months, L.residues, L.sf_dir)
+    folder = scratch(L.spark, "batch")
+    prepare.run_scenarios(Batch(L.spark, folder), held, rows)
+    again = Batch(L.spark, folder)
+    out = prepare.run_scenarios(again, held, rows)
+    if again.started:
+        raise RuntimeError(f"finished steps ran again: {again.started}")
+    return r4(out, "pet", "irrigation", "yield", "res")
+
+
 def scenario_rows(L: Layers, n_years: int | None = None) -> DataFrame:
     """All scenarios over the land use in one run, each for its own years unless ``n_years`` is given; the tillage factor follows each scenario's flag."""
     rows = L.monthly.join(L.cells.where("lu = 1").select("cell_id"), "cell_id").crossJoin(F.broadcast(L.scenarios))
