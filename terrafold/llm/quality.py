@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, all in column expressions over the whole text.
 
-Each rule is a condition that fails a document. ``order_rules`` measures every rule's cost (seconds a row) and
-selectivity (share rejected) on a bounded sample drawn from all partitions and sorts by rejection per cost; ``cascade``
-is then one CASE whose later rules are evaluated only where the earlier ones pass. The order changes the time and the
-reported reason, never which documents pass.
+Each rule is a condition that fails a document. ``order_rules`` estimates every rule's cost and selectivity (share
+rejected) on a bounded sample drawn from all partitions and sorts by rejection per cost; ``cascade`` is then one CASE whose
+later rules are evaluated only where the earlier ones pass. A rule's cost is the text that it reads, in characters a
+document: the sample's mean length for every pass that its condition makes over the text, and one for what it compares.
+So the order is the same whenever the table is, whatever else the machine does. It changes the time and the reported
+reason, never which documents pass.
 
 Null is the text without words; texts of any length are measured whole; repeated rows are judged alike; an empty table
 gives an empty result and leaves the rules in their given order; extra columns stay, and a result column replaces one
@@ -12,7 +14,6 @@ of its name.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
-#: Rows of the sample on which selectivities are estimated, about, and of those that are timed.
-SAMPLE_ROWS, COST_ROWS = 2000, 400
-#: Least cost of a rule in seconds a row, and how many times a rate must exceed another to change the order.
-LEAST_COST, CLEARLY = 1e-6, 2.0
+#: Rows of the sample on which cost and selectivity are estimated, about.
+SAMPLE_ROWS = 2000
 BLANK = r"[\\x20\\x09-\\x0D]"
 
 
@@ -117,47 +116,26 @@ def sampled(docs: DataFrame, rows: int) -> DataFrame:
     return docs.sample(fraction=min(1.0, rows / n), seed=7).limit(2 * rows) if n else docs.limit(0)
 
 
-def seconds(rows: DataFrame, condition: str, runs: int = 3) -> float:
-    """The least time of several counts of a condition over cached rows."""
-    took = []
-    for _ in range(runs):
-        began = time.perf_counter()
-        rows.agg(F.count_if(F.expr(condition))).first()
-        took.append(time.perf_counter() - began)
-    return min(took)
+def by_rate(rules: list[tuple[Rule, float, float]]) -> list[tuple[Rule, float, float]]:
+    """(rule, cost, share rejected) by falling share per cost; equal rates keep their order."""
+    return sorted(rules, key=lambda x: -x[2] / x[1])
 
 
 def order_rules(
     docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()
 ) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a row, share rejected), the most rejection per cost first.
+    """(rule, characters that it reads a document, share rejected), the most rejection per cost first.
 
-    Costs are those of the rules as they will run: measures named in ``known`` are columns already. Each is the least of
-    several runs over ``COST_ROWS`` cached rows, less what an empty rule takes and at least ``LEAST_COST``. A rule moves
-    before another when its rate is over ``CLEARLY`` times the other's, so that noise leaves the order as it is.
+    Costs are those of the rules as they will run: measures named in ``known`` are columns already and cost no pass.
     """
     sample = sampled(docs.select(whole(F.col(f"`{text_col}`")).alias("text")), rows)
-    sample = sample.repartition(8).select("text", *[F.expr(measure(m, "text")).alias(m) for m in known]).persist()
-    timed = sample.limit(COST_ROWS).coalesce(1).persist()
-    conditions = [r.sql("text", {m: m for m in known}) for r in rules]
-    out: list[tuple[Rule, float, float]] = []
-    try:
-        n, *hits = sample.agg(F.count(F.lit(1)), *[F.count_if(F.expr(c)) for c in conditions]).first()
-        if not n:
-            return [(r, 0.0, 0.0) for r in rules]
-        m, empty = timed.count(), seconds(timed, "text is null")
-        for rule, condition, hit in zip(rules, conditions, hits, strict=True):
-            out.append((rule, max((seconds(timed, condition) - empty) / m, LEAST_COST), hit / n))
-    finally:
-        sample.unpersist()
-        timed.unpersist()
-    order: list[tuple[Rule, float, float]] = []
-    for x in out:
-        at = len(order)
-        while at and x[2] / x[1] > CLEARLY * order[at - 1][2] / order[at - 1][1]:
-            at -= 1
-        order.insert(at, x)
-    return order
+    sample = sample.select("text", *[F.expr(measure(m, "text")).alias(m) for m in known])
+    hits = [F.count_if(F.expr(r.sql("text", {m: m for m in known}))) for r in rules]
+    n, length, *failed = sample.agg(F.count(F.lit(1)), F.avg(F.length("text")), *hits).first()
+    if not n:
+        return [(r, 0.0, 0.0) for r in rules]
+    passes = [r.sql("\0", {m: m for m in known}).count("\0") for r in rules]
+    return by_rate([(r, 1 + p * length, f / n) for r, p, f in zip(rules, passes, failed, strict=True)])
 
 
 def cascade(rules: list[Rule], text: str, known: dict[str, str] | None = None) -> Column:

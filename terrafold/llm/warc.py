@@ -1,10 +1,11 @@
 """WARC bundles: independent Zstandard frames, a footer seek table and a record index.
 
-A bundle is a file ``<SHA-1>.warc.zst`` in the folder that all executors share: every record is its own frame, so that a
-reader seeks to one record and reads and decompresses that alone; a skippable frame at the end holds the seek table
-(compressed and plain size of each frame) in the public seekable Zstandard layout. The index, a table beside the files,
-has each bundle's record ids and the offsets and sizes of their frames. Files are written under another name and then
-moved, so a task that runs again leaves the same files; the folder may be in any store that Arrow's file systems open.
+A bundle is a file ``<SHA-1>.warc.zst`` in the folder that all executors share. Records are grouped into independent
+frames of about ``FRAME_BYTES`` each, so that like pages are compressed together, and a reader seeks to one frame, which is
+read and decompressed alone; a skippable frame at the end holds the seek table (compressed and plain size of each frame) in
+the public seekable Zstandard layout. The index, a table beside the files, maps each record id to its frame, its offset
+in the plain frame and its size, and lists where each frame begins, as the seek table does. Files are written under another name and
+then moved, so a task that runs again leaves the same files; the folder may be in any store that Arrow's file systems open.
 
 Equal payloads of at least ``least_bytes`` are stored once: the record with the largest id is the response, the others
 are revisits that refer to it. A response holds an HTTP message whose body is the payload; a revisit holds the message's
@@ -23,6 +24,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -34,9 +36,12 @@ from pyspark.sql import functions as F
 from .common import shared_dir, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
-#: A bundle is closed when its frames exceed this many bytes.
-BUNDLE_BYTES = 8_000_000
-BUNDLES = "bundle string, record_id array<long>, frame_offset array<long>, frame_size array<long>"
+#: A frame is closed when its plain records exceed the one, a bundle when its frames exceed the other.
+FRAME_BYTES, BUNDLE_BYTES = 256_000, 8_000_000
+BUNDLES = (
+    "bundle string, record_id array<long>, frame array<int>, record_offset array<long>, record_size array<long>, "
+    "frame_offset array<long>, frame_size array<long>"
+)
 DATE = "1970-01-01T00:00:00Z"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 
@@ -126,27 +131,38 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_bundles(records: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTES, date: str = DATE) -> DataFrame:
+def write_bundles(records: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTES, date: str = DATE, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write the records of each partition as bundle files, named by their contents; one index row a bundle."""
 
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer, place = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
         store, root = opened(folder)
-        parts, sizes, ids, held, n = [], [], [], 0, 0
+        frames: list[bytes] = []  # compressed, of the bundle at hand
+        sizes: list[tuple[int, int]] = []
+        index: list[tuple[int | None, int, int, int]] = []  # id, frame, offset in the frame, size
+        plain: list[bytes] = []  # records of the frame at hand
+        inside, n = 0, 0
+
+        def close_frame() -> None:
+            nonlocal inside
+            if plain:
+                frames.append(packer.compress(b"".join(plain)))
+                sizes.append((len(frames[-1]), inside))
+                plain.clear()
+                inside = 0
 
         def close() -> pd.DataFrame:
-            offsets = [0]
-            for size, _ in sizes:
-                offsets.append(offsets[-1] + size)
-            whole = b"".join([*parts, seek_table(sizes)])
+            close_frame()
+            whole = b"".join([*frames, seek_table(sizes)])
             name = f"{hashlib.sha1(whole).hexdigest()}.warc.zst"
             store.create_dir(root, recursive=True)
             hidden = f"{root}/.{uuid.uuid4().hex}"
             with store.open_output_stream(hidden) as out:
                 out.write(whole)
             store.move(hidden, f"{root}/{name}")
-            row = [f"{folder}/{name}", list(ids), offsets[:-1], [s for s, _ in sizes]]
-            for x in (parts, sizes, ids):
+            starts = list(accumulate((size for size, _ in sizes), initial=0))[:-1]
+            row = [f"{folder}/{name}", *[list(x) for x in zip(*index, strict=True)], starts, [size for size, _ in sizes]]
+            for x in (frames, sizes, index):
                 x.clear()
             return pd.DataFrame([row], columns=[x.split()[0] for x in BUNDLES.split(", ")])
 
@@ -154,15 +170,14 @@ def write_bundles(records: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BY
             for page in pdf.to_dict("records"):
                 page |= {c: None if page[c] is None else int(page[c]) for c in ("page_id", "refers_to")}
                 raw = record(page, base64.b32encode(bytes.fromhex(page["sha1"])).decode(), f"{page['page_id']}/{place}/{n}", date)
-                frame = packer.compress(raw)
-                parts.append(frame)
-                sizes.append((len(frame), len(raw)))
-                ids.append(page["page_id"])
-                held, n = held + len(frame), n + 1
-                if held >= bundle_bytes:
-                    held = 0
+                index.append((page["page_id"], len(frames), inside, len(raw)))
+                plain.append(raw)
+                inside, n = inside + len(raw), n + 1
+                if inside >= frame_bytes:
+                    close_frame()
+                if sum(size for size, _ in sizes) >= bundle_bytes:
                     yield close()
-        if parts:
+        if index:
             yield close()
 
     # ids as text: a nullable long would pass pandas as a double
@@ -182,14 +197,17 @@ def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for name, ids, offsets, sizes in zip(*(pdf[c] for c in pdf), strict=True):
+            for name, ids, frames, offsets, sizes, starts, lengths in zip(*(pdf[c] for c in pdf), strict=True):
                 store, path = opened(name)
-                rows, held = [], 0
+                rows, held, at, plain = [], 0, -1, b""
                 with store.open_input_file(path) as file:
-                    if read_seek_table(file) != list(zip(offsets, sizes, strict=True)):
+                    table = read_seek_table(file)
+                    if table != list(zip(starts, lengths, strict=True)):
                         raise ValueError(f"bundle {name}: index and seek table differ")
-                    for want, at, size in zip(map(known, ids), offsets, sizes, strict=True):
-                        fields, http, payload = parse(unpacker.decompress(file.read_at(size, at)))
+                    for want, frame, offset, size in zip(map(known, ids), frames, offsets, sizes, strict=True):
+                        if frame != at:
+                            plain, at = unpacker.decompress(file.read_at(table[frame][1], table[frame][0])), frame
+                        fields, http, payload = parse(plain[offset : offset + size])
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         whole = fields["WARC-Type"] == "response"
                         wrong = whole and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest
@@ -209,13 +227,13 @@ def read_bundles(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
 
     # The index is small beside its bundles: dealt by bundle, so that reading is spread over tasks.
     tasks = max(1, min(bundles.count(), 20_000))
-    dealt = bundles.select("bundle", "record_id", "frame_offset", "frame_size").repartition(tasks, "bundle")
+    dealt = bundles.select("bundle", "record_id", "frame", "record_offset", "record_size", "frame_offset", "frame_size").repartition(tasks, "bundle")
     return dealt.mapInPandas(records, READ).withColumns({c: F.col(c).cast("long") for c in ("record_id", "refers_to")})
 
 
 def fetch(bundles: DataFrame, wanted: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """The raw records of the wanted ids: the index gives file, offset and size, and only those bytes are read."""
-    index = bundles.select("bundle", F.explode(F.arrays_zip("record_id", "frame_offset", "frame_size")).alias("x"))
+    """The raw records of the wanted ids: the index gives file and frame, the footer where it lies, and only that is read."""
+    index = bundles.select("bundle", F.explode(F.arrays_zip("record_id", "frame", "record_offset", "record_size")).alias("x"))
     hits = index.select("bundle", "x.*").join(wanted.select(F.col(id_col).alias("record_id")).distinct(), "record_id")
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,13 +242,16 @@ def fetch(bundles: DataFrame, wanted: DataFrame, id_col: str = "record_id") -> D
             for name, part in pdf.groupby("bundle"):
                 store, path = opened(name)
                 with store.open_input_file(path) as file:
-                    frames = [unpacker.decompress(file.read_at(size, at)) for at, size in zip(part["frame_offset"], part["frame_size"], strict=True)]
-                yield pd.DataFrame({"record_id": part["record_id"], "record": frames})
+                    table = read_seek_table(file)
+                    for frame, rows in part.groupby("frame"):
+                        whole = unpacker.decompress(file.read_at(table[frame][1], table[frame][0]))
+                        cut = [whole[at : at + size] for at, size in zip(rows["record_offset"], rows["record_size"], strict=True)]
+                        yield pd.DataFrame({"record_id": rows["record_id"], "record": cut})
 
-    return hits.select("record_id", "bundle", "frame_offset", "frame_size").mapInPandas(plain, "record_id long, record binary")
+    return hits.select("record_id", "bundle", "frame", "record_offset", "record_size").mapInPandas(plain, "record_id long, record binary")
 
 
-def archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE) -> DataFrame:
+def archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write all pages as bundle files to the shared folder and return their written index."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return written(write_bundles(plan_records(pages, least_bytes), folder, date=date), "warc-index")[0]
+    return written(write_bundles(plan_records(pages, least_bytes), folder, date=date, frame_bytes=frame_bytes), "warc-index")[0]
