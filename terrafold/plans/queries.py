@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
-from ..operators import algebra, carbon, crop, lookups, prepare, ranks, regrid, spatial
+from ..operators import algebra, carbon, crop, lookups, prepare, ranks, regrid, sketches, spatial
+from ..sources import clustered
 from ..sources import layers as io
 from ..sources.batch import Batch
 from ..sources.layers import Grid, scratch
@@ -202,6 +203,14 @@ def sink_summary(L):
     return r4(back, "value")
 
 
+@query("SELECT cell_id, row_i, col_i, soc0 FROM fx_cells WHERE row_i <= 3 AND col_i BETWEEN 40 AND 59")
+def sink_clustered(L):
+    """A grid along a space-filling curve, and a box of it read from the files that meet it."""
+    path = scratch(L.spark, "clustered")
+    clustered.write_clustered(L.cells.select("cell_id", "row_i", "col_i", "soc0"), path, 32)
+    return clustered.read_box(L.spark, path, (-5, 3), (40, 59))
+
+
 @query("SELECT cell_id, soc0 FROM fx_cells")
 def sink_if_absent(L):
     path = scratch(L.spark, "kept")
@@ -557,6 +566,23 @@ def band_timeseries(L):
     return out.withColumns({n: F.round(n, 3) for n in ("mean", "q1", "q3")})
 
 
+@query("SELECT month AS band, count(tmp) AS n, round(min(tmp), 4) AS low, round(max(tmp), 4) AS high, round(avg(tmp), 4) AS mean, true AS ranks_within, true AS distinct_within FROM fx_monthly GROUP BY month")
+def band_sketches(L):
+    """Sketches by tile of ten columns and band, merged by band; their quartiles and distinct counts held against the exact ones."""
+    rows = L.monthly.join(L.cells.select("cell_id", F.floor(c("col_i") / 10).alias("tile")), "cell_id").select("tile", c("month").alias("band"), "tmp")
+    rows = io.materialized(rows, "sketched")  # read for the sketches and to check them
+    shares = (0.25, 0.5, 0.75)
+    got = sketches.answers(sketches.merged(sketches.sketch(rows, "tmp", ["tile", "band"]), ["band"]), shares)
+    under = [F.count_if(c("tmp") < F.get("q", F.lit(i))).alias(f"under_{i}") for i in range(3)] + [F.count_if(c("tmp") <= F.get("q", F.lit(i))).alias(f"upto_{i}") for i in range(3)]
+    exact = rows.join(F.broadcast(got.select("band", "q")), "band").groupBy("band").agg(*under, F.count_distinct("tmp").alias("kinds"))
+    slack = sketches.rank_error() * c("n") + 1
+    within = F.lit(True)
+    for i, s in enumerate(shares):
+        within = within & (c(f"under_{i}") <= s * c("n") + slack) & (c(f"upto_{i}") >= s * c("n") - slack)
+    near = F.abs(c("distinct") - c("kinds")) <= sketches.distinct_error() * c("kinds") + 1
+    return r4(got.join(exact, "band").select("band", "n", "low", "high", "mean", within.alias("ranks_within"), near.alias("distinct_within")), "low", "high", "mean")
+
+
 @query("""SELECT layer, CAST(least(floor((v - lo) * 50 / (hi - lo)) + 1, 50) AS INT) AS bin, count(*) AS n
  FROM (SELECT *, min(v) OVER (PARTITION BY layer) AS lo, max(v) OVER (PARTITION BY layer) AS hi FROM (SELECT 'soc0' AS layer, soc0 AS v FROM fx_cells UNION ALL SELECT 'y_irr', y_irr FROM fx_spam WHERE y_irr IS NOT NULL))
  GROUP BY layer, bin""")
