@@ -188,10 +188,10 @@ def span_moments(cells: DataFrame, runs: DataFrame, value: str, by: Sequence[str
     frame = F.broadcast(cells.agg(F.avg(value).alias("_centre"), F.when(wide > 0, F.lit(2.0**44) / wide).otherwise(1.0).alias("_scale")))
     v = F.round((F.col(value) - F.col("_centre")) * F.col("_scale")).cast("decimal(15,0)")
     own = cells.crossJoin(frame).where(F.col(value).isNotNull()).select(
-        *by, "row_i", "col_i", F.lit(None).cast("long").alias("poly_id"), F.lit(0).alias("sign"), v.alias("v")
+        *by, "row_i", "col_i", F.lit(None).cast(runs.schema["poly_id"].dataType).alias("poly_id"), F.lit(0).alias("sign"), v.alias("v")
     )
     ends = F.explode(F.array(F.struct((F.col("first") - 1).alias("col_i"), F.lit(-1).alias("sign")), F.struct(F.col("last").alias("col_i"), F.lit(1).alias("sign"))))
-    asked = runs.select("row_i", F.col("poly_id").cast("long").alias("poly_id"), ends.alias("e"))
+    asked = runs.select("row_i", "poly_id", ends.alias("e"))
     if by:  # each run is asked once for every layer
         asked = asked.crossJoin(F.broadcast(cells.select(*by).distinct()))
     asked = asked.select(*by, "row_i", "e.col_i", "poly_id", "e.sign", F.lit(None).cast("decimal(15,0)").alias("v"))
