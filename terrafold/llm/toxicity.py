@@ -40,6 +40,7 @@ FOLDS = 5
 CLEAN_SHARE = 4
 #: Offsets of the second and third character of a subsequence from its first, and the weight of their gaps.
 SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, 5) for j in range(1, k)]
+GAPS = np.array([w for *_, w in SHAPES], np.float32)
 FEATURES, WIDTH, EDGE = 1 << 21, 32, 127
 #: Tokens whose score a task keeps, and texts that it takes at a time.
 MEMO, STRIDE = 200_000, 200
@@ -88,8 +89,8 @@ def code_table() -> np.ndarray:
 CODES = code_table()
 
 
-def featurise(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and weights of each word (rows padded with weight 0); equal features of a word are summed."""
+def occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature number and weight of each subsequence of each word (rows padded with feature 0 and weight 0)."""
     longest = max(map(len, words), default=0)
     raw = np.array(words, dtype=f"U{max(longest, 1)}").view(np.uint32).reshape(len(words), -1)
     size = (raw > 0).sum(1)
@@ -104,7 +105,12 @@ def featurise(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids.append((c[:, :n] << 14) | (c[:, j : j + n] << 7) | last)
         weights.append(np.where(last > 0, np.float32(w), np.float32(0)))
     f, w = np.concatenate(ids, 1), np.concatenate(weights, 1)
-    f = np.where(w > 0, f, 0)
+    return np.where(w > 0, f, 0), w
+
+
+def featurise(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and weights of each word (rows padded with weight 0); equal features of a word are summed."""
+    f, w = occurrences(words)
     order = np.argsort(f, axis=1, kind="stable")
     f, w = np.take_along_axis(f, order, 1), np.take_along_axis(w, order, 1)
     # sum equal neighbours into the last of each run
@@ -118,6 +124,25 @@ def featurise(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return f, np.where(f > 0, w, 0)
 
 
+def squared_lengths(f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Squared length of each word's features once equal ones are summed, given its occurrences.
+
+    To the squares of all occurrences come twice the products of those that share a feature; in sorted order these are
+    neighbours, found one distance after the other among the words that still have some.
+    """
+    out, kind = (w * w).sum(1), np.repeat(np.arange(len(SHAPES), dtype=np.int32), f.shape[1] // len(SHAPES))
+    ordered, rows = np.sort(f << 4 | kind, axis=1), np.arange(len(f))
+    for apart in range(1, f.shape[1]):
+        one, two = ordered[:, :-apart], ordered[:, apart:]
+        same = (one >> 4 == two >> 4) & (two > 15)
+        some = same.any(1)
+        if not some.any():
+            break
+        ordered, rows, same = ordered[some], rows[some], same[some]
+        out[rows] += 2 * (GAPS[ordered[:, :-apart] & 15] * GAPS[ordered[:, apart:] & 15] * same).sum(1)
+    return out
+
+
 @dataclass
 class Machine:
     weights: np.ndarray  # of each feature, after folding
@@ -127,17 +152,20 @@ class Machine:
 
     def margins(self, toks: list[str]) -> np.ndarray:
         """Margin of each token: that of its worst window."""
-        parts = [windows(t) for t in toks]
-        owner = np.repeat(np.arange(len(toks)), [len(p) for p in parts])
-        flat = [w for p in parts for w in p]
-        out = np.full(len(toks), -np.inf)
-        lengths = np.array([len(w) for w in flat])
+        flat = [t if t.isalnum() else TRIM.sub("", t) for t in toks]
+        owner = list(range(len(toks)))
+        for i in [i for i, t in enumerate(flat) if len(t) > WIDTH]:  # scored by their windows, not as a whole
+            parts = windows(flat[i])
+            flat += parts
+            owner += [i] * len(parts)
+        out, owner = np.full(len(toks), -np.inf), np.array(owner, np.int64)
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
         for low, high in ((0, 6), (6, 10), (10, 16), (16, WIDTH)):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
             for at in range(0, len(rows), 5_000):
                 part = rows[at : at + 5_000]
-                f, w = featurise([flat[i] for i in part])
-                norm = np.sqrt(np.maximum((w * w).sum(1), 1e-9))
+                f, w = occurrences([flat[i] for i in part])
+                norm = np.sqrt(np.maximum(squared_lengths(f, w), 1e-9))
                 np.maximum.at(out, owner[part], (self.weights[f] * w).sum(1) / norm + self.bias)
         return np.where(np.isfinite(out), out, self.bias)
 
@@ -162,15 +190,20 @@ def landmarks(f: np.ndarray, w: np.ndarray, weight: np.ndarray, most: int = LAND
     Each landmark is the row that the ones before explain least, by weight: a pivoted Cholesky factor of the kernel.
     """
     left, z, marks = np.ones(len(f)), np.zeros((len(f), most + 1)), []
-    spread = np.zeros(FEATURES, np.float32)
+    held = w > 0
+    held[:, :1] = True  # so that no row is without an entry
+    ends = np.cumsum(held.sum(1))
+    starts, flat = np.append(0, ends[:-1]), w[held]
+    kinds, place = np.unique(f[held], return_inverse=True)
+    spread = np.zeros(len(kinds), np.float32)
     for m in range(min(most, len(f))):
         pick = int(np.argmax(left * weight))
         if left[pick] < 1e-4:
             break
-        spread[f[pick]] = 0
-        np.add.at(spread, f[pick], w[pick])
-        column = (spread[f] * w).sum(1) - z[:, :m] @ z[pick, :m]
-        spread[f[pick]] = 0
+        own = slice(starts[pick], ends[pick])
+        np.add.at(spread, place[own], flat[own])
+        column = np.add.reduceat(spread[place] * flat, starts, dtype=np.float64) - z[:, :m] @ z[pick, :m]
+        spread[place[own]] = 0
         z[:, m] = column / np.sqrt(left[pick])
         left = np.maximum(left - z[:, m] ** 2, 0)
         left[pick] = 0
