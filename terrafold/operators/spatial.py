@@ -22,6 +22,8 @@ from . import ranks
 
 #: Edges that a strip should hold, and halvings of a strip's height at most.
 STRIP_EDGES, MOST_HALVINGS = 64, 16
+#: Halvings from one level of edge tiles to the next.
+LEVEL_STEP = 2
 
 
 def edges(vertices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -108,6 +110,35 @@ def point_in_polygon(points: DataFrame, vertices: DataFrame, id_col: str, size:
     return near.join(rows.drop("west", "east"), ["poly_id", "level", "ty"]).where(test).select(id_col, "poly_id")
 
 
+def edge_levels(vertices: DataFrame, size: float) -> DataFrame:
+    """The edges with their level: a tile of level k is ``size / 2^k`` wide, and an edge's is the least that is as wide as it."""
+    width = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    halvings = F.floor(F.log2(size / F.greatest(width, F.lit(size / 2.0**MOST_HALVINGS))) / LEVEL_STEP) * LEVEL_STEP
+    return edges(vertices).withColumn("level", F.greatest(halvings, F.lit(0)).cast("int"))
+
+
+def edge_tiles(rows: DataFrame, other: DataFrame, size: float, first: bool) -> DataFrame:
+    """``rows`` of ``edge_levels`` dealt to tiles (at, role, tx, ty), where they meet the edges of ``other`` whose extents meet theirs.
+
+    Two edges meet at the coarser of their levels: an edge is dealt at its own and as a visitor at the coarser ones of
+    the other layer. Roles keep visitors apart from visitors: 0 is own with own, 1 and 2 own with a visitor of the second
+    and of the first layer. So short edges crowd no wide tile, however many there are.
+    """
+    theirs = F.broadcast(other.agg(F.collect_set("level").alias("_theirs")))  # at most MOST_HALVINGS / LEVEL_STEP + 1 numbers
+    host, visitor = (1, 2) if first else (2, 1)
+    place = lambda l, role: F.struct(l.alias("at"), F.lit(role).alias("role"))
+    own = F.col("level")
+    places = F.concat(
+        F.transform(F.filter("_theirs", lambda l: l == own), lambda l: place(l, 0)),
+        F.when(F.exists("_theirs", lambda l: l > own), F.array(place(own, host))).otherwise(F.array().cast("array<struct<at:int,role:int>>")),
+        F.transform(F.filter("_theirs", lambda l: l < own), lambda l: place(l, visitor)),
+    )
+    dealt = rows.crossJoin(theirs).withColumn("_p", F.explode(places)).select(*rows.columns, "_p.at", "_p.role")
+    wide = size / F.pow(F.lit(2.0), "at")
+    dealt = dealt.withColumn("tx", tile_range(F.least("x1", "x2"), F.greatest("x1", "x2"), wide))
+    return dealt.withColumn("ty", tile_range(F.least("y1", "y2"), F.greatest("y1", "y2"), wide)).drop("level")
+
+
 def polygon_intersects(left: DataFrame, right: DataFrame, size: float = 8.0) -> DataFrame:
     """Distinct (a, b) of polygons of both layers that share a point, be it one of their borders only.
 
@@ -116,10 +147,9 @@ def polygon_intersects(left: DataFrame, right: DataFrame, size: float = 8.0) ->
     other polygon, so one vertex of each ring tells.
     """
 
-    def dealt(v: DataFrame, s: str) -> DataFrame:
-        e = edges(v).select(F.col("poly_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("x1", "y1", "x2", "y2")])
-        xs, ys = (F.col(f"x1_{s}"), F.col(f"x2_{s}")), (F.col(f"y1_{s}"), F.col(f"y2_{s}"))
-        return e.withColumn("tx", tile_range(F.least(*xs), F.greatest(*xs), size)).withColumn("ty", tile_range(F.least(*ys), F.greatest(*ys), size))
+    def dealt(rows: DataFrame, other: DataFrame, s: str) -> DataFrame:
+        tiles = edge_tiles(rows, other, size, s == "a")
+        return tiles.select(*tile, F.col("poly_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("x1", "y1", "x2", "y2")])
 
     def side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> Column:
         return F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
@@ -130,7 +160,8 @@ def polygon_intersects(left: DataFrame, right: DataFrame, size: float = 8.0) ->
 
     a, b = ("x1_a", "y1_a", "x2_a", "y2_a"), ("x1_b", "y1_b", "x2_b", "y2_b")
     straddle = (side(*a, *b[:2]) * side(*a, *b[2:]) <= 0) & (side(*b, *a[:2]) * side(*b, *a[2:]) <= 0)
-    met = dealt(left, "a").join(dealt(right, "b"), ["tx", "ty"]).where(overlap("x") & overlap("y") & straddle).select("a", "b")
+    tile, one, two = ["at", "role", "tx", "ty"], edge_levels(left, size), edge_levels(right, size)
+    met = dealt(one, two, "a").join(dealt(two, one, "b"), tile).where(overlap("x") & overlap("y") & straddle).select("a", "b")
 
     def corner(v: DataFrame) -> DataFrame:
         ring = ["poly_id", "part"] if "part" in v.columns else ["poly_id"]

@@ -77,7 +77,7 @@ def test_touching_polygons_intersect(spark):
     assert found == {(1, b) for b in (10, 11, 12, 13, 14, 15, 19)}  # 18 has a hole around it
 
 
-@pytest.mark.parametrize("size", [3.0, 8.0])
+@pytest.mark.parametrize("size", [0.5, 3.0, 8.0, 64.0])
 def test_intersections_equal_plain_geometry(spark, size):
     rng = random.Random(11)
     one, two = ({i: random_polygon(rng) for i in range(60)} for _ in range(2))
@@ -111,6 +111,21 @@ def test_many_edges_are_dealt_to_thin_strips(spark):
     assert got == {r.point_id for r in points.where("x * x + y * y < 900").collect()}
 
 
+def test_short_edges_crowd_no_tile(spark):
+    """Two rings of 20 000 edges and wide polygons: no tile pairs many edges, and the contacts are those of circles."""
+    angle = np.linspace(0, 2 * np.pi, 20_000, endpoint=False)
+    circle = lambda x, r: [list(zip(x + r * np.cos(angle), r * np.sin(angle), strict=True))]
+    one = layer(spark, {1: circle(0.0, 3.0), 2: [square(-20, -20, 40)], 3: [square(2.5, 0, 0.1)]})
+    two = layer(spark, {11: circle(4.0, 3.0), 12: circle(20.0, 3.0), 13: [square(-1, 2.9, 30, 1)], 14: [square(-40, -40, 2)]})
+    a, b = spatial.edge_levels(one, 8.0), spatial.edge_levels(two, 8.0)
+    keys = ["at", "role", "tx", "ty"]
+    tiles = spatial.edge_tiles(a, b, 8.0, True).groupBy(*keys).count().join(spatial.edge_tiles(b, a, 8.0, False).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    pairs = tiles.select((F.col("count") * F.col("n")).alias("p")).agg(F.max("p").alias("most"), F.sum("p").alias("all")).first()
+    assert pairs["most"] < 50_000 and pairs["all"] < 1_000_000  # 4 * 10^8 pairs of short edges
+    found = {(r.a, r.b) for r in spatial.polygon_intersects(one, two).collect()}
+    assert found == {(1, 11), (1, 13), (2, 11), (2, 12), (2, 13), (3, 11)}
+
+
 def test_polygons_across_the_antimeridian(spark):
     ring = {1: [[(170, 0), (-170, 0), (-170, 10), (170, 10)]], 2: [square(0, 0, 5)], 3: [[(178, 20), (-179, 20), (-179, 25), (178, 25)], [(179, 21), (179.5, 21), (179.5, 24), (179, 24)]]}
     points = spark.createDataFrame([(1, 175.0, 5.0), (2, -175.0, 5.0), (3, 0.5, 5.0), (4, 165.0, 5.0), (5, 2.0, 2.0), (6, -179.5, 22.0), (7, 179.2, 22.0)], "point_id long, x double, y double")
