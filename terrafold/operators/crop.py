@@ -129,11 +129,10 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
         ratio = "irr_ratio" if technology == "irr" else "rf_ratio"
         base = base.withColumn("ratio", watering_ratio(source))
         base = base.crossJoin(F.broadcast(watering_ratios(spam).agg(F.avg(ratio).alias("mean_ratio"))))
-        base = materialized(base, "yield-ratios")  # the gap filling reads it three times
         value = F.coalesce(value, F.col("y_all") * F.col("mean_ratio"))
-        near = regrid.fill_gaps(base.select("cell_id", "row_i", "col_i", "lu", "ratio"), "ratio", F.col("lu") == 1).withColumnRenamed("value", "near_ratio")
-        base = base.join(near, "cell_id", "left")
-        plain = F.coalesce(plain * F.col("near_ratio"), plain * F.col("mean_ratio"))
+        base = regrid.with_near_mean(base, "ratio")
+        near = F.coalesce(F.col("ratio"), F.when(F.col("lu") == 1, F.col("near")))
+        plain = F.coalesce(plain * near, plain * F.col("mean_ratio"))
     inside = F.col("lu") == 1
     base = materialized(base, "yield-sources")  # read by both averages and the fill
     stepped = base.withColumn("v", F.coalesce(value, F.when(inside, F.coalesce(plain, spam_value * F.col("global_ratio")))))

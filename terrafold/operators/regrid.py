@@ -58,15 +58,35 @@ def block_average(source: DataFrame, value: str, width: int, height: int, scale:
     return source.groupBy(block("row_i", h, height).alias("row_b"), block("col_i", w, width).alias("col_b")).agg(F.avg(value).alias("value"))
 
 
+def with_near_mean(cells: DataFrame, value: str, name: str = "near", tile: int = 256) -> DataFrame:
+    """The cells and one more column: the inverse-distance mean of the valid ones among the eight neighbours.
+
+    Cells go to square tiles, those on a rim also to the tiles beside it, so the whole table is read and shuffled once and
+    no task holds more than a tile. In a tile one order by row and column serves all neighbours: each is a range of one key.
+    Cells without a place have no neighbours; cells of one place count each; without a valid neighbour there is no mean.
+    """
+    wide = tile + 3  # a row of the tile, its two rims and a gap, so that no neighbour wraps to another row
+    tiles = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (0, -1, 1)]))
+    dealt = cells.withColumn("_tile_row", F.explode(tiles("row_i"))).withColumn("_tile_col", F.explode(tiles("col_i")))
+    row, col = F.col("row_i") - F.col("_tile_row") * tile + 1, F.col("col_i") - F.col("_tile_col") * tile + 1
+    dealt = dealt.withColumn("_at", (row * wide + col).cast("long"))
+    order = Window.partitionBy("_tile_row", "_tile_col").orderBy("_at")
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for i, j in [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]:
+        there, w = order.rangeBetween(i * wide + j, i * wide + j), (i * i + j * j) ** -0.5
+        total = total + F.coalesce(F.sum(F.col(value).cast("double")).over(there), F.lit(0.0)) * w
+        weight = weight + F.count(value).over(there) * w
+    placed = F.col("row_i").isNotNull() & F.col("col_i").isNotNull()
+    met = dealt.withColumns({"_total": total, "_weight": weight})
+    own = [F.col(t).eqNullSafe(F.floor(F.col(c) / tile)) for t, c in (("_tile_row", "row_i"), ("_tile_col", "col_i"))]
+    met = met.where(own[0] & own[1]).withColumn(name, F.when(placed & (F.col("_weight") > 0), F.col("_total") / F.col("_weight")))
+    return met.select(*cells.columns, name)
+
+
 def fill_gaps(cells: DataFrame, value: str, among: Column | None = None) -> DataFrame:
     """(cell_id, value): a missing value becomes the inverse-distance mean of the valid eight neighbours, one pass."""
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
-    holes = cells.where(F.col(value).isNull() & (F.lit(True) if among is None else among)).select("cell_id", "row_i", "col_i", around.alias("k"))
-    holes = holes.select("cell_id", (F.col("row_i") + F.col("k.dr")).alias("row_i"), (F.col("col_i") + F.col("k.dc")).alias("col_i"),
-                         (1 / F.sqrt(F.col("k.dr") * F.col("k.dr") + F.col("k.dc") * F.col("k.dc"))).alias("w"))
-    valid = cells.where(F.col(value).isNotNull()).select("row_i", "col_i", F.col(value).alias("v"))
-    filled = holes.join(valid, ["row_i", "col_i"]).groupBy("cell_id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("near"))
-    return cells.join(filled, "cell_id", "left").select("cell_id", F.coalesce(value, "near").alias("value"))
+    near = F.col("near") if among is None else F.when(among, F.col("near"))
+    return with_near_mean(cells, value).select("cell_id", F.coalesce(F.col(value), near).alias("value"))
 
 
 def nearest_in_row(row: int, columns: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -878,6 +878,36 @@ def practice_benefit(L):
     return r4(algebra.practice_benefit(one.withColumnRenamed("soc", "value"), two.withColumnRenamed("soc", "value"), 2, 2), "benefit")
 
 
+# Change, benefit and series of a given table instead of the carbon fold: quantities and prices by part and year.
+
+def yearly(L: Layers, *labels: str) -> DataFrame:
+    """(cell_id, year, value): what was ordered of a part in a year, apart by further columns."""
+    rows = L.lineitem.where("l_partkey is not null and l_shipdate is not null")
+    return rows.groupBy(c("l_partkey").alias("cell_id"), F.year("l_shipdate").alias("year"), *labels).agg(F.sum("l_quantity").alias("value"))
+
+
+YEARLY = "yearly AS (SELECT l_partkey AS cell_id, CAST(year(l_shipdate) AS INT) AS year, sum(l_quantity) AS value{labels} FROM lineitem WHERE l_partkey IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY ALL)"
+
+
+@query("SELECT cell_id, year, round((value / nullif(first_value(value) OVER (PARTITION BY cell_id ORDER BY year), 0) - 1) * 100, 4) AS pct FROM yearly", YEARLY.format(labels=""))
+def pct_change_orders(L):
+    return r4(algebra.pct_change(yearly(L), ["cell_id"]), "pct")
+
+
+@query("SELECT a.cell_id, round((b.value / nullif(a.value, 0) - 1) * 100, 4) AS benefit FROM yearly a JOIN yearly b ON a.cell_id = b.cell_id AND a.year = 1995 AND b.year = 1995 AND a.l_linestatus = 'F' AND b.l_linestatus = 'O'",
+       YEARLY.format(labels=", l_linestatus"))
+def practice_benefit_orders(L):
+    rows = yearly(L, "l_linestatus")
+    return r4(algebra.practice_benefit(rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O'"), 1995, 1995), "benefit")
+
+
+@query("""SELECT l_returnflag AS label, CAST(year(l_shipdate) AS INT) AS year, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,
+ round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY ALL""")
+def band_timeseries_prices(L):
+    rows = L.lineitem.where("l_shipdate is not null").select(c("l_returnflag").alias("label"), F.year("l_shipdate").alias("year"), c("l_extendedprice").alias("value"))
+    return r4(algebra.timeseries(rows), "mean", "q1", "q3")
+
+
 # --- pipelines
 
 

@@ -1,5 +1,6 @@
 """Contacts, spans, running sums and nearest cells against plain geometry and plain search."""
 
+import math
 import random
 from collections import defaultdict
 from fractions import Fraction
@@ -260,3 +261,23 @@ def test_regrid_between_reference_systems(spark):
     assert got == {1: place(0.5, 0.5)[0] * 10.0 + place(0.5, 0.5)[1], 2: place(4, 8)[0] * 10.0 + place(4, 8)[1], 3: None}
     with pytest.raises(ValueError, match="closed form"):
         regrid.onto(target, source, "v", metric, "EPSG:27700")
+
+
+@pytest.mark.parametrize("tile", [1, 3, 256])
+def test_near_mean_equals_brute_force_over_tile_rims(spark, tile):
+    rng = random.Random(tile)
+    rows = [(i, rng.randrange(-7, 8), rng.randrange(-7, 8), rng.choice([None, None, rng.random()])) for i in range(150)]  # sparse, some places twice
+    rows += [(150, None, 0, 5.0), (151, 0, None, None), (152, None, None, None), (153, 400, 400, None)]
+    cells = spark.createDataFrame(rows, "cell_id long, row_i int, col_i int, v double")
+    got = {r.cell_id: r.near for r in regrid.with_near_mean(cells, "v", tile=tile).collect()}
+    assert len(got) == len(rows)
+    for i, r, k, _ in rows:
+        met = [(w, v) for _, r2, k2, v in rows if None not in (r, k, r2, k2, v) and max(abs(r - r2), abs(k - k2)) == 1 for w in [math.hypot(r - r2, k - k2)]]
+        want = sum(v / w for w, v in met) / sum(1 / w for w, _ in met) if met else None
+        assert got[i] == (pytest.approx(want) if met else None)
+
+
+def test_near_mean_of_an_empty_table_and_its_columns(spark):
+    cells = spark.createDataFrame([], "cell_id long, row_i int, col_i int, v double, near_by string")
+    out = regrid.with_near_mean(cells, "v", "mean_near")
+    assert out.columns == [*cells.columns, "mean_near"] and out.count() == 0
