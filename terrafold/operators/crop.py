@@ -1,4 +1,7 @@
-"""Crop water demand, yields with layered filling, plant cover and residues."""
+"""Crop water demand, yields with layered filling, plant cover and residues.
+
+Layers meet by cell with a merge hint: their files pack so well that the planner would broadcast them by the size on disk.
+"""
 
 from __future__ import annotations
 
@@ -78,7 +81,7 @@ def crop_pet_grid(cells: DataFrame, pet: DataFrame, kc: DataFrame, zones: DataFr
     """(cell_id, month, pet) of cells in the land use; NULL where the zone has no group or crop row."""
     inside = cells.where("lu = 1").select("cell_id", "zone_id")
     curves = F.broadcast(kc.where(F.col("crop") == crop).select("zone_group", "month", "kc").join(zones, "zone_group"))
-    rows = inside.join(pet, "cell_id").join(curves.select("zone_id", "month", "kc"), ["zone_id", "month"], "left")
+    rows = inside.join(pet.hint("merge"), "cell_id").join(curves.select("zone_id", "month", "kc"), ["zone_id", "month"], "left")
     return rows.select("cell_id", "month", (F.col("pet") * F.col("kc")).alias("pet"))
 
 
@@ -119,7 +122,7 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
     ``cells`` has cell_id, row_i, col_i, lu, poly_id, biome_id. ``technology`` is None (no scaling), "irr" or other.
     """
     source = {None: "y_all", "irr": "y_irr"}.get(technology, "y_rf")
-    base = cells.join(spam, "cell_id", "left").join(country.select("poly_id", "avg_yield", "yld_ratio"), "poly_id", "left")
+    base = cells.join(spam.hint("merge"), "cell_id", "left").join(country.select("poly_id", "avg_yield", "yld_ratio"), "poly_id", "left")
     votes = country.agg(F.avg("yld_ratio").alias("global_ratio"))
     base = base.crossJoin(F.broadcast(votes))
     spam_value = F.when(F.col(source) != 0, F.col(source)) if technology else F.col(source)
@@ -140,12 +143,12 @@ def yield_grid(cells: DataFrame, spam: DataFrame, country: DataFrame, technology
     full = stepped.join(zone, "poly_id", "left").join(biome, "biome_id", "left")
     full = full.withColumn("v", F.coalesce("v", "zone_mean", "biome_mean", "global_ratio"))
     filled = regrid.nearest_valid(materialized(full.where(inside | F.col("v").isNotNull()).select("cell_id", "row_i", "col_i", "v"), "yield-steps"), "v")
-    return filled.join(cells.where("lu = 1").select("cell_id"), "cell_id").select("cell_id", F.col("value").alias("yield"))
+    return filled.join(cells.where("lu = 1").select("cell_id").hint("merge"), "cell_id").select("cell_id", F.col("value").alias("yield"))
 
 
 def yield_grid_simple(cells: DataFrame, spam: DataFrame, country: DataFrame) -> DataFrame:
     """(cell_id, yield): all-technology cell by country ratio, else country mean, else cell by global ratio."""
-    base = cells.join(spam, "cell_id", "left").join(country, "poly_id", "left").crossJoin(F.broadcast(country.agg(F.avg("yld_ratio").alias("global_ratio"))))
+    base = cells.join(spam.hint("merge"), "cell_id", "left").join(country, "poly_id", "left").crossJoin(F.broadcast(country.agg(F.avg("yld_ratio").alias("global_ratio"))))
     value = F.coalesce(F.col("y_all") * F.col("yld_ratio"), F.col("avg_yield") / 1000, F.col("y_all") * F.col("global_ratio"))
     return base.where("lu = 1").select("cell_id", value.alias("yield"))
 

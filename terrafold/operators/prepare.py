@@ -42,27 +42,29 @@ def inputs_of(batch: Batch, layers: CropLayers, name: str, technology: str | Non
 
     def demand() -> DataFrame:
         inside = cells.where("lu = 1").select("cell_id", "y")
-        pet = crop.location_pet(layers.monthly.select("cell_id", "month", "tmp").join(inside, "cell_id"), layers.months)
+        pet = crop.location_pet(layers.monthly.select("cell_id", "month", "tmp").join(inside.hint("merge"), "cell_id"), layers.months)
         return crop.crop_pet_grid(cells, pet, crop.monthly_kc(crops, layers.days), zoned, name)
 
     pet = batch.step("pet", demand, source, crop=name)
     need = lambda p: crop.irrigation_need(F.coalesce("pet", F.lit(0.0)), F.col("rain"))
     irrigation = batch.step(
-        "irrigation", lambda: pet.df.join(layers.monthly.select("cell_id", "month", "rain"), ["cell_id", "month"]).select("cell_id", "month", need(pet).alias("irrigation")), [pet]
+        "irrigation", lambda: pet.df.join(layers.monthly.select("cell_id", "month", "rain").hint("merge"), ["cell_id", "month"]).select("cell_id", "month", need(pet).alias("irrigation")), [pet]
     )
     yields = batch.step("yield", lambda: crop.yield_grid(layers.cells.drop("y", "zone_id"), layers.spam, layers.country, technology), source, technology=technology)
     cover = batch.step("cover", lambda: crop.plant_cover_grid(cells.where("lu = 1"), crops, zoned, layers.months, name), source, crop=name)
 
     def left() -> DataFrame:
         groups = layers.cells.select("cell_id", "zone_id").join(F.broadcast(zoned), "zone_id").select("cell_id", "zone_group")
-        rows = crop.residues(yields.df, layers.residues, name).join(groups, "cell_id").select("cell_id", "zone_group", "res")
+        rows = crop.residues(yields.df, layers.residues, name).join(groups.hint("merge"), "cell_id").select("cell_id", "zone_group", "res")
         return crop.monthly_split(rows, crop.monthly_kc(crops, layers.days), "res")
 
     res = batch.step("residues", left, [yields, layers.key], crop=name)
     both = ["cell_id", "month"]
 
     def together() -> DataFrame:
-        rows = pet.df.join(irrigation.df, both).join(yields.df, "cell_id").join(cover.df, both).join(res.df, both, "left")
+        met = pet.df.hint("merge").join(irrigation.df, both)  # layers of all cells, however small their files are
+        met = met.join(cover.df.hint("merge"), both).join(res.df.hint("merge"), both, "left")
+        rows = met.join(yields.df.hint("merge"), "cell_id")
         return rows.select(*both, "pet", "irrigation", "yield", "pc", "res")
 
     return batch.step("inputs", together, [pet, irrigation, yields, cover, res])

@@ -132,3 +132,26 @@ def test_written_tables_go_with_their_block(spark):
         outer = io.materialized(spark.range(3), "t").inputFiles()[0]
         assert not os.path.exists(inner.removeprefix("file://")) and os.path.exists(outer.removeprefix("file://"))
     assert not os.path.exists(outer.removeprefix("file://"))
+
+
+def test_layers_of_cells_are_not_broadcast(spark, tmp_path):
+    """Files of millions of cells pack under the planner's limit, so size on disk must not decide."""
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    L = Layers(spark, SF)
+    assert "SortMergeJoin" in plan(L.cells.select("cell_id", "lu").join(L.spam.select("cell_id", "y_all"), "cell_id"))
+    plans = {}
+
+    class Noted(Batch):
+        def step(self, name, make, *args, **kwargs):
+            def noted():
+                df = make()
+                plans[name] = plan(df)
+                return df
+
+            return super().step(name, noted, *args, **kwargs)
+
+    cells = q.owned(L).join(L.cells.select("cell_id", "y", "zone_id"), "cell_id").persist()
+    held = prepare.CropLayers(cells, L.monthly.persist(), L.spam, L.country_yield, L.crops, L.zones, L.days, L.months, L.residues, "k")
+    prepare.inputs_of(Noted(spark, str(tmp_path / "b")), held, "Maize", "irr")
+    assert "Broadcast" not in plans["inputs"] and plans["inputs"].count("SortMergeJoin") == 4
+    assert all("SortMergeJoin" in plans[n] for n in ("pet", "irrigation", "residues", "yield"))
