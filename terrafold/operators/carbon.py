@@ -140,39 +140,49 @@ def annual_blocks(df: DataFrame, keep: list[str], *, modifier: Modifier | None =
             rows = batch.num_rows
             one = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
             lengths = batch.column("_base").value_lengths().to_numpy(zero_copy_only=False)
-            for size in np.unique(lengths[~np.isnan(lengths.astype(float))]).astype(int) if rows else ():
-                at = np.flatnonzero(lengths == size)
+            years = batch.column("_n").to_numpy(zero_copy_only=False)
+            # Rows of one length and number of years go together, so none is carried on beyond its own years.
+            kinds_of = np.stack([lengths, years], axis=1).astype(float)
+            for size, last in np.unique(kinds_of[~np.isnan(kinds_of).any(axis=1)], axis=0).astype(int) if rows else ():
+                at = np.flatnonzero((lengths == size) & (years == last))
                 take = batch.take(pa.array(at))
                 grid = {a: take.column(a).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size).T for a in arrays}
                 base, water, evap, cover, plant, manure = (np.ascontiguousarray(grid[a]) for a in arrays)
                 v = {c: one(c)[at] for c in [*singles, *(f"_{p}" for p in POOLS), *(f"_k_{p}" for p in POOLS)]}
-                n = take.column("_n").to_numpy(zero_copy_only=False).astype(int)
                 pools, k = np.array([v[f"_{p}"] for p in POOLS]), np.array([v[f"_k_{p}"] for p in POOLS])
                 x1, share = v["_x"] + 1, to_stable / (to_stable + 1)
-                swc, out = np.zeros(len(at)), [(0, v["soc0"], np.zeros(len(at)))]
-                for year in range(1, n.max() + 1):
+                to_bio, to_hum, to_air = 0.46 / x1, 0.54 / x1, v["_x"] / x1
+                fresh = np.stack([share * plant + 0.49 * manure, (1 - share) * plant + 0.49 * manure], axis=1)
+                # The part of each pool that a month leaves. With drivers of one year, a row whose soil water ends the year
+                # as it began has the same parts in all years that follow, so only the others are reckoned again.
+                stays, swc, moving = np.empty((12, len(POOLS), len(at))), np.zeros(len(at)), np.arange(len(at))
+                out = [(0, v["soc0"], np.zeros(len(at)))]
+                for year in range(1, last + 1):
+                    if len(moving):
+                        w, low, bar, dry, rate = swc[moving], *(v[c][moving] for c in ("_most", "_one_bar", "_bare")), k[:, moving]
+                        for m in range(12):
+                            t = ((year - 1) * 12 + m) % size
+                            moved = w + water[t, moving] - 0.75 * evap[t, moving]
+                            wet = np.minimum(0.0, np.maximum(low, moved))
+                            w = np.where(cover[t, moving] == 1, wet, np.minimum(w, np.maximum(dry, moved)))
+                            moist = np.where(w > bar, 1.0, 0.2 + 0.8 * (low - w) / (low - bar))
+                            stays[m][:, moving] = np.exp(-(base[t, moving] * moist) * rate)
+                        changed = (w != swc[moving]) | (size != 12)
+                        swc[moving], moving = w, moving[changed]
                     co2 = np.zeros(len(at))
                     for m in range(12):
-                        t = ((year - 1) * 12 + m) % size
-                        moved = swc + water[t] - 0.75 * evap[t]
-                        wet = np.minimum(0.0, np.maximum(v["_most"], moved))
-                        swc = np.where(cover[t] == 1, wet, np.minimum(swc, np.maximum(v["_bare"], moved)))
-                        moist = np.where(swc > v["_one_bar"], 1.0, 0.2 + 0.8 * (v["_most"] - swc) / (v["_most"] - v["_one_bar"]))
-                        left = pools * np.exp(-(base[t] * moist) * k)
+                        left = pools * stays[m]
                         lost = (pools - left).sum(0)
-                        left[0] += share * plant[t] + 0.49 * manure[t]
-                        left[1] += (1 - share) * plant[t] + 0.49 * manure[t]
-                        left[2] += lost * 0.46 / x1
-                        left[3] += lost * 0.54 / x1
-                        co2 += lost * v["_x"] / x1
+                        left[:2] += fresh[((year - 1) * 12 + m) % size]
+                        left[2] += lost * to_bio
+                        left[3] += lost * to_hum
+                        co2 += lost * to_air
                         pools = left
                     out.append((year, pools.sum(0) + v["_iom"], co2))
                 keys = take.select(keep)
                 for year, soc, co2 in out:
-                    live = np.flatnonzero(n >= year)
-                    some = keys.take(pa.array(live))
-                    values = [pa.array(np.full(len(live), year, np.int32)), pa.array(soc[live], from_pandas=True), pa.array(co2[live], from_pandas=True)]
-                    yield pa.RecordBatch.from_arrays([*some.columns, *values], [*keep, "year", "soc", "co2"])
+                    values = [pa.array(np.full(len(at), year, np.int32)), pa.array(soc, from_pandas=True), pa.array(co2, from_pandas=True)]
+                    yield pa.RecordBatch.from_arrays([*keys.columns, *values], [*keep, "year", "soc", "co2"])
 
     slim = df.select(*keep, F.col("n_years").cast("int").alias("_n"), *arrays, *dict.fromkeys([*singles, *(f"_{p}" for p in POOLS), *(f"_k_{p}" for p in POOLS)]))
     return slim.mapInArrow(fold, f"{kinds}, year int, soc double, co2 double")
