@@ -112,7 +112,12 @@ def mask_by_overlap(a: DataFrame, b: DataFrame, grid_a: Grid, grid_b: Grid) -> D
 def pct_change(rows: DataFrame, key: list[str]) -> DataFrame:
     """Percent change of column value against the first year of each key."""
     first = F.first("value").over(Window.partitionBy(*key).orderBy("year"))
-    return rows.select(*key, "year", ((F.try_divide("value", first) - 1) * 100).alias("pct"))
+    return rows.select(*key, "year", change(first).alias("pct"))
+
+
+def change(start: Column) -> Column:
+    """Percent change of column value against its start, where rows hold that beside it and need no window."""
+    return (F.try_divide("value", start) - 1) * 100
 
 
 def practice_benefit(base: DataFrame, other: DataFrame, base_year: int, other_year: int) -> DataFrame:
@@ -198,7 +203,7 @@ def band_stats(rows: DataFrame, value: str) -> DataFrame:
 def timeseries(rows: DataFrame, value: str = "value") -> DataFrame:
     """Mean and quartiles by label and year, of those with a value; the rows are read three times."""
     means = rows.groupBy("label", "year").agg(F.avg(value).alias("mean"))
-    held = ranks.quantiles(rows, value, [0.25, 0.75], ["label", "year"])
+    held = ranks.quantiles(rows, value, [0.25, 0.75], ["label", "year"], few=True)  # labels are named by people, so years of them are few
     return ranks.beside(means, held, ["label", "year"]).select("label", "year", "mean", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
 
 

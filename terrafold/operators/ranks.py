@@ -17,20 +17,24 @@ ACCURACY = 10_000
 SLICES = 64
 
 
-def beside(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows with their group's columns (a missing key is a group too); without keys one row is broadcast."""
+def beside(rows: DataFrame, groups: DataFrame, by: Sequence[str], few: bool = False) -> DataFrame:
+    """Rows with their group's columns (a missing key is a group too); without keys one row is broadcast.
+
+    ``few`` groups are broadcast too: the planner takes a grouping for as large as its rows, and would shuffle these.
+    """
     if not by:
         return rows.crossJoin(F.broadcast(groups))
     named = groups.withColumnsRenamed({k: f"_of_{k}" for k in by})
+    named = F.broadcast(named) if few else named
     return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by]).drop(*[f"_of_{k}" for k in by])
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), discrete: bool = False, accuracy: int = ACCURACY) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), discrete: bool = False, accuracy: int = ACCURACY, few: bool = False) -> DataFrame:
     """(by, q): the quantiles of each group's valid values as an array in the order of ``shares``.
 
     Interpolated between neighbours, or with ``discrete`` the first value whose rank reaches the share. Groups without a
     valid value have no row; without ``by`` there is one row, with an empty array if nothing is valid. Ask with ``F.get``.
-    ``df`` is read twice. The bracket of a group of at most ``accuracy`` rows is the whole group.
+    ``df`` is read twice; it is not shuffled for it if its groups are ``few``. The bracket of a group of at most ``accuracy`` rows is the whole group.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
     reach = 4 / accuracy
@@ -47,7 +51,7 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[s
         return F.struct(F.lit(i).alias("i"), at.alias("at"), low.alias("low"), high.alias("high"))
 
     ends = ends.select(*by, F.array(*[bracket(i, s) for i, s in enumerate(shares)]).alias("_brackets"))
-    near = beside(rows, ends, by).select(*by, "_v", F.explode("_brackets").alias("_b")).where("_v <= _b.high")
+    near = beside(rows, ends, by, few).select(*by, "_v", F.explode("_brackets").alias("_b")).where("_v <= _b.high")
     place = F.when(F.col("_v") >= F.col("_b.low"), F.col("_v"))  # all that lies under the bracket is one place
     held = near.groupBy(*by, F.col("_b.i").alias("_i"), F.col("_b.at").alias("_at"), place.alias("_place")).agg(F.count(F.lit(1)).alias("_rows"))
     run = held.withColumn("_run", F.sum("_rows").over(Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_place"))))

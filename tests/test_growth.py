@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import carbon
+from terrafold.operators import algebra, carbon
 from terrafold.plans import queries as q
 from terrafold.plans.fixtures import Layers
 
@@ -36,3 +36,12 @@ def test_blocks_with_soil_water_that_settles_late_or_never(spark):
     df = df.withColumns({"tmp": year(lambda i: i % 12 * 2.0), "pc": year(lambda i: F.when(F.col("id") % 3 == 0, i % 2).otherwise(1)), "c_inp": year(lambda i: 0.1 * (i % 5)), "fym": year(lambda i: 0.02 * (i % 3))})
     a, b = ({(r.id, r.year): (r.soc, r.co2) for r in f(df, ["id"]).collect()} for f in (carbon.annual, carbon.annual_blocks))
     assert a.keys() == b.keys() and all(b[k] == pytest.approx(a[k], abs=1e-9) for k in a)
+
+
+def test_report_shuffles_no_row_for_a_change_or_a_quartile(spark):
+    runs = spark.range(200).selectExpr("concat('s', id % 2) AS label", "cast(id % 3 as int) AS year", "cast(id as double) AS value")
+    plan = algebra.timeseries(runs)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    got = q.WHOLE["scenario_report_whole"](spark, SF)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in text and not re.search(r"Window .*first\(value", text)
