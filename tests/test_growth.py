@@ -38,6 +38,11 @@ def test_blocks_with_soil_water_that_settles_late_or_never(spark):
     assert a.keys() == b.keys() and all(b[k] == pytest.approx(a[k], abs=1e-9) for k in a)
 
 
+def test_benefit_joins_one_fold_and_broadcasts_no_cells(spark):
+    plan = q.QUERIES["practice_benefit"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "lineitem" not in plan  # both sides read the one fold
+
+
 def test_report_shuffles_no_row_for_a_change_or_a_quartile(spark):
     runs = spark.range(200).selectExpr("concat('s', id % 2) AS label", "cast(id % 3 as int) AS year", "cast(id as double) AS value")
     plan = algebra.timeseries(runs)._jdf.queryExecution().sparkPlan().toString()
